@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from parityflow.suite import diffs
+from parityflow.suite import diffs, plans
 
-MODULES = (diffs,)
+MODULES = (diffs, plans)
 
 
 def queries():
