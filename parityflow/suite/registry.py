@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from parityflow.suite import diffs, plans
+from parityflow.suite import diffs, plans, schemas, transforms
 
-MODULES = (diffs, plans)
+MODULES = (diffs, plans, transforms, schemas)
 
 
 def queries():
