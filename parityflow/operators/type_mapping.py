@@ -202,7 +202,22 @@ def map_types(
 
     ``overrides(source_engine, source_type, target_type)`` replaces the computed
     target type where it names the pair.
+
+    Every distinct (engine, engine, type) is worked out once, then joined back;
+    distinct combines in the map tasks, so common types cost nothing extra.
     """
+    keys = [source_engine, target_engine, data_type]
+    mapped = _mapped(df.select(*[q(k) for k in keys]).distinct(), *keys, overrides)
+    renamed = mapped.select(
+        *[q(k).alias(f"__j{i}") for i, k in enumerate(keys)], "canonical", "target_type", "warnings", "is_lossy"
+    )
+    condition = F.lit(True)
+    for i, k in enumerate(keys):
+        condition = condition & q(k).eqNullSafe(F.col(f"__j{i}"))
+    return df.join(renamed, condition, "left_outer").drop("__j0", "__j1", "__j2")
+
+
+def _mapped(df: DataFrame, source_engine: str, target_engine: str, data_type: str, overrides: DataFrame | None) -> DataFrame:
     out = render_type(canonicalise(df, source_engine, data_type), target_engine)
     if overrides is not None:
         chosen = overrides.select(

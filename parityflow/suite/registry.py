@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from parityflow.suite import diffs, plans, schemas, transforms
+from parityflow.suite import diffs, operations, plans, schemas, similar, transforms
 
-MODULES = (diffs, plans, transforms, schemas)
+MODULES = (diffs, plans, transforms, schemas, operations, similar)
 
 
 def queries():
