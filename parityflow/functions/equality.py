@@ -29,10 +29,16 @@ def number_text(c: Column, dtype: T.DataType) -> Column:
     """Numbers as plain text: ``1.5``, ``10000000.0``, never ``1.0E7``."""
     if not isinstance(dtype, (T.FloatType, T.DoubleType)):
         return c.cast("string")
-    plain = F.rtrim(c.cast("string").cast("decimal(38,22)").cast("string"), F.lit("0"))
+    text = c.cast("string")
+    plain = F.rtrim(text.cast("decimal(38,22)").cast("string"), F.lit("0"))
     plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
+    # Spark turns to exponents at 1e7 already, and below 1e-3
     size = F.abs(c)
-    return F.when((size < 1e16) & ((size >= 1e-5) | (c == 0)), plain).otherwise(F.lower(c.cast("string")))
+    return (
+        F.when(~F.contains(text, F.lit("E")), text)
+        .when((size < 1e16) & (size >= 1e-5), plain)
+        .otherwise(F.lower(text))
+    )
 
 
 def cell_text(c: Column, dtype: T.DataType) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parityflow.config import CompareConfig
-from parityflow.functions.equality import cell_text, normalized
+from parityflow.functions.equality import cell_text, is_number, normalized
 from parityflow.functions.keys import q
 
 
@@ -21,6 +21,8 @@ def row_hash(df: DataFrame, columns: Sequence[str], cfg: CompareConfig) -> Colum
     parts = []
     for name in sorted(columns):
         dtype = df.schema[name].dataType
-        value = cell_text(normalized(q(name), dtype, cfg), dtype)
+        value = normalized(q(name), dtype, cfg)
+        # both sides have one type here, so Spark's own number text will do
+        value = value.cast("string") if is_number(dtype) else cell_text(value, dtype)
         parts.append(F.coalesce(F.concat(F.length(value).cast("string"), F.lit(":"), value), F.lit("-")))
     return F.sha2(F.concat_ws(",", *parts) if parts else F.lit(""), 256)

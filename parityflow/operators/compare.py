@@ -15,6 +15,7 @@ from parityflow.functions.hashing import row_hash
 from parityflow.functions.keys import join_key_columns, q, resolve_keys
 from parityflow.operators.align import align
 from parityflow.operators.dedupe import TIE, keep_last, tie_break
+from parityflow.session import materialised
 
 INSERTED, UPDATED, DELETED, MATCHED = "inserted", "updated", "deleted", "matched"
 
@@ -126,14 +127,15 @@ def hash_diff(source: DataFrame, target: DataFrame, cfg: CompareConfig) -> DataF
     """Two-step diff for wide rows.
 
     Step one ships only key and hash.  Step two fetches the full rows of the
-    keys that are not plainly equal; where few rows changed, AQE broadcasts that
-    key list (by its measured size) and the wide tables are not shuffled.
+    keys that are not plainly equal; where few rows changed, Spark broadcasts that
+    key list (by its measured size) and the wide tables are not shuffled.  The
+    narrow result of step one is written once, as three later steps read it.
     Matched rows carry the key only, their ``source``/``target`` stay NULL.
     """
     s, t = align(source, target)
     keys = resolve_keys(s.columns, cfg.keys)
     base = replace(cfg, use_hash_mode=False)
-    status = hash_status(s, t, cfg)
+    status = materialised(hash_status(s, t, cfg))
     matched = status.filter(F.col("status") == MATCHED).select("status", *[q(k) for k in keys])
     open_keys, names = join_key_columns(status.filter(F.col("status") != MATCHED), keys, cfg.keys_not_null)
     open_keys = open_keys.select(*names)

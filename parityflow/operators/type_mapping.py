@@ -20,20 +20,16 @@ def _squeeze(c: Column) -> Column:
 
 def parse_native_type(c: Column) -> Column:
     """``DECIMAL(18,2)`` to ``struct(base, p1, p2)``; ``max`` counts as the largest number."""
-    text = _squeeze(c)
-    has_parens = F.instr(text, "(") > 0
-    base = F.when(has_parens, F.trim(F.substring_index(text, "(", 1))).otherwise(text)
-    inside = F.trim(F.regexp_replace(F.regexp_extract(text, r"^[^(]*\((.*)$", 1), r"\)+$", ""))
+    halves = F.split(_squeeze(c), r"\(", 2)
+    inside = F.trim(F.rtrim(F.get(halves, F.lit(1)), F.lit(")")))
     parts = F.split(inside, ",")
 
     def number(i: int) -> Column:
-        piece = F.trim(F.get(parts, F.lit(i)))
-        value = F.when(piece.rlike(r"^\+?[0-9]{1,18}$"), piece.try_cast("bigint"))
-        return F.when(has_parens & (value <= R.MAX), value)
+        value = F.get(parts, F.lit(i)).try_cast("bigint")
+        return F.when(value.between(0, R.MAX), value)
 
-    is_max = has_parens & (inside == "max")
-    p1 = F.when(is_max, F.lit(R.MAX)).otherwise(number(0))
-    return F.struct(base.alias("base"), p1.alias("p1"), F.when(~is_max, number(1)).alias("p2"))
+    p1 = F.when(inside == "max", F.lit(R.MAX)).otherwise(number(0))
+    return F.struct(F.trim(halves[0]).alias("base"), p1.alias("p1"), number(1).alias("p2"))
 
 
 def _byte(c: Column) -> Column:
@@ -254,8 +250,20 @@ def spark_type(kind: str, p: int | None = None, s: int | None = None) -> T.DataT
     return _SPARK.get(kind, T.StringType())
 
 
+# What the whole-number kinds hold.
+_WHOLE = {"TinyInt": (-(2**15), 2**15 - 1), "SmallInt": (-(2**15), 2**15 - 1), "Int": (-(2**31), 2**31 - 1), "BigInt": (-(2**63), 2**63 - 1)}
+
+
 def _cast(c: Column, dtype: T.DataType, kind: str, p: int | None, s: int | None) -> Column:
-    out = c.try_cast(spark_type(kind, p, s))
+    wanted = spark_type(kind, p, s)
+    out = c.try_cast(wanted)
+    if isinstance(dtype, T.NumericType):
+        # a failing try_cast raises and catches an error per row, so plain misfits are sorted out before
+        if isinstance(wanted, T.DecimalType):
+            out = F.when(F.abs(c) <= F.lit(float(10 ** (wanted.precision - wanted.scale))), out)
+        elif kind in _WHOLE and kind != "BigInt":
+            low, high = _WHOLE[kind]
+            out = F.when((c > low - 1) & (c < high + 1), out)
     return F.left(out, F.lit(p)) if kind in ("Char", "Varchar", "NChar", "NVarchar") and p else out
 
 

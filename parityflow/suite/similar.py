@@ -81,12 +81,12 @@ def _chunks(spark, sf_dir):
     )
 
 
-@registered(f"WITH {CHUNKS_SQL} SELECT id, connection_id, CASE WHEN id % 3 = 0 THEN upper(content) ELSE content END AS content FROM chunks")
+@registered(f"WITH {CHUNKS_SQL} SELECT id, connection_id, CASE WHEN id % 3 = 0 THEN 'new: ' || content ELSE content END AS content FROM chunks")
 def chunk_upsert(spark, sf_dir):
     """Half of the index is new, a third of it is saved again."""
     chunks = _chunks(spark, sf_dir)
     fresh = chunks.filter((F.col("id") % 3 == 0) | (F.col("id") % 2 == 1)).withColumn(
-        "content", F.when(F.col("id") % 3 == 0, F.upper("content")).otherwise(F.col("content"))
+        "content", F.when(F.col("id") % 3 == 0, F.concat(F.lit("new: "), "content")).otherwise(F.col("content"))
     )
     return V.save_chunks(chunks.filter("id % 2 = 0"), fresh)
 
@@ -106,7 +106,7 @@ def entity_documents(spark, sf_dir):
 
 
 @registered(f"""WITH {CATALOG_SQL}, lines AS (
-  SELECT table_name, 0 AS sec, k AS at, '  ' || name || ': ' || data_type || CASE WHEN max_length IS NOT NULL THEN '(' || max_length || ')' ELSE '' END
+  SELECT table_name, 0 AS sec, k AS pos, '  ' || name || ': ' || data_type || CASE WHEN max_length IS NOT NULL THEN '(' || max_length || ')' ELSE '' END
     || CASE WHEN is_nullable THEN ' NULL' ELSE ' NOT NULL' END || CASE WHEN k % 60 = k THEN ' PK' ELSE '' END AS line FROM sc
   UNION ALL SELECT table_name, 1, k, '  ' || name || CASE WHEN is_unique THEN ' UNIQUE' ELSE '' END || ': (' || cols || ')' FROM si
   UNION ALL SELECT DISTINCT table_name, 1, -1, 'Indexes:' FROM si
@@ -115,7 +115,7 @@ def entity_documents(spark, sf_dir):
 n AS (SELECT table_name, count(*) AS row_count FROM sc WHERE k % 60 <> 59 GROUP BY 1)
 SELECT 'table-c1-' || table_name AS id, 'c1' AS connection_id, 'table_schema' AS chunk_type, table_name || ' (shop)' AS label,
  'Table: public.' || table_name || chr(10) || 'Row count: ' || coalesce(max(row_count)::VARCHAR, 'unknown') || chr(10) || 'Columns:' || chr(10)
-  || string_agg(line, chr(10) ORDER BY sec, at) || chr(10) AS content
+  || string_agg(line, chr(10) ORDER BY sec, pos) || chr(10) AS content
 FROM lines LEFT JOIN n USING (table_name) GROUP BY table_name
 UNION ALL SELECT 'conn-summary-c1', 'c1', 'connection_summary', 'shop (PostgreSql)', 'Database: shop (PostgreSql)' || chr(10) || 'Tables (' || count(*) || '): '
   || string_agg(table_name, ', ' ORDER BY table_name) FROM (SELECT DISTINCT table_name FROM sc)""")
