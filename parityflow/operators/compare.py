@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from parityflow.config import CompareConfig
 from parityflow.functions.equality import cell_text, values_equal
-from parityflow.functions.hashing import row_hash
+from parityflow.functions.hashing import row_fingerprint
 from parityflow.functions.keys import join_key_columns, q, resolve_keys
 from parityflow.operators.align import align
 from parityflow.operators.dedupe import TIE, keep_last, tie_break
@@ -106,7 +106,7 @@ def hash_status(source: DataFrame, target: DataFrame, cfg: CompareConfig) -> Dat
     hashed = [c for c in s.columns if c not in keys and c not in cfg.ignore_columns]
 
     def narrow(df: DataFrame) -> tuple[DataFrame, list[str]]:
-        return _prepared(df, keys, cfg, [*[q(k) for k in keys], row_hash(df, hashed, cfg).alias("__hash")])
+        return _prepared(df, keys, cfg, [*[q(k) for k in keys], row_fingerprint(df, hashed, cfg).alias("__hash")])
 
     (s_h, names), (t_h, _) = narrow(s), narrow(t)
     joined = _join_sides(s_h, t_h, names)

@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from parityflow.config import CompareConfig
+from parityflow.functions.hashing import row_hash
 from parityflow.functions.keys import resolve_keys
 from parityflow.operators import compare as C
 from parityflow.operators.align import align
@@ -156,6 +157,13 @@ def hash_mode_summary(spark, sf_dir):
     return C.diff_summary(_orders(spark, sf_dir, use_hash_mode=True))
 
 
+def row_hashes(spark, sf_dir):
+    """SHA-256 of the normalised cells that are neither key nor ignored."""
+    s, _ = P.customer_pair(spark, sf_dir)
+    cfg = CompareConfig(case_insensitive=True)
+    return s.select("c_custkey", row_hash(s, ["c_name", "c_nationkey", "c_mktsegment"], cfg).alias("row_hash"))
+
+
 def insert_rows(spark, sf_dir):
     s, t = P.orders_pair(spark, sf_dir)
     return C.append_rows(s, t, ORDERS)
@@ -207,7 +215,7 @@ QUERIES = {
         diff_orders_pk, diff_default_keys, diff_id_key, diff_lineitem_composite, diff_hash_lineitem,
         diff_ignore_columns, diff_case_whitespace, diff_tolerance, diff_text_numbers, diff_null_empty,
         diff_null_keys, diff_schema_aligned, aligned_tables, diff_rows_wide, diff_summary, diff_summary_loose,
-        diff_summary_lineitem, hash_mode_summary, insert_rows, delete_rows, changed_column_frequency,
+        diff_summary_lineitem, hash_mode_summary, row_hashes, insert_rows, delete_rows, changed_column_frequency,
         diff_search, diff_search_page, expr_match, dedupe_last_lineitem, duplicate_key_report, duplicate_error_rows,
     )
 }
@@ -276,6 +284,8 @@ WHERE d.status <> 'matched'""",
     + COUNTS,
     "diff_summary_lineitem": LINES_DIFF + COUNTS,
     "hash_mode_summary": ORDERS_DIFF + COUNTS,
+    "row_hashes": f"""WITH {P.CUSTOMER_SQL} SELECT c_custkey, sha256(concat_ws(',', coalesce(length(c_mktsegment) || ':' || lower(c_mktsegment), '-'),
+ length(c_name) || ':' || lower(c_name), length(c_nationkey::VARCHAR) || ':' || c_nationkey)) AS row_hash FROM src""",
     "insert_rows": f"WITH {P.ORDERS_SQL} SELECT * FROM src WHERE o_orderkey NOT IN (SELECT o_orderkey FROM tgt)",
     "delete_rows": f"WITH {P.ORDERS_SQL} SELECT * FROM tgt WHERE o_orderkey NOT IN (SELECT o_orderkey FROM src)",
     "changed_column_frequency": ORDERS_DIFF
