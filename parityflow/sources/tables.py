@@ -20,13 +20,14 @@ def read_table(
     bounds: tuple[int, int] | None = None,
     num_partitions: int = 32,
     fetch_size: int = 10_000,
+    options: Mapping[str, object] | None = None,
 ) -> DataFrame:
     """Scan a whole table.
 
     With ``jdbc`` (url, driver, user ...) the table is read through the
     database's driver, in ``num_partitions`` ranges of ``partition_on``.  Bounds
-    come from the database when not given.  With ``path`` it is a file table,
-    else a table of the session catalog.
+    come from the database when not given.  With ``path`` it is a file table
+    read with ``options``, else a table of the session catalog.
     """
     if jdbc is not None:
         options = {**jdbc, "dbtable": table, "fetchsize": str(fetch_size)}
@@ -44,7 +45,7 @@ def read_table(
                 )
         return spark.read.format("jdbc").options(**options).load()
     if path is not None:
-        return spark.read.format(fmt).load(path)
+        return spark.read.format(fmt).options(**(options or {})).load(path)
     return spark.table(table)
 
 
