@@ -19,6 +19,9 @@ from parityflow.session import materialised
 
 INSERTED, UPDATED, DELETED, MATCHED = "inserted", "updated", "deleted", "matched"
 
+# The most keys the second step of a hash diff broadcasts.
+HASH_FETCH_KEYS = 250_000
+
 
 def _prepared(
     df: DataFrame, keys: Sequence[str], cfg: CompareConfig, payload: Sequence[Column] | None = None
@@ -126,11 +129,12 @@ def hash_status(source: DataFrame, target: DataFrame, cfg: CompareConfig) -> Dat
 def hash_diff(source: DataFrame, target: DataFrame, cfg: CompareConfig) -> DataFrame:
     """Two-step diff for wide rows.
 
-    Step one ships only key and hash.  Step two fetches the full rows of the
-    keys that are not plainly equal; where few rows changed, Spark broadcasts that
-    key list (by its measured size) and the wide tables are not shuffled.  The
-    narrow result of step one is written once, as three later steps read it.
-    Matched rows carry the key only, their ``source``/``target`` stay NULL.
+    Step one ships only key and hash; its narrow result is written once.  Step
+    two fetches the full rows of the keys that are not plainly equal: up to
+    ``HASH_FETCH_KEYS`` of them (counted) are broadcast, so the wide tables are
+    not shuffled at all.  Beyond that most of the data would travel anyway, and
+    the one-pass diff takes over.  Matched rows carry the key only, their
+    ``source``/``target`` stay NULL.
     """
     s, t = align(source, target)
     keys = resolve_keys(s.columns, cfg.keys)
@@ -139,6 +143,11 @@ def hash_diff(source: DataFrame, target: DataFrame, cfg: CompareConfig) -> DataF
     matched = status.filter(F.col("status") == MATCHED).select("status", *[q(k) for k in keys])
     open_keys, names = join_key_columns(status.filter(F.col("status") != MATCHED), keys, cfg.keys_not_null)
     open_keys = open_keys.select(*names)
+    if open_keys.count() > HASH_FETCH_KEYS:
+        full = diff(s, t, base)
+        quiet_row = F.col("status") == MATCHED
+        return full.withColumns({side: F.when(~quiet_row, F.col(side)) for side in ("source", "target")})
+    open_keys = F.broadcast(open_keys)
 
     def fetch(df: DataFrame) -> DataFrame:
         with_keys, _ = join_key_columns(df, keys, cfg.keys_not_null)
@@ -185,7 +194,8 @@ def append_rows(source: DataFrame, target: DataFrame, cfg: CompareConfig = Compa
     s = source.select(*[q(c).cast(types[c]).alias(c) if c in types else q(c) for c in source.columns])
     s_one, names = _prepared(s, keys, cfg)
     t_one, _ = join_key_columns(t_keys, keys, cfg.keys_not_null)
-    return s_one.join(t_one.select(*names), names, "left_anti").select(*[q(c) for c in source.columns])
+    t_one = t_one.select(*names) if cfg.keys_unique else t_one.select(*names).distinct()
+    return s_one.join(t_one, names, "left_anti").select(*[q(c) for c in source.columns])
 
 
 def diff_summary(d: DataFrame) -> DataFrame:

@@ -102,5 +102,6 @@ def scheduled_minutes(bounds: DataFrame, expression: str) -> DataFrame:
 def missed_runs(runs: DataFrame, expression: str, started: str = "started_at") -> DataFrame:
     """Scheduled minutes, between the first and the last run, in which no run started."""
     bounds = runs.agg(F.date_trunc("minute", F.min(started)).cast("timestamp_ntz").alias("low"), F.max(started).alias("high"))
-    started_at = runs.select(F.date_trunc("minute", q(started)).cast("timestamp_ntz").alias("due_at"))
+    # one row per minute, combined in the map tasks, however many runs a minute has
+    started_at = runs.select(F.date_trunc("minute", q(started)).cast("timestamp_ntz").alias("due_at")).distinct()
     return scheduled_minutes(bounds, expression).join(started_at, "due_at", "left_anti")

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parityflow.config import CompareConfig, MigrationConfig
 from parityflow.functions.keys import join_key_columns, q
-from parityflow.operators.compare import diff
-from parityflow.plans.plan import DELETE, INSERT, KEEP, REVIEW, UPDATE, decide, plan_keys
+from parityflow.operators.compare import MATCHED, diff
+from parityflow.plans.plan import DELETE, INSERT, KEEP, REVIEW, UPDATE, decide, plan, plan_keys
+from parityflow.session import materialised
 
 
 def apply_plan(target: DataFrame, p: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
@@ -45,10 +47,13 @@ def apply_plan(target: DataFrame, p: DataFrame, keys: Sequence[str] | None = Non
 def result_table(decided: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The table after a decided diff, straight from it: no second join.
 
-    For targets with unique keys; matched rows keep the target's cells.
+    For targets with unique keys; matched rows keep the target's cells, so a hash
+    diff, which does not carry them, is refused.
     """
     action = F.col("action")
-    row = F.when(action.isin(INSERT, UPDATE), F.col("row")).otherwise(F.col("target"))
+    lost = (F.col("status") == MATCHED) & F.col("target").isNull()
+    kept = F.when(lost, F.raise_error(F.lit("a hash diff has no rows to keep; use a plain diff"))).otherwise(F.col("target"))
+    row = F.when(action.isin(INSERT, UPDATE), F.col("row")).otherwise(kept)
     # a source-only row that is kept out (AppendOnly updates and the like) has no target cells
     stays = (action != DELETE) & row.isNotNull()
     return decided.filter(stays).select(*[row.getField(c).alias(c) for c in columns])
@@ -62,10 +67,26 @@ def sync(
     partial: bool = False,
 ) -> DataFrame:
     """Diff, decide and apply in one pass: one shuffle per side in total."""
-    d = diff(source, target, compare)
+    d = diff(source, target, replace(compare, use_hash_mode=False))
     return result_table(decide(d, cfg, partial, target.columns), target.columns)
 
 
+def migrate(
+    source: DataFrame,
+    target: DataFrame,
+    compare: CompareConfig = CompareConfig(),
+    cfg: MigrationConfig = MigrationConfig(),
+    partial: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """The new target and the plan behind it.
+
+    The plan is written once: it can be reviewed, counted and turned into a
+    script, and the tables are compared a single time.
+    """
+    p = materialised(plan(source, target, compare, cfg, partial))
+    return apply_plan(target, p), p
+
+
 def result_summary(p: DataFrame, status: str = "Completed", errors: int = 0, duration_ms: int = 0) -> DataFrame:
     """One row: rows inserted, updated, deleted, skipped, errors, duration and status."""
     names = {INSERT: "rows_inserted", UPDATE: "rows_updated", DELETE: "rows_deleted", REVIEW: "rows_skipped"}

@@ -83,8 +83,8 @@ class VersionedTable:
         version = self._next_version(old)
         target = f"{self.path}/data/v={version:08d}"
         placed = df.withColumn(BUCKET, self.bucket_of(df))
-        # rows of one bucket meet in few tasks, so a bucket is few files
-        placed.repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(target)
+        # rows of a bucket meet in few tasks; large buckets are split, small ones share a task
+        placed.hint("rebalance", BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(target)
         fs, p = self._fs(target)
         written = {s.getPath().getName().split("=")[1] for s in fs.listStatus(p) if s.isDirectory() and "=" in s.getPath().getName()}
         kept = {} if buckets is None or old is None else {b: v for b, v in old["buckets"].items() if int(b) not in set(buckets)}

@@ -10,6 +10,18 @@ from pyspark.sql import functions as F
 from parityflow.functions.keys import q
 
 
+def jdbc_options(
+    jdbc: Mapping[str, str], table: str, fetch_size: int, partition_on: str | None, bounds: tuple | None, num_partitions: int
+) -> dict[str, str]:
+    """Reader options for a whole table, in ranges of ``partition_on`` where it has values."""
+    options = {**jdbc, "dbtable": table, "fetchsize": str(fetch_size)}
+    if partition_on is not None and bounds is not None and bounds[0] is not None:
+        options.update(
+            partitionColumn=partition_on, lowerBound=str(bounds[0]), upperBound=str(bounds[1]), numPartitions=str(num_partitions)
+        )
+    return options
+
+
 def read_table(
     spark: SparkSession,
     table: str,
@@ -30,20 +42,11 @@ def read_table(
     read with ``options``, else a table of the session catalog.
     """
     if jdbc is not None:
-        options = {**jdbc, "dbtable": table, "fetchsize": str(fetch_size)}
-        if partition_on is not None:
-            if bounds is None:
-                probe = f"(SELECT MIN({partition_on}) AS lo, MAX({partition_on}) AS hi FROM {table}) b"
-                row = spark.read.format("jdbc").options(**{**jdbc, "dbtable": probe}).load().first()
-                bounds = (row[0], row[1])
-            if bounds[0] is not None:
-                options.update(
-                    partitionColumn=partition_on,
-                    lowerBound=str(bounds[0]),
-                    upperBound=str(bounds[1]),
-                    numPartitions=str(num_partitions),
-                )
-        return spark.read.format("jdbc").options(**options).load()
+        if partition_on is not None and bounds is None:
+            probe = f"(SELECT MIN({partition_on}) AS lo, MAX({partition_on}) AS hi FROM {table}) b"
+            bounds = tuple(spark.read.format("jdbc").options(**{**jdbc, "dbtable": probe}).load().first())
+        chosen = jdbc_options(jdbc, table, fetch_size, partition_on, bounds, num_partitions)
+        return spark.read.format("jdbc").options(**chosen).load()
     if path is not None:
         return spark.read.format(fmt).options(**(options or {})).load(path)
     return spark.table(table)

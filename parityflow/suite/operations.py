@@ -12,7 +12,7 @@ from parityflow.operators import history as H
 from parityflow.plans import report as R
 from parityflow.plans.apply import result_summary
 from parityflow.plans.plan import plan
-from parityflow.plans.validate import progress_rows
+from parityflow.plans.validate import ColumnRule, TableRun, dry_run_report, progress_rows
 from parityflow.functions.cron import matches_cron
 from parityflow.session import shared_dir
 from parityflow.sources import audit as AU
@@ -193,6 +193,20 @@ def migration_report(spark, sf_dir):
     return lines.select(F.trim(cells[1]).alias("metric"), F.trim(cells[2]).alias("n"))
 
 
+@registered(ORDERS_DIFF + """, c AS (SELECT count(*) FILTER (WHERE status = 'inserted') AS i, count(*) FILTER (WHERE status = 'updated') AS u,
+ count(*) FILTER (WHERE status = 'deleted') AS x FROM d)
+SELECT 2 AS section, '| orders | orders_copy | ' || format('{:,}', (SELECT count(*) FROM orders)) || ' |' AS line
+ UNION ALL SELECT 4, '| orders | ' || format('{:,}', (SELECT count(*) FROM orders)) || ' | 0 | ' || format('{:,}', u) || ' | ' || format('{:,}', x) || ' | ' || format('{:,}', i) || ' |' FROM c
+ UNION ALL SELECT 5, '- Target column ''region'' is NOT NULL without default and missing from source - inserts will be skipped'""")
+def plan_report(spark, sf_dir):
+    """Mappings, expected work and warnings of a dry run as report lines."""
+    s, t = P.orders_pair(spark, sf_dir)
+    cfg = MigrationConfig(mode="Mirror")
+    rules = [ColumnRule(c) for c in t.columns] + [ColumnRule("region", False)]
+    dry = dry_run_report([TableRun("orders", "orders_copy", s, t, ["o_orderkey"], rules)], cfg)
+    return R.migration_plan_report(dry, cfg).filter(F.col("section").isin(2, 4, 5)).select("section", "line")
+
+
 @registered(ORDERS_DIFF + """ SELECT d.o_orderkey::VARCHAR AS "_rowId", d.status AS "_status", replace(d.changed, ',', ';') AS "_changedColumns",
  d.o_orderkey::VARCHAR AS o_orderkey, CASE WHEN d.status = 'deleted' THEN t.o_totalprice ELSE s.o_totalprice END::VARCHAR AS o_totalprice
  FROM d LEFT JOIN src s ON s.o_orderkey = d.o_orderkey LEFT JOIN tgt t ON t.o_orderkey = d.o_orderkey WHERE status <> 'matched'""")

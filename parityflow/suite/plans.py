@@ -91,7 +91,7 @@ FROM d JOIN src s ON s.o_orderkey = d.o_orderkey JOIN tgt t ON t.o_orderkey = d.
 # -- apply -------------------------------------------------------------------------
 def _applied(spark, sf_dir, **options):
     s, t = P.orders_pair(spark, sf_dir)
-    return A.apply_plan(t, PL.plan(s, t, ORDERS, MigrationConfig(**options)))
+    return A.migrate(s, t, ORDERS, MigrationConfig(**options))[0]
 
 
 @registered("SELECT * FROM orders")
@@ -142,7 +142,7 @@ def apply_partial(spark, sf_dir):
     """Only changed columns are written: cells that count as equal keep the target's form."""
     s, t = P.orders_pair(spark, sf_dir)
     cfg = CompareConfig(keys=["o_orderkey"], case_insensitive=True, numeric_tolerance=10.5)
-    return A.apply_plan(t, PL.plan(s, t, cfg, MigrationConfig(), partial=True))
+    return A.migrate(s, t, cfg, MigrationConfig(), partial=True)[0]
 
 
 _COUNT_DIFF = ORDERS_DIFF + """, c AS (SELECT count(*) FILTER (WHERE status = 'inserted') AS inserts,

@@ -133,6 +133,25 @@ def test_invariants(spark, seed):
     assert upserted.count() == one_s.count() + counts["deleted"]
 
 
+def test_hash_mode_with_many_changes_takes_the_one_pass_way(spark, monkeypatch):
+    s, t = random_frame(spark, 5, 40), random_frame(spark, 6, 40)
+    hashed = replace(ID, use_hash_mode=True)
+    few = C.diff(s, t, hashed).select("id", "status", "source", "target", "changed_columns").collect()
+    monkeypatch.setattr(C, "HASH_FETCH_KEYS", 0)
+    many = C.diff(s, t, hashed).select("id", "status", "source", "target", "changed_columns").collect()
+    assert sorted(map(str, few)) == sorted(map(str, many))
+
+
+def test_rows_of_a_hash_diff_are_not_lost_silently(spark):
+    from parityflow.plans.apply import result_table
+    from parityflow.plans.plan import decide
+
+    s = random_frame(spark, 5, 40)
+    with pytest.raises(Exception, match="hash diff"):
+        result_table(decide(C.diff(s, s, replace(ID, use_hash_mode=True))), s.columns).collect()
+    assert sync(s, s, replace(ID, use_hash_mode=True)).count() == dedupe_last(s, ["id"]).count()
+
+
 def test_delete_and_update_reach_all_copies(spark):
     t = spark.createDataFrame([(1, "a", 1.0), (1, "a", 1.0), (2, "b", 1.0)], ROW)
     s = spark.createDataFrame([(2, "c", 1.0)], ROW)

@@ -19,7 +19,8 @@ from parityflow.plans.validate import ColumnRule, required_but_absent, rules_fro
 from parityflow.sources.audit import read_audit
 from parityflow.sources.exports import display_rows, export_csv, export_json, export_lines
 from parityflow.sources.store import VersionedTable
-from parityflow.sources.tables import read_table
+from parityflow.sources.catalog import list_tables, schema_columns
+from parityflow.sources.tables import jdbc_options, read_table
 from parityflow.operators.compare import diff
 from parityflow.streaming.changes import apply_batch, apply_stream
 
@@ -143,6 +144,29 @@ def test_read_files(spark, folder):
     assert read_table(spark, "any", path=folder, fmt="csv", options={"header": True}).count() == 5
 
 
+def test_jdbc_ranges():
+    options = jdbc_options({"url": "jdbc:x"}, "t", 500, "id", (1, 90), 8)
+    assert options == {
+        "url": "jdbc:x", "dbtable": "t", "fetchsize": "500", "partitionColumn": "id", "lowerBound": "1", "upperBound": "90", "numPartitions": "8",
+    }
+    assert "partitionColumn" not in jdbc_options({}, "t", 500, "id", (None, None), 8)
+
+
+def test_catalog_of_the_session(spark, folder):
+    spark.sql(f"CREATE TABLE parity_a (id BIGINT NOT NULL, price DECIMAL(9,2)) USING parquet LOCATION '{folder}'")
+    spark.range(1).createOrReplaceTempView("parity_view")
+    try:
+        names = [r[0] for r in list_tables(spark).collect()]
+        assert "parity_a" in names and "parity_view" not in names
+        rows = schema_columns(spark, {"parity_a": spark.table("parity_a")}, {"parity_a": ["id"]}).collect()
+        assert [(r["name"], r["data_type"], r["is_primary_key"], r["precision"], r["scale"], r["ordinal_position"]) for r in rows] == [
+            ("id", "bigint", True, None, None, 1), ("price", "decimal(9,2)", False, 9, 2, 2),
+        ]
+    finally:
+        spark.sql("DROP TABLE parity_a")
+        spark.catalog.dropTempView("parity_view")
+
+
 def test_store_versions(spark, folder):
     store = VersionedTable(spark, folder, ["id"], buckets=4)
     assert store.read() is None and store.rollback() is None
