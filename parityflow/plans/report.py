@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from parityflow.config import MigrationConfig
 from parityflow.operators.schema_diff import schema_summary
+from parityflow.session import materialised
 
 LINE = "section int, part string, item string, line string"
 
@@ -44,7 +45,7 @@ def _grouped(c: Column) -> Column:
 
 def schema_diff_report(d: DataFrame, source_name: str, target_name: str) -> DataFrame:
     """Summary counts, then the changes by object type with their details."""
-    spark = d.sparkSession
+    spark, d = d.sparkSession, materialised(d)  # read by every section
     icon = F.when(F.col("change_type") == "Added", "+").when(F.col("change_type") == "Removed", "-").when(F.col("change_type") == "Modified", "~").otherwise(" ")
     s = schema_summary(d)
     counts = [("Additions", "additions"), ("Removals", "removals"), ("Modifications", "modifications"), ("Unchanged", "unchanged")]
@@ -75,7 +76,7 @@ def schema_diff_report(d: DataFrame, source_name: str, target_name: str) -> Data
 
 def migration_plan_report(dry_run: DataFrame, cfg: MigrationConfig) -> DataFrame:
     """Settings, table mappings, expected work per table and warnings, from ``dry_run_report``."""
-    spark = dry_run.sparkSession
+    spark, dry_run = dry_run.sparkSession, materialised(dry_run)  # read by every section
     settings = [("Mode", cfg.mode), ("Conflict Resolution", cfg.policy), ("Batch Size", cfg.batch_size)]
     table = F.col("source_table")
     work = _cells(table, *[_grouped(F.col(c)) for c in ("source_rows", "inserts", "updates", "deletes", "skips")])
@@ -98,7 +99,7 @@ def migration_summary_report(progress: DataFrame, cfg: MigrationConfig, status:
 
     ``errors(table_name, row_index, message)``.
     """
-    spark = progress.sparkSession
+    spark, progress = progress.sparkSession, materialised(progress)  # read by every section
     totals = [
         ("Total Rows", "total_rows"), ("Processed", "processed_rows"), ("Inserted", "inserted"), ("Updated", "updated"),
         ("Deleted", "deleted"), ("Skipped", "skipped"), ("Errors", "errors"),
