@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from parityflow.functions.keys import q
 from parityflow.operators.type_mapping import canonical_text, canonicalise
+from parityflow.session import materialised
 
 ADDED, REMOVED, MODIFIED, UNCHANGED = "Added", "Removed", "Modified", "Unchanged"
 DETAIL = "array<struct<property:string,source_value:string,target_value:string>>"
@@ -72,11 +73,17 @@ def schema_diff(source: Catalog, target: Catalog) -> DataFrame:
     Only in the source is ``Removed``, only in the target ``Added``.  A table both
     sides have shows up itself (``Unchanged``) only when it has no parts at all.
     """
-    s_names, t_names = source.tables.select("table_name").distinct(), target.tables.select("table_name").distinct()
-    common = s_names.join(t_names, "table_name", "left_semi")
+    # the list of tables is read by every part below, so it is worked out once
+    names = materialised(
+        source.tables.select("table_name", F.lit(True).alias("in_s"), F.lit(False).alias("in_t"))
+        .unionByName(target.tables.select("table_name", F.lit(False).alias("in_s"), F.lit(True).alias("in_t")))
+        .groupBy("table_name")
+        .agg(F.bool_or("in_s").alias("in_s"), F.bool_or("in_t").alias("in_t"))
+    )
+    common = names.filter("in_s AND in_t").select("table_name")
 
-    def tables(names: DataFrame, change: str) -> DataFrame:
-        return names.select(
+    def tables(found: DataFrame, change: str) -> DataFrame:
+        return found.select(
             F.lit("Table").alias("object_type"), "table_name", F.col("table_name").alias("object_name"),
             F.lit(change).alias("change_type"), F.array().cast(DETAIL).alias("details"),
         )
@@ -92,8 +99,8 @@ def schema_diff(source: Catalog, target: Catalog) -> DataFrame:
             filled = filled.unionByName(extra.select("table_name"))
     bare = common.join(filled.distinct(), "table_name", "left_anti")
     return (
-        parts.unionByName(tables(s_names.join(t_names, "table_name", "left_anti"), REMOVED))
-        .unionByName(tables(t_names.join(s_names, "table_name", "left_anti"), ADDED))
+        parts.unionByName(tables(names.filter("NOT in_t"), REMOVED))
+        .unionByName(tables(names.filter("NOT in_s"), ADDED))
         .unionByName(tables(bare, UNCHANGED))
     )
 
