@@ -52,6 +52,27 @@ def cell_text(c: Column, dtype: T.DataType) -> Column:
     return c.cast("string")
 
 
+def contains_type(dtype: T.DataType, *kinds: type) -> bool:
+    """Is one of ``kinds`` anywhere inside the type?"""
+    if isinstance(dtype, kinds):
+        return True
+    if isinstance(dtype, T.ArrayType):
+        return contains_type(dtype.elementType, *kinds)
+    if isinstance(dtype, T.MapType):
+        return contains_type(dtype.keyType, *kinds) or contains_type(dtype.valueType, *kinds)
+    return isinstance(dtype, T.StructType) and any(contains_type(f.dataType, *kinds) for f in dtype)
+
+
+def comparable(c: Column, dtype: T.DataType) -> Column:
+    """A form with equality and a hash for types that Spark gives none.
+
+    A map becomes its sorted entries; maps inside other types and variants become text.
+    """
+    if isinstance(dtype, T.MapType) and not contains_type(dtype.valueType, T.MapType, T.VariantType):
+        return F.array_sort(F.map_entries(c))
+    return F.to_json(c) if contains_type(dtype, T.MapType, T.VariantType) else c
+
+
 def normalized(c: Column, dtype: T.DataType, cfg: CompareConfig) -> Column:
     """The form of a cell on which equality is plain ``<=>``."""
     if is_text(dtype):
@@ -60,9 +81,7 @@ def normalized(c: Column, dtype: T.DataType, cfg: CompareConfig) -> Column:
         if cfg.case_insensitive:
             c = F.lower(c)
         return F.coalesce(c, F.lit("")) if cfg.null_equals_empty else c
-    if isinstance(dtype, T.MapType):
-        return F.to_json(c)  # maps have no equality in Spark
-    return c
+    return comparable(c, dtype)
 
 
 def values_equal(a: Column, a_type: T.DataType, b: Column, b_type: T.DataType, cfg: CompareConfig) -> Column:

@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parityflow.config import CompareConfig
-from parityflow.functions.equality import cell_text, is_number, normalized
+from parityflow.functions.equality import cell_text, contains_type, is_number, normalized
 from parityflow.functions.keys import q
 
 
@@ -23,7 +24,10 @@ def row_hash(df: DataFrame, columns: Sequence[str], cfg: CompareConfig) -> Colum
         dtype = df.schema[name].dataType
         value = normalized(q(name), dtype, cfg)
         # both sides have one type here, so Spark's own number text will do
-        value = value.cast("string") if is_number(dtype) else cell_text(value, dtype)
+        if contains_type(dtype, T.MapType, T.VariantType):
+            value = value.cast("string")
+        else:
+            value = value.cast("string") if is_number(dtype) else cell_text(value, dtype)
         parts.append(F.coalesce(F.concat(F.length(value).cast("string"), F.lit(":"), value), F.lit("-")))
     return F.sha2(F.concat_ws(",", *parts) if parts else F.lit(""), 256)
 

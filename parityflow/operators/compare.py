@@ -36,10 +36,11 @@ def _prepared(
     helpers = [q(n) for n in names]
     if cfg.keys_unique:
         return out.select(*carried, *helpers), names
-    ranks = [q(c).alias(f"__o{i}") for i, c in enumerate(order)]
+    # order columns travel anyway with whole rows; next to a payload they are added
+    extra = [f"__o{i}" for i in range(len(order))] if payload is not None else []
+    ranks = [q(c).alias(n) for c, n in zip(order, extra)]
     out = out.select(*carried, *helpers, *ranks, tie_break(df, keys).alias(TIE))
-    rank_names = [f"__o{i}" for i in range(len(order))] + [TIE]
-    return keep_last(out, names, rank_names).drop(*rank_names), names
+    return keep_last(out, names, [*(extra or order), TIE]).drop(*extra, TIE), names
 
 
 def _sided(df: DataFrame, side: str, names: Sequence[str]) -> DataFrame:

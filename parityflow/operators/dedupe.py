@@ -6,8 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from parityflow.functions.equality import comparable
 from parityflow.functions.keys import join_key_columns, q
 
 
@@ -17,7 +17,7 @@ TIE = "__tie"
 def tie_break(df: DataFrame, keys: Sequence[str]) -> Column:
     """A repeatable last resort where ``order_by`` leaves rows of a key tied."""
     rest = sorted(c for c in df.columns if c not in set(keys))
-    cells = [F.to_json(q(c)) if isinstance(df.schema[c].dataType, T.MapType) else q(c) for c in rest]
+    cells = [comparable(q(c), df.schema[c].dataType) for c in rest]
     return F.xxhash64(*cells) if cells else F.lit(0)
 
 

@@ -4,6 +4,7 @@ import random
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from parityflow.config import CompareConfig, MigrationConfig
 from parityflow.functions.keys import resolve_keys
@@ -75,7 +76,17 @@ def test_missing_columns_and_number_types(spark):
 def test_nested_cells(spark):
     schema = "id long, tags array<string>, props map<string,long>"
     s, t = frames(spark, [(1, ["a"], {"k": 1}), (2, ["a"], {"k": 1})], [(1, ["a"], {"k": 1}), (2, ["b"], {"k": 2})], schema)
-    assert status(C.diff(s, t, ID)) == {(1, "matched", ()), (2, "updated", ("props", "tags"))}
+    for hashed in (False, True):
+        assert status(C.diff(s, t, replace(ID, use_hash_mode=hashed))) == {(1, "matched", ()), (2, "updated", ("props", "tags"))}
+
+
+def test_maps_compare_by_content_and_variants_by_text(spark):
+    make = lambda order: spark.range(1).select(
+        "id", F.map_from_arrays(F.array(*[F.lit(k) for k in order]), F.array(*[F.lit(ord(k)) for k in order])).alias("m"),
+        F.array(F.create_map(F.lit("k"), F.lit(1))).alias("inner"), F.parse_json(F.lit('{"a":1}')).alias("doc"),
+    )
+    for hashed in (False, True):
+        assert status(C.diff(make("ab"), make("ba"), replace(ID, use_hash_mode=hashed))) == {(0, "matched", ())}
 
 
 def test_column_names_with_dots(spark):
