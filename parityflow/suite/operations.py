@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from parityflow.config import CompareConfig, MigrationConfig
+from parityflow.config import MigrationConfig
 from parityflow.operators import compare as C
 from parityflow.operators import history as H
 from parityflow.plans import report as R
@@ -59,7 +59,8 @@ RUNS_SQL = """runs AS (SELECT event_id AS id, user_id % 20 AS job_id, ts AS star
 
 def _now(spark, sf_dir):
     """The last event counts as now (one value)."""
-    return F.lit(P.load(spark, sf_dir, "events").agg(F.max("ts")).first()[0]).cast("timestamp_ntz")
+    last = P.load(spark, sf_dir, "events").agg(F.max("ts").cast("string")).first()[0]
+    return F.lit(last).cast("timestamp_ntz")
 
 
 @registered(f"WITH {RUNS_SQL} SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY started_at DESC, id DESC) AS rn FROM runs) WHERE rn = 1")
