@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 HEADLINE = (
@@ -23,6 +24,7 @@ def main() -> None:
 
     spark = get_spark("bench", f"local[{cpus}]", int(cpus) if cpus.isdigit() else 8)
     spark.sparkContext.setLogLevel("ERROR")
+    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-"))
     queries, seconds = registry.queries(), {}
 
     def once(name: str) -> float:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,14 +26,16 @@ def get_spark(app: str = "parityflow", master: str | None = None, partitions: in
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it."""
+    """The folder every executor can reach, as the session names it in ``spark.checkpoint.dir``.
+
+    Where it is unset, a session with a local master uses its warehouse; a cluster must name one.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        return configured
-    # Only reached where the cluster names no folder, as in local tests.
-    fallback = tempfile.mkdtemp(prefix="parityflow-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+        return configured.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]-]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/stages"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
