@@ -14,12 +14,14 @@ table, extra columns pass through unless they bear the output's name. Only DataF
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NEAR = 40  #: characters before a span that count as its context
+CHUNK = 256  #: elements that are summed up at a time
 BASE_KINDS = ("email", "ip", "card", "phone")
 
 
@@ -84,21 +86,51 @@ def _confirmed(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once, also where ``body`` uses it in a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _running_sum(lengths: Column) -> Column:
+    """Sums up to each element, chunk by chunk, so that long arrays are not copied at every step."""
+
+    def grown(values: Column) -> Column:
+        return F.aggregate(values, F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + x)))
+
+    def whole(values: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(CHUNK))
+        return _let(F.transform(starts, lambda i: grown(F.slice(values, i, CHUNK))), join)
+
+    def join(chunks: Column) -> Column:
+        ends = grown(F.transform(chunks, lambda c: F.coalesce(F.try_element_at(c, F.lit(-1)), F.lit(0))))
+        lifted = _let(ends, lambda e: F.transform(chunks, lambda c, i: _let(F.coalesce(F.get(e, i - 1), F.lit(0)), lambda o: F.transform(c, lambda x: x + o))))
+        return F.flatten(lifted)
+
+    return _let(lengths, whole)
+
+
 def _spans(text: Column, kind: Kind) -> Column:
-    matches, between = F.regexp_extract_all(text, F.lit(kind.guarded), F.lit(0)), F.split(text, kind.guarded, -1)
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>").alias("spans"))
-
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["between"])
-        end = start + F.length(pair["match"])
-        near = F.right(pair["between"], F.lit(NEAR)).rlike(kind.words)
-        score = F.lit(kind.score) + F.when(near, F.lit(1 - kind.score) / 2).otherwise(0.0)
-        span = F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), score.alias("score"))
-        spans = F.when(_confirmed(kind.name, pair["match"]), F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
-        return F.struct(end.alias("at"), spans.alias("spans"))
-
-    pairs = F.transform(matches, lambda m, i: F.struct(m.alias("match"), F.get(between, i).alias("between")))
-    return F.when(text.rlike(kind.hint), F.aggregate(pairs, first, step)["spans"]).otherwise(first["spans"])
+    pairs = F.zip_with(
+        F.regexp_extract_all(text, F.lit(kind.guarded), F.lit(0)), F.split(text, kind.guarded, -1), lambda m, b: F.struct(m.alias("match"), b.alias("between"))
+    )  # behind the last match only a piece is left
+
+    def located(p: Column) -> Column:
+        return _let(_running_sum(F.transform(p, lambda x: F.length(x["between"]) + F.coalesce(F.length(x["match"]), F.lit(0)))), lambda e: spans(p, e))
+
+    def spans(p: Column, ends: Column) -> Column:
+        def span(x: Column, i: Column) -> Column:
+            near = F.right(x["between"], F.lit(NEAR)).rlike(kind.words)
+            score = F.lit(kind.score) + F.when(near, F.lit(1 - kind.score) / 2).otherwise(0.0)
+            end = F.get(ends, i)
+            return F.when(
+                x["match"].isNotNull() & _confirmed(kind.name, x["match"]),
+                F.struct(F.lit(kind.name).alias("kind"), (end - F.length(x["match"])).alias("start"), end.alias("end"), score.alias("score")),
+            )
+
+        return F.filter(F.transform(p, span), lambda s: s.isNotNull())
+
+    nothing = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
+    return F.when(text.rlike(kind.hint), _let(pairs, located)).otherwise(nothing)
 
 
 def find_pii(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
