@@ -22,9 +22,8 @@ def main() -> None:
     from parityflow.session import get_spark
     from parityflow.suite import registry
 
-    spark = get_spark("bench", f"local[{cpus}]", int(cpus) if cpus.isdigit() else 8)
+    spark = get_spark("bench", f"local[{cpus}]", int(cpus) if cpus.isdigit() else 8, {"spark.checkpoint.dir": tempfile.mkdtemp(prefix="bench-")})
     spark.sparkContext.setLogLevel("ERROR")
-    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-"))
     queries, seconds = registry.queries(), {}
 
     def once(name: str) -> float:

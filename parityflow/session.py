@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def get_spark(app: str = "parityflow", master: str | None = None, partitions: int | None = None) -> SparkSession:
+def get_spark(app: str = "parityflow", master: str | None = None, partitions: int | None = None, conf: dict[str, str] | None = None) -> SparkSession:
     """A session with the settings the operators are written for."""
     builder = (
         SparkSession.builder.appName(app)
@@ -22,7 +22,7 @@ def get_spark(app: str = "parityflow", master: str | None = None, partitions: in
         builder = builder.master(master).config("spark.ui.enabled", "false")
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
-    return builder.getOrCreate()
+    return builder.config(map=conf or {}).getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -12,8 +12,7 @@ def spark(tmp_path_factory):
     os.environ.setdefault("PYSPARK_SUBMIT_ARGS", "--conf spark.ui.showConsoleProgress=false pyspark-shell")
     from parityflow.session import get_spark
 
-    session = get_spark("tests", "local[4]", 4)
+    session = get_spark("tests", "local[4]", 4, {"spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
     session.sparkContext.setLogLevel("ERROR")
-    session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()

@@ -7,6 +7,7 @@ import decimal
 import math
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -72,7 +73,7 @@ if __name__ == "__main__":
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     only = sys.argv[2:]
     os.environ.setdefault("PYSPARK_SUBMIT_ARGS", "--conf spark.ui.showConsoleProgress=false pyspark-shell")
-    spark = get_spark("check", "local[8]", 8)
+    spark = get_spark("check", "local[8]", 8, {"spark.checkpoint.dir": tempfile.mkdtemp(prefix="harness-")})
     spark.sparkContext.setLogLevel("ERROR")
     con, bad = duck(sf), 0
     queries, oracles = entry.queries(), entry.oracle_sql()
