@@ -26,7 +26,7 @@ from parityflow.session import shared_dir
 MIN_CHARS = 10  #: shorter keys are never dropped
 FANOUT = 3  #: runs of a level that are merged into the next
 BATCHES = 4  #: batches that a whole table is split into
-_LAST = F.lit((1 << 63) - 1)
+_LAST = (1 << 63) - 1
 
 
 def line_key(line: Column) -> Column:
@@ -85,7 +85,7 @@ class LineRuns:
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = BATCHES) -> DataFrame:
     """``docs`` with ``text`` replaced by its kept lines, and ``n_lines`` and ``n_dropped`` added."""
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), _LAST).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     cuts = sorted(set(rows.stat.approxQuantile("id", [i / batches for i in range(1, batches)], 0.01)))
     runs, dropped = LineRuns(spark), []
     for low, high in zip([None, *cuts], [*cuts, None]):
@@ -99,7 +99,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bat
     made = {"n_lines", "n_dropped"}
     base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in made])
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    keyed = base.withColumns({"__id": F.coalesce(F.col(doc_id).cast("long"), _LAST), "__t": F.xxhash64(whole)})
+    keyed = base.withColumns({"__id": F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)), "__t": F.xxhash64(whole)})
     joined = keyed.join(gone, ["__id", "__t"], "left").withColumn("__lines", F.split(whole, "\n", -1))
     places = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
     kept = F.when(F.col("__gone").isNull(), whole).otherwise(F.array_join(F.transform(places, lambda p: F.col("__lines")[p]), "\n"))

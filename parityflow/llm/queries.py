@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parityflow.llm import bpe, language, linededup, mixing, pii
+from parityflow.llm import bpe, language, linededup, mixing, neardup, pii, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,27 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best candidates of every query vector (ids divisible by 100)."""
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
+OP2_SQL = """
+WITH v AS (SELECT vec_id, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e)::BIGINT AS score
+      FROM v q JOIN v ON v.vec_id <> q.vec_id AND len(v.e) = len(q.e) WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+def op3_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors of one label with a cosine of 0.98 or more."""
+    return neardup.link_embeddings(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document that no earlier document holds."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -100,10 +121,12 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_topk": op2_topk,
+    "op3_embedding_neardup": op3_embedding_neardup,
     "op4_line_dedup": op4_line_dedup,
     "op5_source_mixing": op5_source_mixing,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op8_language_id": op8_language_id,
     "op9_pii": op9_pii,
 }
-ORACLES = {"op4_line_dedup": OP4_SQL, "op5_source_mixing": OP5_SQL}
+ORACLES = {"op2_topk": OP2_SQL, "op4_line_dedup": OP4_SQL, "op5_source_mixing": OP5_SQL}
