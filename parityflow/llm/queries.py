@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parityflow.llm import bpe, language, linededup, mixing, neardup, pii, topk
+from parityflow.llm import bpe, jaccard, language, linededup, mixing, neardup, pii, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -120,7 +120,28 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, digest.alias("base_sha256"), pii.span_text(F.col("pii")).alias("spans"), scores.alias("scores"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose five-word shingles have a Jaccard similarity of 0.75 or more."""
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x20\x09-\x0D]+') AS ws FROM documents),
+t AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+  ELSE [array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM t a JOIN t b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.doc_id WHERE r.c < e.y),
+m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
+SELECT m.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM m LEFT JOIN n USING (doc_id)
+"""
+
+
 QUERIES = {
+    "op10_jaccard_join": op10_jaccard_join,
     "op2_topk": op2_topk,
     "op3_embedding_neardup": op3_embedding_neardup,
     "op4_line_dedup": op4_line_dedup,
@@ -129,4 +150,4 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_pii": op9_pii,
 }
-ORACLES = {"op2_topk": OP2_SQL, "op4_line_dedup": OP4_SQL, "op5_source_mixing": OP5_SQL}
+ORACLES = {"op2_topk": OP2_SQL, "op10_jaccard_join": OP10_SQL, "op4_line_dedup": OP4_SQL, "op5_source_mixing": OP5_SQL}
