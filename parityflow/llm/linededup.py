@@ -86,7 +86,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bat
     """``docs`` with ``text`` replaced by its kept lines, and ``n_lines`` and ``n_dropped`` added."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    cuts = sorted(set(rows.stat.approxQuantile("id", [i / batches for i in range(1, batches)], 0.01)))
+    points = [i / batches for i in range(1, batches)]
+    cuts = sorted(set(rows.stat.approxQuantile("id", points, 0.01))) if points else []
     runs, dropped = LineRuns(spark), []
     for low, high in zip([None, *cuts], [*cuts, None]):
         batch = rows if low is None else rows.filter(F.col("id") > low)

@@ -93,8 +93,7 @@ def decide(
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     state = units.join(targets, F.col("source").eqNullSafe(F.col("s1"))).drop("s1")
-    state = state.withColumns({"words": F.col("size") * F.col("n_rows"), "rate": rate}).withColumn("copies", F.floor("rate"))
-    state = state.withColumn("p", F.col("rate") - F.col("copies"))
+    state = state.withColumns({"words": F.col("size") * F.col("n_rows"), "rate": rate}).withColumns({"copies": F.when(F.col("size") > 0, F.floor("rate")).otherwise(0), "p": F.col("rate") - F.floor("rate")})
     state = materialised(state.withColumn("rank", F.when(F.col("p") > 0, u / (1 - u) * ((1 - F.col("p")) / F.col("p")))))
     for n in range(1 + TOP_UPS):
         used = state.groupBy(F.col("source").alias("s1")).agg(F.sum(F.col("copies") * F.col("words")).alias("used"))

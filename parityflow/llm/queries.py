@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parityflow.llm import bpe, jaccard, language, linededup, mixing, neardup, pii, topk
+from parityflow.llm import bpe, edits, jaccard, language, linededup, mixing, neardup, passages, pii, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,33 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def sample_edits(docs: DataFrame) -> DataFrame:
+    """Three edits of every document: a cut in the middle, an insertion at two thirds, the source at the end."""
+    n = F.length("text")
+    third, at = F.floor(n / 3).cast("long"), F.floor(n * 2 / 3).cast("long")
+    kind = "struct<seq:int,start:bigint,finish:bigint,new:string>"
+    each = F.array(
+        F.struct(F.lit(1), third, third + 20, F.lit("")).cast(kind),
+        F.struct(F.lit(2), at, at, F.concat(F.lit(" note "), F.col("doc_id").cast("string"), F.lit("'s"))).cast(kind),
+        F.struct(F.lit(3), F.lit(None), F.lit(None), F.coalesce(F.col("source"), F.lit(""))).cast(kind),
+    )
+    return docs.select("doc_id", F.inline(each))
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after its edits."""
+    docs = _table(spark, sf_dir, "documents")
+    vocabulary = bpe.read_vocabulary(vocabulary_path())
+    lexicon = bpe.build_lexicon(docs.select("text"), vocabulary)
+    counted = edits.count_edited(docs.select("doc_id", "text"), sample_edits(docs.select("doc_id", "text", "source")), vocabulary, lexicon)
+    return counted.select("doc_id", "n_tokens", "n_tokens_after", "chars_encoded", "chars_reencoded")
+
+
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of all documents that an earlier document holds too."""
+    return passages.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 best candidates of every query vector (ids divisible by 100)."""
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -141,6 +168,8 @@ SELECT m.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM m LEFT JOIN n
 
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op7_repeated_passages": op7_repeated_passages,
     "op10_jaccard_join": op10_jaccard_join,
     "op2_topk": op2_topk,
     "op3_embedding_neardup": op3_embedding_neardup,
