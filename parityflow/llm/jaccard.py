@@ -15,12 +15,12 @@ the next smaller band gives off signatures for that band too.
 Sets with an equal signature are compared exactly: first everything with one of its group; what
 this links is one component, and only groups that still hold several components are compared
 further, in chunks, where a parity sketch sorts out pairs that differ too much. Equal sets are
-one node throughout, so copies are never paired. No group is cut short.
+linked to the smallest of their ids beforehand and sign once in a task. No group is cut short.
 
 Rows with null or empty text have an empty set and link with nothing; a null id links with
 nothing and has no component. Rows that share an id are one document with several texts.
 Empty tables give empty tables; extra columns are not returned. Shingles and sets are compared
-by 64-bit hashes.
+by 64-bit hashes; signatures keep 48 bits, as a chance meeting costs a comparison only.
 """
 
 from __future__ import annotations
@@ -145,26 +145,28 @@ SIGN_ROWS = 2_000_000  #: signatures that a task groups before it hands them on
 
 
 def _sign(frequent: np.ndarray):
+    """``sig, id, more``: per task one row for each signature, further ids packed into ``more``."""
+
     def run(batches):
         held: list[tuple[np.ndarray, int]] = []
         count, known = 0, set()
 
         def rows():
-            sig = np.concatenate([s for s, _ in held]).view(np.int64)
-            f = np.repeat(np.array([x for _, x in held], np.int64), [len(s) for s, _ in held])
-            keys, start, size, f = _grouped(sig, f)
-            more = pa.array([f[a + 1 : a + k].tobytes() if k > 1 else None for a, k in zip(start.tolist(), size.tolist())], pa.binary())
-            table = pa.table([pa.array(keys), pa.array(f[start]), more], ["sig", "f", "more"])
+            sig = (np.concatenate([s for s, _ in held]) >> np.uint64(16)).view(np.int64)
+            ids = np.repeat(np.array([x for _, x in held], np.int64), [len(s) for s, _ in held])
+            keys, start, size, ids = _grouped(sig, ids)
+            more = pa.array([ids[a + 1 : a + k].tobytes() if k > 1 else None for a, k in zip(start.tolist(), size.tolist())], pa.binary())
+            table = pa.table([pa.array(keys), pa.array(ids[start]), more], ["sig", "id", "more"])
             yield from table.to_batches(max_chunksize=65_536)
 
         for batch in batches:
-            for _, sets in _sets(batch):
-                for tokens in sets:
+            for step, sets in _sets(batch):
+                for own, tokens in zip(step.column(0).to_pylist(), sets):
                     if not len(tokens) or (f := fingerprint(tokens)) in known:
                         continue
                     if len(known) < SIGN_ROWS:
                         known.add(f)
-                    held.append((signatures(tokens, frequent), f))
+                    held.append((signatures(tokens, frequent), own))
                     count += len(held[-1][0])
                 if count >= SIGN_ROWS:
                     yield from rows()
@@ -211,27 +213,33 @@ def _sketch(tokens: np.ndarray) -> bytes:
 
 
 def _fetch(bits: np.ndarray, sketch: bool):
-    """``id, f, n, body`` (sets, or sketches) of ``id, place, text`` where the filter has ``place``."""
+    """``id, n, body`` (texts, or sketches with the sizes of their sets) of ``id, place, text`` where the filter has ``place``."""
 
     def run(batches):
         for batch in batches:
             place = batch.column(1).to_numpy(zero_copy_only=False)
             keep = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1
             wanted = batch.filter(pa.array(keep.astype(bool)))
+            if not sketch:
+                none = pa.nulls(wanted.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([wanted.column(0), none, wanted.column(2).cast(pa.binary())], ["id", "n", "body"])
+                continue
             for step, sets in _sets(wanted):
-                body = [_sketch(s) if sketch else s.tobytes() for s in sets]
-                columns = [step.column(0), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(body, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "f", "n", "body"])
+                columns = [step.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_sketch(s) for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "body"])
 
     return run
 
 
 def _verify(batches):
-    """Pairs ``a, b`` of ``a, b, x, y`` whose sets are similar."""
+    """Pairs ``a, b`` of ``a, b, x, y`` whose texts have similar sets."""
+    last = (None, None)  # pairs with one text come together
     for batch in batches:
         keep = []
-        for x, y in zip(batch.column(2), batch.column(3)):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            if last[0] != x:
+                last = (x, next(shingle_sets([x.decode()])))
+            x, y = last[1], next(shingle_sets([y.decode()]))
             r, s = sorted((len(x), len(y)))
             keep.append(4 * r >= 3 * s and similar(len(np.intersect1d(x, y, assume_unique=True)), r, s))
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -242,7 +250,7 @@ def _compare(table: pa.Table) -> pa.Table:
     cells = table.column("cell").to_numpy()
     order = np.argsort(cells, kind="stable")
     starts = np.flatnonzero(np.diff(cells[order], prepend=cells[order][0] - 1))
-    f, n, component, mine = (table.column(c).to_numpy() for c in ("f", "n", "component", "mine"))
+    ids, n, component, mine = (table.column(c).to_numpy() for c in ("id", "n", "component", "mine"))
     sketches = np.frombuffer(b"".join(table.column("body").to_pylist()), np.uint64).reshape(len(cells), -1)
     found = set()
     for start, end in zip(starts, [*starts[1:], len(order)]):
@@ -251,40 +259,37 @@ def _compare(table: pa.Table) -> pa.Table:
         for i in here[mine[here] < 2].tolist():
             fit = (component[right] != component[i]) & (4 * np.minimum(n[right], n[i]) >= 3 * np.maximum(n[right], n[i]))
             if mine[i] == 1:
-                fit &= f[right] > f[i]
+                fit &= ids[right] > ids[i]
             others = right[fit]
             differ = np.bitwise_count(sketches[others] ^ sketches[i]).sum(axis=1, dtype=np.int64)
-            found.update((min(int(f[i]), int(j)), max(int(f[i]), int(j))) for j in f[others[differ <= (n[others] + n[i]) // 7]].tolist())
+            found.update((min(int(ids[i]), int(j)), max(int(ids[i]), int(j))) for j in ids[others[differ <= (n[others] + n[i]) // 7]].tolist())
     a, b = zip(*found) if found else ((), ())
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _wanted_texts(docs: DataFrame, sets: DataFrame, nodes: DataFrame, sketch: bool) -> DataFrame:
-    """``f, n, body`` of the sets in ``nodes``, worked out again from one text of each.
+def _wanted_texts(docs: DataFrame, ids: DataFrame, sketch: bool) -> DataFrame:
+    """``id, n, body`` of the documents in ``ids``.
 
     A filter of fixed size, summed up in the tasks, tells which texts to look at; what passes it
     by chance goes with the join, so it sways cost only.
     """
-    spark = docs.sparkSession
-    reps = materialised(nodes.distinct().join(sets.groupBy("f").agg(F.min("id").alias("id")), "f"))
+    wanted = materialised(ids.distinct())
     place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
     # bitmap positions and buckets count from one
-    maps = reps.select((place + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    size = FILTER_BITS // 32_768
-    bits = np.zeros((size + 1, 4_096), np.uint8)
+    maps = wanted.select((place + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    bits = np.zeros((FILTER_BITS // 32_768 + 1, 4_096), np.uint8)
     for row in maps.collect():  # at most FILTER_BITS / 8 bytes
         bits[row.bucket - 1] = np.frombuffer(row.bits, np.uint8)
-    shared = spark.sparkContext.broadcast(bits.reshape(-1))
+    shared = docs.sparkSession.sparkContext.broadcast(bits.reshape(-1))
     fetch = lambda batches: _fetch(shared.value, sketch)(batches)
-    bodies = docs.select("id", place.alias("place"), "text").mapInArrow(fetch, "id long, f long, n long, body binary")
-    return bodies.join(reps, ["id", "f"], "left_semi").select("f", "n", "body")
+    bodies = docs.select("id", place.alias("place"), "text").mapInArrow(fetch, "id long, n long, body binary")
+    return bodies.join(wanted, "id", "left_semi")
 
 
-def _links(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs ``a, b`` that are similar, compared exactly."""
-    nodes = pairs.select(F.col("a").alias("f")).union(pairs.select("b"))
-    bodies = materialised(_wanted_texts(docs, sets, nodes, sketch=False))
-    left, right = bodies.select(F.col("f").alias("a"), F.col("body").alias("x")), bodies.select(F.col("f").alias("b"), F.col("body").alias("y"))
+    bodies = _wanted_texts(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")), sketch=False)
+    left, right = bodies.select(F.col("id").alias("a"), F.col("body").alias("x")), bodies.select(F.col("id").alias("b"), F.col("body").alias("y"))
     return materialised(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"))
 
 
@@ -293,46 +298,31 @@ def jaccard_components(documents: DataFrame, doc_id: str = "doc_id", text: str =
     spark = documents.sparkSession
     every = documents.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     sets = materialised(every.mapInArrow(_describe, "id long, n long, f long"))
-    docs, full = every.filter("id IS NOT NULL"), sets.filter("id IS NOT NULL AND n > 0")
+    docs, full = every.filter("id IS NOT NULL AND text IS NOT NULL"), sets.filter("id IS NOT NULL AND n > 0")
+    copies = full.join(full.groupBy("f").agg(F.min("id").alias("first")), "f").filter("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
     share = min(1.0, SAMPLE_DOCS / max(1, full.count()))
     sampled = docs.filter(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1_000_000)) < int(share * 1_000_000))
     counts = sampled.mapInArrow(_count_shingles, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
     top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT_SHINGLES).select("token").toArrow()
     shared = spark.sparkContext.broadcast(np.sort(top.column(0).to_numpy().astype(np.int64).view(np.uint64)))
-    signed = docs.mapInArrow(lambda batches: _sign(shared.value)(batches), "sig long, f long, more binary")
+    signed = docs.mapInArrow(lambda batches: _sign(shared.value)(batches), "sig long, id long, more binary")
     met = materialised(signed.repartition("sig").mapInArrow(_meet, "large boolean, a long, b long"))
-    links = _links(met.filter("NOT large").select("a", "b").distinct(), docs, full)
-    first = components(links)
+    links = copies.union(_links(met.filter("NOT large").select("a", "b").distinct(), docs))
+    first = materialised(components(links))
     # groups that one component holds are done; the others are compared across components
-    members = met.filter("large").select(F.col("a").alias("grp"), F.col("b").alias("f")).distinct()
-    placed = members.join(first, F.col("f") == F.col("node"), "left").select("grp", "f", F.coalesce("component", "f").alias("component"))
+    members = met.filter("large").select(F.col("a").alias("grp"), F.col("b").alias("id")).distinct()
+    placed = members.join(first, F.col("id") == F.col("node"), "left").select("grp", "id", F.coalesce("component", "id").alias("component"))
     placed = materialised(placed)
     open_ = placed.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).filter("low <> high")
     open_ = open_.select("grp", F.ceil(F.col("size") / CHUNK_ROWS).cast("int").alias("chunks"))
     pending = materialised(placed.join(open_, "grp"))
-    sketches = _wanted_texts(docs, full, pending.select("f"), sketch=True)
-    rows = pending.join(sketches, "f").withColumn("c", F.pmod(F.xxhash64("f"), "chunks").cast("int"))
+    rows = pending.join(_wanted_texts(docs, pending.select("id"), sketch=True), "id").withColumn("c", F.pmod(F.xxhash64("id"), "chunks").cast("int"))
     celled = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     celled = celled.withColumn("cell", F.xxhash64("grp", F.least("c", "o"), F.greatest("c", "o")))
     celled = celled.withColumn("mine", F.when(F.col("c") == F.col("o"), 1).when(F.col("c") < F.col("o"), 0).otherwise(2))
     bins = max(64, pending.count() // BIN_ROWS)
-    binned = celled.select("f", "n", "component", "body", "cell", "mine", F.pmod("cell", F.lit(bins)).alias("bin"))
+    binned = celled.select("id", "n", "component", "body", "cell", "mine", F.pmod("cell", F.lit(bins)).alias("bin"))
     later = materialised(binned.groupBy("bin").applyInArrow(_compare, "a long, b long").distinct())
-    groups = first
-    if not later.isEmpty():
-        groups = components(links.union(_links(later, docs, full)))
-    labelled = full.join(groups, F.col("f") == F.col("node"), "left").select("id", "n", "f", F.coalesce("component", "f").alias("component"))
-    # the same id may stand on several rows with different texts, which ties their groups together
-    least = labelled.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = labelled.join(least, "component").select("id", "f", "component_id")
-    return _finish(sets, named)
-
-
-def _finish(sets: DataFrame, named: DataFrame) -> DataFrame:
-    repeated = named.groupBy("id").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high")).filter("low <> high")
-    if not repeated.isEmpty():  # ids on several rows join their groups
-        ties = components(named.join(repeated.select("id"), "id").select("id", "component_id").union(named.select("id", "component_id")))
-        named = named.join(ties, F.col("component_id") == F.col("node"), "left").select("id", "f", F.coalesce("component", "component_id").alias("component_id"))
-    of_set = named.select(F.col("id").alias("i"), F.col("f").alias("g"), "component_id").distinct()
-    joined = sets.join(of_set, (F.col("id") == F.col("i")) & (F.col("f") == F.col("g")), "left")
-    return joined.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    groups = first if later.isEmpty() else components(first.union(_links(later, docs)))
+    joined = sets.join(groups, F.col("id") == F.col("node"), "left")
+    return joined.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
