@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parityflow.session import materialised
+
 # The split pattern of byte-level vocabularies of this kind.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -231,14 +233,10 @@ class Lexicon:
 
 
 def mapped(data: bytes) -> mmap.mmap:
-    """``data`` as a read-only mapping of a file in this machine's temporary folder, written once."""
-    path = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.sha256(data).hexdigest()[:32]}.bin")
-    if not os.path.exists(path) or os.path.getsize(path) != len(data):
-        part = f"{path}.{os.getpid()}"
-        with open(part, "wb") as f:
-            f.write(data)
-        os.replace(part, path)
-    with open(path, "rb") as f:
+    """``data`` as a read-only mapping of a temporary file, which goes with the mapping."""
+    with tempfile.TemporaryFile() as f:
+        f.write(data)
+        f.flush()
         return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
 
 
@@ -341,9 +339,16 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, vocabulary: bytes, text: str = "text", words: int = LEXICON_WORDS) -> bytes:
-    """The compiled lexicon of the ``words`` most frequent words of the corpus (ties to the smaller word)."""
-    short = word_counts(docs, text).filter(F.octet_length("word") <= LEXICON_WORD_BYTES)
-    top = short.orderBy(F.desc("n"), "word").limit(words).select("word").collect()  # bounded by ``words``
+    """The compiled lexicon of the most frequent words of the corpus, ``words`` at most; words as rare as the first left out stay out."""
+    short = materialised(word_counts(docs, text).filter((F.octet_length("word") <= LEXICON_WORD_BYTES) & (F.col("n") > 1)))
+    # the count from which on at most ``words`` words remain, so that no task offers more than its part of them
+    left, cut = words, None
+    for n, held in sorted(((r.n, r.held) for r in short.groupBy("n").agg(F.count(F.lit(1)).alias("held")).collect()), reverse=True):
+        left -= held
+        if left < 0:
+            break
+        cut = n
+    top = short.filter(F.col("n") >= cut).select("word").collect() if cut else []
     v = Vocabulary(vocabulary)
     return Lexicon.build({(w := r.word.encode()): v.merge(w) for r in top})
 
