@@ -14,7 +14,8 @@ the next smaller band gives off signatures for that band too.
 
 Sets with an equal signature are compared exactly: first everything with one of its group; what
 this links is one component, and only groups that still hold several components are compared
-further, in chunks, where a parity sketch sorts out pairs that differ too much. Equal sets are
+further, in chunks. Before texts are compared, a parity sketch sorts out pairs that differ too
+much, and pairs within a component that other pairs have made are left out. Equal sets are
 linked to the smallest of their ids beforehand and sign once in a task. No group is cut short.
 
 Rows with null or empty text have an empty set and link with nothing; a null id links with
@@ -141,7 +142,7 @@ def _grouped(sig: np.ndarray, f: np.ndarray):
     return sig[start], start, np.diff(start, append=len(f)), f
 
 
-SIGN_ROWS = 2_000_000  #: signatures that a task groups before it hands them on
+SIGN_ROWS = 1_000_000  #: signatures that a task groups before it hands them on
 
 
 def _sign(frequent: np.ndarray):
@@ -212,6 +213,18 @@ def _sketch(tokens: np.ndarray) -> bytes:
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
+def _possible(batches):
+    """Pairs ``a, b`` of ``a, b, n1, n2, x, y`` that sizes and sketches leave possible."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        n1, n2 = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(len(n1), -1) for i in (4, 5))
+        differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        fit = (4 * np.minimum(n1, n2) >= 3 * np.maximum(n1, n2)) & (differ <= (n1 + n2) // 7)
+        yield batch.select([0, 1]).filter(pa.array(fit))
+
+
 def _fetch(bits: np.ndarray, sketch: bool):
     """``id, n, body`` (texts, or sketches with the sizes of their sets) of ``id, place, text`` where the filter has ``place``."""
 
@@ -286,8 +299,21 @@ def _wanted_texts(docs: DataFrame, ids: DataFrame, sketch: bool) -> DataFrame:
     return bodies.join(wanted, "id", "left_semi")
 
 
-def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` that are similar, compared exactly."""
+def _links(pairs: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
+    """Links enough to join what the similar ones of the pairs ``a, b`` join, added to ``known`` links.
+
+    One pair of every document is compared first; of the others only those that join components.
+    """
+    first = known.union(_compared(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), docs))
+    groups = components(first)
+    of_a, of_b = (groups.select(F.col("node").alias(f"n{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
+    placed = pairs.join(of_a, F.col("a") == F.col("na"), "left").join(of_b, F.col("b") == F.col("nb"), "left")
+    apart = placed.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    return materialised(first.union(_compared(materialised(apart), docs)))
+
+
+def _compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` whose texts have similar sets."""
     bodies = _wanted_texts(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")), sketch=False)
     left, right = bodies.select(F.col("id").alias("a"), F.col("body").alias("x")), bodies.select(F.col("id").alias("b"), F.col("body").alias("y"))
     return materialised(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"))
@@ -307,7 +333,12 @@ def jaccard_components(documents: DataFrame, doc_id: str = "doc_id", text: str =
     shared = spark.sparkContext.broadcast(np.sort(top.column(0).to_numpy().astype(np.int64).view(np.uint64)))
     signed = docs.mapInArrow(lambda batches: _sign(shared.value)(batches), "sig long, id long, more binary")
     met = materialised(signed.repartition("sig").mapInArrow(_meet, "large boolean, a long, b long"))
-    links = copies.union(_links(met.filter("NOT large").select("a", "b").distinct(), docs))
+    pairs = materialised(met.filter("NOT large").select("a", "b").distinct())
+    sketches = materialised(_wanted_texts(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")), sketch=True))
+    left, right = (sketches.select(F.col("id").alias(i), F.col("n").alias(n), F.col("body").alias(body)) for i, n, body in (("a", "n1", "x"), ("b", "n2", "y")))
+    compared = pairs.join(right, "b").join(left, "a").select("a", "b", "n1", "n2", "x", "y")
+    likely = materialised(compared.mapInArrow(_possible, "a long, b long").distinct())
+    links = _links(likely, docs, materialised(copies))
     first = materialised(components(links))
     # groups that one component holds are done; the others are compared across components
     members = met.filter("large").select(F.col("a").alias("grp"), F.col("b").alias("id")).distinct()
@@ -316,13 +347,13 @@ def jaccard_components(documents: DataFrame, doc_id: str = "doc_id", text: str =
     open_ = placed.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).filter("low <> high")
     open_ = open_.select("grp", F.ceil(F.col("size") / CHUNK_ROWS).cast("int").alias("chunks"))
     pending = materialised(placed.join(open_, "grp"))
-    rows = pending.join(_wanted_texts(docs, pending.select("id"), sketch=True), "id").withColumn("c", F.pmod(F.xxhash64("id"), "chunks").cast("int"))
+    rows = pending.join(sketches, "id").withColumn("c", F.pmod(F.xxhash64("id"), "chunks").cast("int"))
     celled = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     celled = celled.withColumn("cell", F.xxhash64("grp", F.least("c", "o"), F.greatest("c", "o")))
     celled = celled.withColumn("mine", F.when(F.col("c") == F.col("o"), 1).when(F.col("c") < F.col("o"), 0).otherwise(2))
     bins = max(64, pending.count() // BIN_ROWS)
     binned = celled.select("id", "n", "component", "body", "cell", "mine", F.pmod("cell", F.lit(bins)).alias("bin"))
     later = materialised(binned.groupBy("bin").applyInArrow(_compare, "a long, b long").distinct())
-    groups = first if later.isEmpty() else components(first.union(_links(later, docs)))
+    groups = first if later.isEmpty() else components(_links(later, docs, first.filter("node <> component")))
     joined = sets.join(groups, F.col("id") == F.col("node"), "left")
     return joined.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
