@@ -12,7 +12,7 @@ neighbouring marked paragraphs make one passage, reported from ``MIN_WORDS`` wor
 Equal paragraphs are one node, so copies are never paired. Null or empty texts have no paragraphs;
 rows with a null id are left out; rows that share an id are one document. Places are code points
 of the row's text, the end exclusive. Empty tables give empty tables; extra columns are not
-returned. Texts of more than a megabyte are cut at white space for this.
+returned. Texts of more than ``BLOCK_BYTES`` are cut at white space for this.
 """
 
 from __future__ import annotations
@@ -136,7 +136,7 @@ def _occurrences(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["id", "place", "start", "finish", "words", "f"])
 
 
-SIGN_ROWS = 1_000_000
+SIGN_ROWS = 200_000
 
 
 def _sign(batches):
@@ -144,8 +144,11 @@ def _sign(batches):
     held, count = [], 0
 
     def rows():
-        both = np.unique(np.concatenate(held), axis=0)
-        yield from pa.table([pa.array(both[:, 0]), pa.array(both[:, 1])], ["sig", "f"]).to_batches(max_chunksize=65_536)
+        sig, f = np.concatenate(held).T
+        order = np.lexsort((f, sig))
+        sig, f = sig[order], f[order]
+        new = np.append(True, (sig[1:] != sig[:-1]) | (f[1:] != f[:-1]))
+        yield from pa.table([pa.array(sig[new]), pa.array(f[new])], ["sig", "f"]).to_batches(max_chunksize=65_536)
 
     for _, _, p in _columns(batches):
         if not len(p.node):

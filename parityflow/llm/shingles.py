@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 
 WORDS = 5
-BLOCK_BYTES = 1 << 20  #: words are hashed in blocks of about this size
+BLOCK_BYTES = 1 << 18  #: words are hashed in blocks of about this size
 _FACTOR = 0x9E3779B97F4A7C15 | 1
 _rng = np.random.default_rng(20)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
