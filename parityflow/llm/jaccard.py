@@ -41,7 +41,7 @@ SMALL_SET = 64  #: smaller sets have one segment per shingle
 SAMPLE_DOCS = 5_000  #: documents in which shingles are counted, about
 FREQUENT = 4  #: documents of the sample that make a shingle frequent
 FREQUENT_SHINGLES = 65_536  #: most of them that are told to the tasks
-SKETCH_BITS = 1_024
+SKETCH_BITS = 512  #: of the smallest sketches; larger sets have as many bits as elements, rounded up to a power of two
 CHUNK_ROWS = 1_024  #: sets of a group that are compared at a time
 BIN_ROWS = 20_000
 FILTER_BITS = 1 << 24  #: of the filter that keeps texts without candidates from being moved
@@ -208,19 +208,35 @@ def _meet(batches):
 
 
 def _sketch(tokens: np.ndarray) -> bytes:
-    """Parity of the set in each of ``SKETCH_BITS`` cells: differs in no more cells than sets differ in elements."""
-    counts = np.bincount((tokens >> np.uint64(23)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS)
+    """Parity of the set in each cell: two sketches differ in no more cells than the sets in elements."""
+    bits = max(SKETCH_BITS, 1 << max(0, len(tokens) - 1).bit_length())
+    counts = np.bincount(((tokens >> np.uint64(23)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
+def _fold(sketches: np.ndarray) -> np.ndarray:
+    """The sketches of half the width."""
+    half = sketches.shape[-1] // 2
+    return sketches[..., :half] ^ sketches[..., half:]
+
+
+def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cells in which sketches differ, at the smaller width."""
+    while x.shape[-1] > y.shape[-1]:
+        x = _fold(x)
+    while y.shape[-1] > x.shape[-1]:
+        y = _fold(y)
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+
+
 def _possible(batches):
     """Pairs ``a, b`` of ``a, b, n1, n2, x, y`` that sizes and sketches leave possible."""
     for batch in batches:
         if not batch.num_rows:
             continue
         n1, n2 = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(len(n1), -1) for i in (4, 5))
-        differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        x, y = ([np.frombuffer(v, np.uint64) for v in batch.column(i).to_pylist()] for i in (4, 5))
+        differ = np.array([int(_differ(p, q)) for p, q in zip(x, y)])
         fit = (4 * np.minimum(n1, n2) >= 3 * np.maximum(n1, n2)) & (differ <= (n1 + n2) // 7)
         yield batch.select([0, 1]).filter(pa.array(fit))
 
@@ -264,18 +280,24 @@ def _compare(table: pa.Table) -> pa.Table:
     order = np.argsort(cells, kind="stable")
     starts = np.flatnonzero(np.diff(cells[order], prepend=cells[order][0] - 1))
     ids, n, component, mine = (table.column(c).to_numpy() for c in ("id", "n", "component", "mine"))
-    sketches = np.frombuffer(b"".join(table.column("body").to_pylist()), np.uint64).reshape(len(cells), -1)
+    sketches = [np.frombuffer(v, np.uint64) for v in table.column("body").to_pylist()]
+    width = np.array([len(v) for v in sketches])
     found = set()
     for start, end in zip(starts, [*starts[1:], len(order)]):
         here = order[start:end]
         right = here[mine[here] > 0]
-        for i in here[mine[here] < 2].tolist():
-            fit = (component[right] != component[i]) & (4 * np.minimum(n[right], n[i]) >= 3 * np.maximum(n[right], n[i]))
-            if mine[i] == 1:
-                fit &= ids[right] > ids[i]
-            others = right[fit]
-            differ = np.bitwise_count(sketches[others] ^ sketches[i]).sum(axis=1, dtype=np.int64)
-            found.update((min(int(ids[i]), int(j)), max(int(ids[i]), int(j))) for j in ids[others[differ <= (n[others] + n[i]) // 7]].tolist())
+        stacks = {w: np.stack([sketches[j] for j in right[width[right] == w].tolist()]) for w in np.unique(width[right]).tolist()}
+        for w, stack in stacks.items():
+            others = right[width[right] == w]
+            for i in here[mine[here] < 2].tolist():
+                if not w // 2 <= width[i] <= 2 * w:  # sizes too far apart
+                    continue
+                fit = (component[others] != component[i]) & (4 * np.minimum(n[others], n[i]) >= 3 * np.maximum(n[others], n[i]))
+                if mine[i] == 1:
+                    fit &= ids[others] > ids[i]
+                at = np.flatnonzero(fit)
+                at = at[_differ(stack[at], sketches[i]) <= (n[others[at]] + n[i]) // 7]
+                found.update((min(int(ids[i]), int(j)), max(int(ids[i]), int(j))) for j in ids[others[at]].tolist())
     a, b = zip(*found) if found else ((), ())
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
