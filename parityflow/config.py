@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 # The accepted migration modes and conflict policies.
-MODES = ("Upsert", "Mirror", "AppendOnly", "Merge", "SchemaOnly")
+MODES = ("InsertUpdate", "Mirror", "AppendOnly", "Merge", "SchemaOnly")
 POLICIES = ("SourceWins", "TargetWins", "NewestWins", "ManualReview", "CustomRules")
 
 
@@ -38,7 +38,7 @@ class CompareConfig:
 class MigrationConfig:
     """What to do with the rows of a diff."""
 
-    mode: str = "Upsert"
+    mode: str = "InsertUpdate"
     policy: str = "SourceWins"
     batch_size: int = 1000
     timestamp_column: str = "updated_at"

@@ -186,7 +186,8 @@ class Default:
             return df.withColumn(self.column, F.lit(self.value))
         dtype = df.schema[self.column].dataType
         c, value = q(self.column), F.lit(self.value)
-        if is_text(dtype) or is_number(dtype) == isinstance(self.value, (int, float)):
+        numeric = isinstance(self.value, (int, float)) and not isinstance(self.value, bool)
+        if is_text(dtype) or is_number(dtype) == numeric:
             return df.withColumn(self.column, F.coalesce(c, value if is_number(dtype) else value.cast(dtype)))
         return df.withColumn(self.column, F.coalesce(cell_text(c, dtype), value.cast("string")))
 

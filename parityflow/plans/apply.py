@@ -66,7 +66,14 @@ def sync(
     cfg: MigrationConfig = MigrationConfig(),
     partial: bool = False,
 ) -> DataFrame:
-    """Diff, decide and apply in one pass: one shuffle per side in total."""
+    """Diff, decide and apply in one pass: one shuffle per side in total.
+
+    That holds where ``keys_unique`` promises it, and for a mirror, whose result has one row
+    for each key of the source. Otherwise target rows that share a key must all survive, so
+    the decisions are joined to the whole target as in ``migrate``.
+    """
+    if not compare.keys_unique and cfg.mode != "Mirror":
+        return migrate(source, target, replace(compare, use_hash_mode=False), cfg, partial)[0]
     d = diff(source, target, replace(compare, use_hash_mode=False))
     return result_table(decide(d, cfg, partial, target.columns), target.columns)
 

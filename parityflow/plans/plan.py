@@ -63,7 +63,7 @@ def decide(
     """The diff with ``action`` and the ``row`` that action writes (for every key, kept ones too)."""
     status = F.col("status")
     inserts, updates, deletes = {
-        "Upsert": (True, True, False),
+        "InsertUpdate": (True, True, False),
         "Merge": (True, True, False),
         "Mirror": (True, True, True),
         "AppendOnly": (True, False, False),

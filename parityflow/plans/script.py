@@ -38,7 +38,7 @@ def render_dml(
     settable = [n for n in names if n not in keys]
     parts = [F.when(F.array_contains("changed_columns", n), assign(n)) if partial else assign(n) for n in settable]
     sets = F.concat_ws(", ", *parts) if parts else F.lit("")
-    where = F.concat_ws(" AND ", *[assign(k) for k in keys])
+    where = F.concat_ws(" AND ", *[F.when(value(k) == "NULL", F.lit(f"{quote_name(k, engine)} IS NULL")).otherwise(assign(k)) for k in keys])
     update = F.concat(F.lit(f"UPDATE {where_table} SET "), sets, F.lit(" WHERE "), where, F.lit(";"))
     if partial:
         update = F.when(sets != "", update)

@@ -321,7 +321,7 @@ def store_publish_rollback(spark, sf_dir):
 
 
 @registered(f"WITH {P.ORDERS_SQL} SELECT * FROM src UNION ALL SELECT * FROM tgt WHERE o_orderkey NOT IN (SELECT o_orderkey FROM src)")
-def stream_upsert_orders(spark, sf_dir):
+def stream_apply_orders(spark, sf_dir):
     """A stream of orders applied to a versioned table."""
     source, target = P.orders_pair(spark, sf_dir)
     store = _new_store(spark, ["o_orderkey"])

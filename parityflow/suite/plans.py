@@ -39,7 +39,7 @@ TIMED_DIFF = diff_sql(TIMED_SQL, ["o_orderkey"], P.ORDER_COLUMNS)
 
 # -- one plan per mode ---------------------------------------------------------
 _DONE = {
-    "Upsert": "inserted updated", "Merge": "inserted updated", "Mirror": "inserted updated deleted",
+    "InsertUpdate": "inserted updated", "Merge": "inserted updated", "Mirror": "inserted updated deleted",
     "AppendOnly": "inserted", "SchemaOnly": "",
 }
 _VERB = "CASE status WHEN 'inserted' THEN 'insert' WHEN 'updated' THEN 'update' WHEN 'deleted' THEN 'delete' END"
@@ -100,7 +100,7 @@ def apply_mirror(spark, sf_dir):
 
 
 @registered(f"WITH {P.ORDERS_SQL} SELECT * FROM src UNION ALL SELECT * FROM tgt WHERE o_orderkey NOT IN (SELECT o_orderkey FROM src)")
-def apply_upsert(spark, sf_dir):
+def apply_insert_update(spark, sf_dir):
     return _applied(spark, sf_dir)
 
 
@@ -118,7 +118,7 @@ def apply_custom_rules(spark, sf_dir):
 
 
 @registered(f"WITH {P.ORDERS_SQL} SELECT * FROM src UNION ALL SELECT * FROM tgt WHERE o_orderkey NOT IN (SELECT o_orderkey FROM src)")
-def sync_upsert(spark, sf_dir):
+def sync_insert_update(spark, sf_dir):
     """Diff and apply in one pass over both tables."""
     s, t = P.orders_pair(spark, sf_dir)
     return A.sync(s, t, ORDERS)

@@ -82,7 +82,7 @@ def _chunks(spark, sf_dir):
 
 
 @registered(f"WITH {CHUNKS_SQL} SELECT id, connection_id, CASE WHEN id % 3 = 0 THEN 'new: ' || content ELSE content END AS content FROM chunks")
-def chunk_upsert(spark, sf_dir):
+def chunk_replace(spark, sf_dir):
     """Half of the index is new, a third of it is saved again."""
     chunks = _chunks(spark, sf_dir)
     fresh = chunks.filter((F.col("id") % 3 == 0) | (F.col("id") % 2 == 1)).withColumn(
