@@ -10,7 +10,7 @@ from parityflow.config import CompareConfig, MigrationConfig
 from parityflow.functions.keys import resolve_keys
 from parityflow.operators import compare as C
 from parityflow.operators.dedupe import dedupe_last
-from parityflow.plans.apply import apply_plan, sync
+from parityflow.plans.apply import apply_plan, migrate, sync
 from parityflow.plans.plan import parse_rules, plan
 
 ID = CompareConfig(keys=["id"])
