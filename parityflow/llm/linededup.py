@@ -21,7 +21,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parityflow.session import shared_dir
+from parityflow.session import materialised, shared_dir
 
 MIN_CHARS = 10  #: shorter keys are never dropped
 FANOUT = 3  #: runs of a level that are merged into the next
@@ -61,7 +61,11 @@ class LineRuns:
 
     def add(self, docs: DataFrame) -> DataFrame:
         """Take in ``id, text`` rows with larger ids than before; returns ``id, t, pos`` of the lines to drop."""
-        lines, before = _lines(docs), self.known()
+        return self.add_lines(materialised(_lines(docs)))
+
+    def add_lines(self, lines: DataFrame) -> DataFrame:
+        """The same for stored lines ``id, t, pos, h1, h2``, which are read twice."""
+        before = self.known()
         own = lines.groupBy("h1", "h2").agg(F.min("id").alias("first"))
         fresh = own if before is None else own.join(before, ["h1", "h2"], "left_anti")
         self.levels[0].append(self._write(fresh))
@@ -89,9 +93,13 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bat
     points = [i / batches for i in range(1, batches)]
     cuts = sorted(set(rows.stat.approxQuantile("id", points, 0.01))) if points else []
     runs, dropped = LineRuns(spark), []
-    for low, high in zip([None, *cuts], [*cuts, None]):
-        batch = rows if low is None else rows.filter(F.col("id") > low)
-        dropped.append(runs.add(batch if high is None else batch.filter(F.col("id") <= high)))
+    # texts are split once; a batch is a folder of the stored lines
+    batch = sum((F.when(F.col("id") > cut, 1).otherwise(0) for cut in cuts), F.lit(0))
+    path = f"{runs.folder}/lines"
+    _lines(rows).withColumn("batch", batch).write.partitionBy("batch").parquet(path)
+    lines = spark.read.schema("id long, t long, pos int, h1 long, h2 long, batch int").parquet(path)
+    for n in range(len(cuts) + 1):
+        dropped.append(runs.add_lines(lines.filter(F.col("batch") == n).drop("batch")))
     drops = dropped[0]
     for d in dropped[1:]:
         drops = drops.union(d)
