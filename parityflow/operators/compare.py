@@ -19,9 +19,6 @@ from parityflow.session import materialised
 
 INSERTED, UPDATED, DELETED, MATCHED = "inserted", "updated", "deleted", "matched"
 
-# The most keys the second step of a hash diff broadcasts.
-HASH_FETCH_KEYS = 250_000
-
 
 def _prepared(
     df: DataFrame, keys: Sequence[str], cfg: CompareConfig, payload: Sequence[Column] | None = None
@@ -30,7 +27,9 @@ def _prepared(
 
     ``payload`` replaces the columns that travel through the shuffle.
     """
-    order = [c for c in cfg.order_by if c in df.columns]
+    order = list(cfg.order_by)
+    if unknown := [c for c in order if c not in df.columns]:
+        raise ValueError(f"order_by names columns that the table lacks: {', '.join(unknown)}")
     out, names = join_key_columns(df, keys, cfg.keys_not_null)
     carried = list(payload) if payload is not None else [q(c) for c in df.columns]
     helpers = [q(n) for n in names]
@@ -131,11 +130,11 @@ def hash_diff(source: DataFrame, target: DataFrame, cfg: CompareConfig) -> DataF
     """Two-step diff for wide rows.
 
     Step one ships only key and hash; its narrow result is written once.  Step
-    two fetches the full rows of the keys that are not plainly equal: up to
-    ``HASH_FETCH_KEYS`` of them (counted) are broadcast, so the wide tables are
-    not shuffled at all.  Beyond that most of the data would travel anyway, and
-    the one-pass diff takes over.  Matched rows carry the key only, their
-    ``source``/``target`` stay NULL.
+    two fetches the full rows of the keys that are not plainly equal.  The
+    written keys have a measured size, from which Spark decides whether to
+    broadcast them or to shuffle.  Matched rows carry the key only, their
+    ``source``/``target`` stay NULL, also where a tolerance makes rows of
+    different hash equal.
     """
     s, t = align(source, target)
     keys = resolve_keys(s.columns, cfg.keys)
@@ -144,17 +143,13 @@ def hash_diff(source: DataFrame, target: DataFrame, cfg: CompareConfig) -> DataF
     matched = status.filter(F.col("status") == MATCHED).select("status", *[q(k) for k in keys])
     open_keys, names = join_key_columns(status.filter(F.col("status") != MATCHED), keys, cfg.keys_not_null)
     open_keys = open_keys.select(*names)
-    if open_keys.count() > HASH_FETCH_KEYS:
-        full = diff(s, t, base)
-        quiet_row = F.col("status") == MATCHED
-        return full.withColumns({side: F.when(~quiet_row, F.col(side)) for side in ("source", "target")})
-    open_keys = F.broadcast(open_keys)
 
     def fetch(df: DataFrame) -> DataFrame:
         with_keys, _ = join_key_columns(df, keys, cfg.keys_not_null)
         return with_keys.join(open_keys, names, "left_semi").select(*[q(c) for c in df.columns])
 
     detail = diff(fetch(s), fetch(t), base)
+    detail = detail.withColumns({side: F.when(F.col("status") != MATCHED, F.col(side)) for side in ("source", "target")})
     row_type, tgt_type = detail.schema["source"].dataType, detail.schema["target"].dataType
     quiet = matched.select(
         "status",

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parityflow.functions.keys import q
 from parityflow.functions.vectors import cosine_similarity
 
-# Query sets up to this size travel to the tasks with the code; larger ones are shuffled in blocks.
-SHIPPED_QUERIES = 1024
 BLOCK_ROWS = 8192
+QUERY_BLOCK_ROWS = 32_768
+STEP_QUERIES = 512  # scored at a time, so a step holds STEP_QUERIES x BLOCK_ROWS scores
 
 
 def similar_to(vectors: DataFrame, query: Sequence[float], k: int = 5, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -43,7 +44,8 @@ def _block_top(query_ids: np.ndarray, queries: dict, ids: np.ndarray, rows: dict
     """Top k of one block of vectors for every query of one block."""
     parts = []
     # vectors of another length score 0.0, so every query sees all ids
-    for size, (q_at, q_rows) in queries.items():
+    steps = [(size, at[i : i + STEP_QUERIES], lines[i : i + STEP_QUERIES]) for size, (at, lines) in queries.items() for i in range(0, len(at), STEP_QUERIES)]
+    for size, q_at, q_rows in steps:
         scores = np.zeros((len(q_at), len(ids)))
         if size in rows and size > 0:
             at, matrix = rows[size]
@@ -70,29 +72,18 @@ def batch_top_k(
 ) -> DataFrame:
     """``query_id, match_id, score, rank``: the ``k`` best vectors for every query vector.
 
-    Each block of vectors is multiplied with the queries as matrices and gives
-    off only its own top k per query; the full table of scores never exists.
-    A small query set (counted first) is shipped to the tasks that read the
-    vectors; a large one is cut into blocks and joined block by block.
+    Queries and vectors are cut into blocks.  Each pair of blocks is multiplied
+    as matrices and gives off only its own top k per query; the full table of
+    scores never exists.  Ids keep the type they have.
     """
     asked = queries.filter(q(vector).isNotNull()).select(q(id_column).alias("query_id"), q(vector).alias("v"))
     base = vectors.filter(q(vector).isNotNull()).select(q(id_column).alias("match_id"), q(vector).alias("v"))
-    schema = "query_id long, match_id long, score double"
-    few = asked.limit(SHIPPED_QUERIES + 1).toPandas()
-    if len(few) <= SHIPPED_QUERIES:
-        ids, matrix = few["query_id"].to_numpy(), _matrix(few["v"])
+    schema = T.StructType([asked.schema["query_id"], base.schema["match_id"], T.StructField("score", T.DoubleType())])
 
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if len(batch):
-                    yield _block_top(ids, matrix, batch["match_id"].to_numpy(), _matrix(batch["v"]), k)
+    def blocks(df: DataFrame, rows: int) -> int:
+        return max(1, -(-df.count() // rows))
 
-        return _final(base.mapInPandas(scan, schema), k)
-
-    def blocks(df: DataFrame) -> int:
-        return max(1, -(-df.count() // BLOCK_ROWS))
-
-    n_query, n_base = blocks(asked), blocks(base)
+    n_query, n_base = blocks(asked, QUERY_BLOCK_ROWS), blocks(base, BLOCK_ROWS)
     place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     q_side = asked.withColumn("qb", place("query_id", n_query)).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(n_base - 1))))
     v_side = base.withColumn("vb", place("match_id", n_base)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))))
@@ -102,7 +93,7 @@ def batch_top_k(
             return pd.DataFrame({"query_id": [], "match_id": [], "score": []})
         return _block_top(left["query_id"].to_numpy(), _matrix(left["v"]), right["match_id"].to_numpy(), _matrix(right["v"]), k)
 
-    # a cell holds about BLOCK_ROWS rows of each side whatever the data looks like
+    # a cell holds about a block of each side whatever the data looks like
     grid = q_side.groupBy("qb", "vb").cogroup(v_side.groupBy("qb", "vb")).applyInPandas(cell, schema)
     return _final(grid, k)
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from decimal import Context, Decimal
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -14,12 +16,10 @@ from pyspark.sql import types as T
 from parityflow.functions.equality import cell_text, is_number, is_text, parse_number
 from parityflow.functions.keys import q
 
-# Above this many entries a value map is joined instead of spelled out as CASE.
-CASE_LIMIT = 32
-
 # Texts read as booleans, compared without regard to case.
 TRUE_TEXTS = ("true", "1", "yes")
 FALSE_TEXTS = ("false", "0", "no")
+WHOLE = r"^[+-]?[0-9]{1,38}$"
 
 
 @dataclass(frozen=True)
@@ -38,7 +38,10 @@ class Rename:
 
 @dataclass(frozen=True)
 class Cast:
-    """Cast to ``string``, ``number`` or ``boolean``; other names change nothing.
+    """Cast to ``string``, ``number``, ``integer`` or ``boolean``; other names change nothing.
+
+    ``number`` is a double; ``integer`` is a decimal(38, 0), which keeps every
+    digit of a whole number written out in text.
 
     A Spark column has one type, so a cell that cannot be cast becomes NULL
     (``on_error="null"``), or the column stays text and shows the cast result
@@ -57,6 +60,8 @@ class Cast:
             if is_text(dtype):
                 return parse_number(c)
             return c.cast("int") if isinstance(dtype, T.BooleanType) else None
+        if to == "integer" and (is_text(dtype) or isinstance(dtype, T.BooleanType)):
+            return F.when(c.rlike(WHOLE), c.try_cast("decimal(38,0)")) if is_text(dtype) else c.cast("int").cast("decimal(38,0)")
         if to == "boolean":
             if is_number(dtype):
                 return c != 0
@@ -74,7 +79,7 @@ class Cast:
         if self.on_error == "keep" and is_text(dtype) and self.to.lower() != "string":
             # whole numbers keep their digits, as in "007" -> "7"
             if self.to.lower() == "number":
-                whole = F.when(c.rlike(r"^[+-]?[0-9]{1,18}$"), c.try_cast("long").cast("string"))
+                whole = F.when(c.rlike(WHOLE), c.try_cast("decimal(38,0)").cast("string"))
                 new = F.coalesce(whole, cell_text(new, T.DoubleType()))
             new = F.coalesce(new.cast("string"), c)
         return df.withColumn(self.column, new)
@@ -89,6 +94,19 @@ class Cast:
         return df.filter(bad).withColumn("original", cell_text(c, dtype))
 
 
+def _holds(dtype: T.DataType, value: Any) -> bool:
+    """Whether a cell of this type can equal the value; whole numbers and decimals hold it digit by digit or not at all."""
+    bits = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}.get(type(dtype))
+    if value is None or (bits is None and not isinstance(dtype, T.DecimalType)):
+        return True
+    if isinstance(value, float) and not math.isfinite(value):
+        return False
+    if bits:
+        return value == int(value) and -(1 << (bits - 1)) <= value < 1 << (bits - 1)
+    exact = Decimal(str(value)).scaleb(dtype.scale, Context(prec=100))
+    return exact == exact.to_integral_value() and abs(exact) < 10**dtype.precision
+
+
 @dataclass(frozen=True)
 class MapValues:
     """Replace cells equal to a mapped value; the first entry for a value counts.
@@ -104,7 +122,7 @@ class MapValues:
         out: dict[Any, Any] = {}
         for old, new in self.mappings:
             fits = old is None or (isinstance(old, python) and (python is bool or not isinstance(old, bool)))
-            if fits and old not in out:
+            if fits and _holds(dtype, old) and old not in out:
                 out[old] = new
         return out
 
@@ -126,17 +144,9 @@ class MapValues:
                 v = str(v).lower() if isinstance(v, bool) else str(v)
             return F.lit(v).cast(out_type)
 
-        if len(usable) <= CASE_LIMIT:
-            out = None
-            for old, new in usable.items():
-                hit = c.isNull() if old is None else c.eqNullSafe(F.lit(old))
-                out = F.when(hit, shown(new)) if out is None else out.when(hit, shown(new))
-            return df.withColumn(self.column, out.otherwise(rest))
         # the list came with the rule, so its size is that of the rule; broadcast is left to Spark's own check
-        rows = [(old, new if new is None or same else (str(new).lower() if isinstance(new, bool) else str(new))) for old, new in usable.items()]
-        cast_rows = [tuple(float(x) if isinstance(dtype, (T.DoubleType, T.FloatType)) and x is not None and i == 0 else x for i, x in enumerate(r)) for r in rows]
-        schema = T.StructType([T.StructField("__old", dtype), T.StructField("__new", out_type), T.StructField("__hit", T.BooleanType())])
-        table = df.sparkSession.createDataFrame([(*r, True) for r in cast_rows], schema)
+        entries = [F.struct(F.lit(old).cast(dtype).alias("__old"), shown(new).alias("__new"), F.lit(True).alias("__hit")) for old, new in usable.items()]
+        table = df.sparkSession.range(1).select(F.inline(F.array(*entries)))
         joined = df.join(table, c.eqNullSafe(F.col("__old")), "left_outer")
         names = df.columns
         return joined.select(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parityflow.functions import typerules as R
+from parityflow.functions.equality import cell_text
 from parityflow.functions.keys import q
 
 CANONICAL = "struct<kind:string,p:bigint,s:bigint,depth:int,raw:string>"
@@ -256,6 +257,8 @@ _WHOLE = {"TinyInt": (-(2**15), 2**15 - 1), "SmallInt": (-(2**15), 2**15 - 1), "
 
 def _cast(c: Column, dtype: T.DataType, kind: str, p: int | None, s: int | None) -> Column:
     wanted = spark_type(kind, p, s)
+    if isinstance(wanted, T.BinaryType) and not isinstance(dtype, (T.BinaryType, T.StringType)):
+        c, dtype = cell_text(c, dtype), T.StringType()  # the bytes of what the cell shows
     out = c.try_cast(wanted)
     if isinstance(dtype, T.NumericType):
         # a failing try_cast raises and catches an error per row, so plain misfits are sorted out before
@@ -280,11 +283,11 @@ def _losses(c: Column, dtype: T.DataType, kind: str, p: int | None, s: int | Non
     return losses
 
 
-def cast_loss_audit(df: DataFrame, mapping: Sequence[tuple[str, str, int | None, int | None]]) -> DataFrame:
+def cast_loss_audit(df: DataFrame, mapping: Sequence[tuple[str, str, int | None, int | None]], by: Sequence[str] = ()) -> DataFrame:
     """Rows per column that would lose something: one pass over the data.
 
     ``mapping`` holds ``(column, canonical kind, p, s)``.  Output: ``column_name,
-    overflow, decimals_lost, truncated, non_ascii``.
+    overflow, decimals_lost, truncated, non_ascii``, for every value of the columns ``by``.
     """
     kinds = ("overflow", "decimals_lost", "truncated", "non_ascii")
     aggs, rows = [], []
@@ -293,7 +296,7 @@ def cast_loss_audit(df: DataFrame, mapping: Sequence[tuple[str, str, int | None,
         for k in kinds:
             aggs.append(F.count_if(found[k]).alias(f"{i}_{k}") if k in found else F.lit(0).cast("long").alias(f"{i}_{k}"))
         rows.append(F.struct(F.lit(name).alias("column_name"), *[q(f"{i}_{k}").alias(k) for k in kinds]))
-    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+    return df.groupBy(*[q(c) for c in by]).agg(*aggs).select(*[q(c) for c in by], F.inline(F.array(*rows)))
 
 
 def cast_to(df: DataFrame, mapping: Sequence[tuple[str, str, int | None, int | None]]) -> tuple[DataFrame, DataFrame]:

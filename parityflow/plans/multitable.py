@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parityflow.session import cut_lineage
 
 
-def dependency_levels(tables: DataFrame, edges: DataFrame, max_depth: int = 1000) -> DataFrame:
+def dependency_levels(tables: DataFrame, edges: DataFrame) -> DataFrame:
     """``table_name, level, in_cycle``: parents come at a lower level than children.
 
     ``tables(table_name)``, ``edges(child, parent)``.  Repeated edges count once,
@@ -23,18 +23,16 @@ def dependency_levels(tables: DataFrame, edges: DataFrame, max_depth: int = 1000
     open_edges = cut_lineage(known.join(nodes.withColumnRenamed("table_name", "parent"), "parent", "left_semi"))
     left = cut_lineage(nodes)
     levels = []
-    for level in range(max_depth):
+    while True:
         ready = left.join(open_edges.select(F.col("child").alias("table_name")), "table_name", "left_anti")
         ready = cut_lineage(ready)
         if ready.isEmpty():
             break
-        levels.append(ready.withColumn("level", F.lit(level)).withColumn("in_cycle", F.lit(False)))
+        levels.append(ready.withColumn("level", F.lit(len(levels))).withColumn("in_cycle", F.lit(False)))
         left = cut_lineage(left.join(ready, "table_name", "left_anti"))
         open_edges = cut_lineage(
             open_edges.join(ready.select(F.col("table_name").alias("parent")), "parent", "left_anti")
         )
-    else:
-        raise ValueError(f"foreign keys are nested more than {max_depth} levels deep")
     out = left.withColumn("level", F.lit(len(levels))).withColumn("in_cycle", F.lit(True))
     for part in levels:
         out = out.unionByName(part)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from parityflow.config import CompareConfig, MigrationConfig
 from parityflow.functions.keys import q
 from parityflow.operators.compare import DELETED, INSERTED, UPDATED, diff
+from parityflow.session import materialised
 
 INSERT, UPDATE, DELETE, REVIEW, KEEP = "insert", "update", "delete", "review", "keep"
 ACTION_ORDER = (INSERT, UPDATE, DELETE)
@@ -124,19 +125,21 @@ def plan_counts(source: DataFrame, target: DataFrame, p: DataFrame, cfg: Migrati
     return total.withColumn("batch_count", batch_count(ops, cfg.batch_size))
 
 
-def assign_batches(p: DataFrame, batch_size: int, buckets: int = 4096) -> DataFrame:
+def assign_batches(p: DataFrame, batch_size: int, bucket_rows: int = 100_000) -> DataFrame:
     """Number the operations inserts, updates, deletes and cut them into batches.
 
     Ranks are local to (action, key bucket) and lifted by the bucket offsets, so
     no task ever sorts the whole plan.  Keys are unique in a plan, hence the
-    buckets are even; ``buckets`` rises with the size of the plan.
+    buckets are even.  The plan is written once and counted; it gets a bucket
+    for every ``bucket_rows`` operations.
     """
     keys = plan_keys(p)
-    ops = p.filter(F.col("action").isin(*ACTION_ORDER))
+    ops = materialised(p.filter(F.col("action").isin(*ACTION_ORDER)))
+    buckets = ops.count() // bucket_rows + 1
     place = F.when(F.col("action") == INSERT, 0).when(F.col("action") == UPDATE, 1).otherwise(2)
     ops = ops.withColumn("__place", place).withColumn("__bucket", F.pmod(F.xxhash64(*[q(k) for k in keys]), F.lit(buckets)))
     sizes = ops.groupBy("__place", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    # at most 3 x buckets rows: the one ordered window over all of them is tiny by construction
+    # one row for each bucket of an action: the ordered window sees 3 rows for every ``bucket_rows`` operations
     before = Window.orderBy("__place", "__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("__place", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
     local = Window.partitionBy("__place", "__bucket").orderBy(*[q(k) for k in keys])

@@ -326,12 +326,8 @@ def cast_loss(spark, sf_dir):
  sum(CASE WHEN regexp_matches(text, '[^\\x00-\\x7F]') THEN 1 ELSE 0 END)::BIGINT AS non_ascii FROM documents GROUP BY lang""")
 def cast_loss_text(spark, sf_dir):
     """Whole documents that would be cut or lose characters, per language."""
-    docs, out = P.load(spark, sf_dir, "documents"), None
-    for lang in ("de", "en", "es", "fr"):
-        part = cast_loss_audit(docs.filter(F.col("lang") == lang), [("text", "Varchar", 500, None)])
-        part = part.select(F.lit(lang).alias("lang"), "truncated", "non_ascii")
-        out = part if out is None else out.unionByName(part)
-    return out
+    out = cast_loss_audit(P.load(spark, sf_dir, "documents"), [("text", "Varchar", 500, None)], by=["lang"])
+    return out.select("lang", "truncated", "non_ascii")
 
 
 @registered("""SELECT l_orderkey, l_linenumber, l_partkey, round(l_extendedprice, 2) < 10000 AS fits,

@@ -25,20 +25,21 @@ def registered(sql=None):
 
 
 def vectors(spark, sf_dir):
-    """Embeddings, with a NULL, an empty, a zero and a shortened vector among them."""
+    """All embeddings, and after them a NULL, an empty, a zero and a shortened vector for every hundred."""
     key, v = F.col("vec_id"), F.col("embedding")
     odd = (
         F.when(key % 100 == 50, F.lit(None).cast("array<float>"))
         .when(key % 100 == 51, F.array().cast("array<float>"))
         .when(key % 100 == 52, F.transform(v, lambda x: F.lit(0.0).cast("float")))
         .when(key % 100 == 53, F.slice(v, 1, 63))
-        .otherwise(v)
     )
-    return P.load(spark, sf_dir, "embeddings").withColumn("embedding", odd)
+    given = P.load(spark, sf_dir, "embeddings")
+    extra = given.filter((key % 100).between(50, 53)).withColumns({"embedding": odd, "vec_id": -1 - key})
+    return given.unionByName(extra)
 
 
-VECTORS_SQL = """vectors AS (SELECT vec_id, label, CASE vec_id % 100 WHEN 50 THEN NULL WHEN 51 THEN []::DOUBLE[] WHEN 52 THEN list_transform(embedding, lambda x: 0.0)::DOUBLE[]
- WHEN 53 THEN embedding[1:63]::DOUBLE[] ELSE embedding::DOUBLE[] END AS v FROM embeddings),
+VECTORS_SQL = """vectors AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings UNION ALL SELECT -1 - vec_id, label, CASE vec_id % 100 WHEN 50 THEN NULL WHEN 51 THEN []::DOUBLE[] WHEN 52 THEN list_transform(embedding, lambda x: 0.0)::DOUBLE[]
+ WHEN 53 THEN embedding[1:63]::DOUBLE[] END AS v FROM embeddings WHERE vec_id % 100 BETWEEN 50 AND 53),
 scored AS (SELECT a.vec_id AS query_id, b.vec_id AS match_id, CASE WHEN len(a.v) <> len(b.v) OR len(a.v) = 0 OR list_dot_product(a.v, a.v) = 0 OR list_dot_product(b.v, b.v) = 0 THEN 0.0
  ELSE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) END AS score
  FROM vectors a, vectors b WHERE a.v IS NOT NULL AND b.v IS NOT NULL)"""
@@ -72,6 +73,15 @@ def batch_topk(spark, sf_dir):
     return V.batch_top_k(vs, vs).withColumn("score", F.round("score", 5))
 
 
+@registered(f"""WITH {VECTORS_SQL}, named AS (SELECT 'v' || query_id AS query_id, 'v' || match_id AS match_id, score FROM scored),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, match_id) AS rank FROM named)
+SELECT query_id, match_id, round(score, 5) AS score, rank::INTEGER AS rank FROM r WHERE rank <= 5""")
+def batch_topk_text_ids(spark, sf_dir):
+    """The same with ids of text."""
+    vs = vectors(spark, sf_dir).withColumn("vec_id", F.concat(F.lit("v"), F.col("vec_id").cast("string")))
+    return V.batch_top_k(vs, vs).withColumn("score", F.round("score", 5))
+
+
 CHUNKS_SQL = """chunks AS (SELECT doc_id AS id, 'c' || (doc_id % 4) AS connection_id, text AS content FROM documents)"""
 
 
@@ -136,19 +146,19 @@ _ODD = {
 
 
 def odd_texts(spark, sf_dir):
-    """Every document, and for a third of them a suspicious text after it."""
+    """Every document, and for a third of them a further row with a suspicious text."""
     docs = P.load(spark, sf_dir, "documents").select("doc_id", "text")
     pick = F.get(F.array(*[F.lit(t) for t in _ODD.values()]), F.pmod("doc_id", F.lit(len(_ODD))).cast("int"))
-    return docs.withColumn("text", F.when(P.every("doc_id", 3), pick).otherwise(F.col("text")))
+    return docs.unionByName(docs.filter(P.every("doc_id", 3)).select((-1 - F.col("doc_id")).alias("doc_id"), pick.alias("text")))
 
 
 def _sql_text(t):
     return "'" + t.replace("'", "''").replace("\x07", "' || chr(7) || '").replace("\x85", "' || chr(133) || '") + "'"
 
 
-ODD_SQL = "odd AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN CASE doc_id % 10 " + " ".join(
+ODD_SQL = "odd AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - doc_id, CASE doc_id % 10 " + " ".join(
     f"WHEN {i} THEN {_sql_text(t)}" for i, t in _ODD.items()
-) + " END ELSE text END AS text FROM documents)"
+) + " END FROM documents WHERE doc_id % 3 = 0)"
 _HITS = " ".join(
     "WHEN contains(upper(text), upper('{0}')) THEN 'Potential SQL injection detected: {0}'".format(p.replace("'", "''")) for p in INJECTION_PATTERNS
 )
@@ -192,7 +202,7 @@ _QUESTIONS = {
 _COMPLEX_HITS = " OR ".join(f"contains(lower(t), '{w}')" for w in COMPLEX_WORDS)
 
 
-@registered(f"""WITH q AS (SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 2 = 0 THEN CASE (conv_id + turn) // 2 % 10 {' '.join(f"WHEN {i} THEN '{t}'" for i, t in _QUESTIONS.items())} END ELSE text END AS raw FROM conversations),
+@registered(f"""WITH q AS (SELECT conv_id, turn, text AS raw FROM conversations UNION ALL SELECT -1 - conv_id, turn, CASE (conv_id + turn) // 2 % 10 {' '.join(f"WHEN {i} THEN '{t}'" for i, t in _QUESTIONS.items())} END FROM conversations WHERE (conv_id + turn) % 2 = 0),
 x AS (SELECT conv_id, turn, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS t FROM q)
 SELECT conv_id, turn, CASE WHEN length(t) > 200 OR len(list_filter(regexp_split_to_array(t, '[.!?]+'), lambda s: trim(s, chr(10) || chr(9) || ' ') <> '')) > 2 OR {_COMPLEX_HITS}
  OR regexp_matches(t, '\\b(JOIN|SUBQUER|UNION|CTE|WITH\\s+\\w+\\s+AS|PARTITION\\s+BY|WINDOW|LATERAL|CROSS\\s+APPLY)\\b', 'i')
@@ -201,5 +211,5 @@ def complexity_tag(spark, sf_dir):
     conv = P.load(spark, sf_dir, "conversations")
     n = F.col("conv_id") + F.col("turn")
     pick = F.get(F.array(*[F.lit(t) for t in _QUESTIONS.values()]), F.pmod(F.floor(n / 2), F.lit(10)).cast("int"))
-    mixed = conv.withColumn("text", F.when(n % 2 == 0, pick).otherwise(F.col("text")))
+    mixed = conv.unionByName(conv.filter(n % 2 == 0).withColumns({"text": pick, "conv_id": -1 - F.col("conv_id")}))
     return scans.tag_complexity(mixed, "text").select("conv_id", "turn", "complexity")

@@ -12,6 +12,7 @@ from parityflow.functions.vectors import cosine_similarity
 from parityflow.operators.ranking import grouped_rank
 from parityflow.operators.similarity import batch_top_k, similar_to
 from parityflow.operators import similarity
+from parityflow.operators.type_mapping import cast_to
 from parityflow.operators.transform import Cast, Default, Drop, MapValues, Pipeline, Rename
 from parityflow.plans.multitable import dependency_levels, run_order
 from parityflow.plans.plan import assign_batches, plan
@@ -78,17 +79,39 @@ def test_cosine(spark):
     assert [r[0] for r in df.select(cosine_similarity(F.col("a"), F.col("b"))).collect()] == [1.0, 0.0, -1.0, 0.0, 0.0, 0.0, None]
 
 
-def test_batch_top_k_in_blocks_equals_the_shipped_form(spark, monkeypatch):
+def test_batch_top_k_is_the_same_for_any_block_size(spark, monkeypatch):
     vs = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     small = batch_top_k(vs, vs, 4).select("query_id", "match_id", "rank").collect()
-    monkeypatch.setattr(similarity, "SHIPPED_QUERIES", 10)
-    monkeypatch.setattr(similarity, "BLOCK_ROWS", 100)
+    for name, rows in (("BLOCK_ROWS", 100), ("QUERY_BLOCK_ROWS", 150), ("STEP_QUERIES", 7)):
+        monkeypatch.setattr(similarity, name, rows)
     blocks = batch_top_k(vs, vs, 4).select("query_id", "match_id", "rank").collect()
     assert sorted(small) == sorted(blocks)
     one = similar_to(vs, vs.filter("vec_id = 7").first()["embedding"], 4).collect()
     assert [r["vec_id"] for r in one] == [r["match_id"] for r in sorted(small, key=lambda r: r["rank"]) if r["query_id"] == 7]
 
 
+def test_value_map_of_any_length_on_decimals_and_whole_numbers(spark):
+    df = spark.sql("SELECT CAST(id AS DECIMAL(10,2)) AS d, CAST(id AS INT) AS i FROM range(60)")
+    for n in (3, 50):
+        got = MapValues("d", [(i, i + 100) for i in range(n)]).apply(df)
+        assert got.schema["d"].dataType == df.schema["d"].dataType
+        assert sorted(int(r["d"]) for r in got.collect()) == sorted(i + 100 if i < n else i for i in range(60))
+    odd = MapValues("i", [(1.5, 7), (10**12, 7), (2.0, 77)]).apply(df).collect()
+    assert sorted(r["i"] for r in odd) == sorted(77 if i == 2 else i for i in range(60))
+    assert sorted(int(r["d"]) for r in MapValues("d", [(1.005, 7), (10**9, 7)]).apply(df).collect()) == list(range(60))
+
+
+def test_whole_numbers_keep_their_digits(spark):
+    df = spark.createDataFrame([("9007199254740993",), ("12345678901234567890",), ("1.5",), (None,)], "x string")
+    assert [str(r["x"]) for r in Cast("x", "integer").apply(df).collect()] == ["9007199254740993", "12345678901234567890", "None", "None"]
+    assert [r["x"] for r in Cast("x", "number", on_error="keep").apply(df).collect()][:2] == ["9007199254740993", "12345678901234567890"]
+
+
+def test_whole_numbers_as_bytes(spark):
+    good, bad = cast_to(spark.createDataFrame([(12,), (None,)], "n int"), [("n", "Blob", None, None)])
+    assert [r["n"] and bytes(r["n"]) for r in good.collect()] == [b"12", None] and bad.count() == 0
+
+
 def test_grouped_rank(spark):
     df = spark.range(200).select((F.col("id") * 7 % 200).alias("o"), F.when(F.col("id") < 150, 0).otherwise(1).alias("g"))
     got = grouped_rank(df, ["g"], "o", [50.0, 100.0, 150.0]).collect()
