@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,17 +25,29 @@ def common_type(a: T.DataType, b: T.DataType) -> T.DataType:
             return (t.precision - t.scale, t.scale) if isinstance(t, T.DecimalType) else (19, 0)
 
         lead, scale = max(digits(a)[0], digits(b)[0]), max(digits(a)[1], digits(b)[1])
-        return T.DecimalType(min(38, lead + scale), scale)
+        # beyond 38 digits no number type holds both
+        return T.DecimalType(lead + scale, scale) if lead + scale <= 38 else T.StringType()
     moments = (T.DateType, T.TimestampNTZType, T.TimestampType)
     if isinstance(a, moments) and isinstance(b, moments):
         return max(a, b, key=lambda t: moments.index(type(t)))
     return T.StringType()
 
 
+def _digits_text(c: Column, dtype: T.DataType) -> Column:
+    """A whole number or decimal as text, without zeros at the end of a fraction."""
+    text = c.cast("string")
+    if not isinstance(dtype, T.DecimalType) or not dtype.scale:
+        return text
+    # small decimals are shown with an exponent, so the text is built from the unscaled digits
+    plain = F.format_number(c, dtype.scale)
+    return F.regexp_replace(F.regexp_replace(plain, ",", ""), r"\.?0+$", "")
+
+
 def align(source: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both sides with the union of their columns in name order.
 
-    A column only one side has is NULL on the other.
+    A column only one side has is NULL on the other.  Decimals that no common
+    decimal holds are compared as text.
     """
     src, tgt = source.schema, target.schema
     left, right = [], []
@@ -50,9 +62,11 @@ def align(source: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFrame]:
             a, b = src[name].dataType, tgt[name].dataType
             wide = common_type(a, b)
 
-            def as_wide(dtype: T.DataType, wide=wide, name=name):
+            def as_wide(dtype: T.DataType, wide=wide, name=name, a=a, b=b):
                 if dtype == wide:
                     return q(name)
+                if isinstance(wide, T.StringType) and isinstance(a, T.NumericType) and isinstance(b, T.NumericType):
+                    return _digits_text(q(name), dtype).alias(name)
                 if isinstance(wide, T.StringType):
                     return cell_text(q(name), dtype).alias(name)
                 return q(name).cast(wide).alias(name)

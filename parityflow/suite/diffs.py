@@ -86,6 +86,13 @@ def diff_hash_lineitem(spark, sf_dir):
     return narrow(C.diff(s, t, replace(LINES, use_hash_mode=True)), P.LINE_KEYS)
 
 
+def diff_hash_tolerance(spark, sf_dir):
+    """Rows that only a tolerance makes equal look like all other matched rows."""
+    s, t = P.customer_pair(spark, sf_dir)
+    d = C.diff(s, t, CompareConfig(keys=["c_custkey"], numeric_tolerance=0.01, use_hash_mode=True))
+    return d.select("c_custkey", "status", F.col("source").isNotNull().alias("has_source"), F.col("target").isNotNull().alias("has_target"))
+
+
 def diff_ignore_columns(spark, sf_dir):
     return narrow(_orders(spark, sf_dir, ignore_columns=["o_totalprice", "o_orderstatus"]), ["o_orderkey"])
 
@@ -213,7 +220,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         diff_orders_pk, diff_default_keys, diff_id_key, diff_lineitem_composite, diff_hash_lineitem,
-        diff_ignore_columns, diff_case_whitespace, diff_tolerance, diff_text_numbers, diff_null_empty,
+        diff_hash_tolerance, diff_ignore_columns, diff_case_whitespace, diff_tolerance, diff_text_numbers, diff_null_empty,
         diff_null_keys, diff_schema_aligned, aligned_tables, diff_rows_wide, diff_summary, diff_summary_loose,
         diff_summary_lineitem, hash_mode_summary, row_hashes, insert_rows, delete_rows, changed_column_frequency,
         diff_search, diff_search_page, expr_match, dedupe_last_lineitem, duplicate_key_report, duplicate_error_rows,
@@ -258,6 +265,8 @@ ORACLES = {
     + "SELECT c_custkey AS id, status, changed FROM d",
     "diff_lineitem_composite": LINES_DIFF + _ALL,
     "diff_hash_lineitem": LINES_DIFF + _ALL,
+    "diff_hash_tolerance": diff_sql(P.CUSTOMER_SQL, ["c_custkey"], _CUSTOMER_COLUMNS, {"c_acctbal": NEAR % 0.01})
+    + "SELECT c_custkey, status, status IN ('inserted', 'updated') AS has_source, status IN ('deleted', 'updated') AS has_target FROM d",
     "diff_ignore_columns": diff_sql(P.ORDERS_SQL, ["o_orderkey"], ["o_custkey", "o_orderdate", "o_orderpriority"]) + _ALL,
     "diff_case_whitespace": diff_sql(P.ORDERS_SQL, ["o_orderkey"], P.ORDER_COLUMNS, LOOSE) + _ALL,
     "diff_tolerance": diff_sql(P.CUSTOMER_SQL, ["c_custkey"], _CUSTOMER_COLUMNS, {"c_acctbal": NEAR % 0.01}) + _ALL,

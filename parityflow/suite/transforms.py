@@ -85,11 +85,18 @@ def tf_value_map(spark, sf_dir):
 
 @registered("SELECT p_partkey, CASE WHEN p_size BETWEEN 1 AND 40 THEN p_size * 100 ELSE p_size END AS p_size FROM part")
 def tf_value_map_large(spark, sf_dir):
-    """A map too long for CASE is joined."""
+    """A long map."""
     df = P.load(spark, sf_dir, "part").select("p_partkey", "p_size")
     return MapValues("p_size", [(i, i * 100) for i in range(1, 41)]).apply(df)
 
 
+@registered("SELECT p_partkey, CASE WHEN p_size BETWEEN 1 AND 40 THEN p_size * 100 ELSE p_size END::DECIMAL(12,2) AS p_size FROM part")
+def tf_value_map_decimal(spark, sf_dir):
+    """Whole numbers mapped in a decimal column."""
+    df = P.load(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("decimal(12,2)").alias("p_size"))
+    return MapValues("p_size", [(i, i * 100) for i in range(1, 41)]).apply(df)
+
+
 @registered("""SELECT o_orderkey, 'web shop' AS channel, o_orderstatus || o_orderpriority AS tag, o_totalprice AS price,
  o_totalprice || '' AS shown, NULL::VARCHAR AS none FROM orders""")
 def tf_computed(spark, sf_dir):

@@ -150,6 +150,13 @@ def test_matched_rows_of_a_hash_diff_have_one_form(spark):
     assert sorted((r["id"], r["status"], r["source"] is None) for r in d) == [(1, "matched", True), (2, "matched", True), (3, "updated", False)]
 
 
+def test_decimals_without_a_common_decimal_are_compared_by_their_digits(spark):
+    s = spark.sql("SELECT 1 AS id, CAST('12345678901234567890123456789012345678' AS DECIMAL(38,0)) AS x UNION ALL SELECT 2, 5 UNION ALL SELECT 3, 100 UNION ALL SELECT 4, 0")
+    t = spark.sql("SELECT 1 AS id, CAST(7 AS DECIMAL(38,10)) AS x UNION ALL SELECT 2, CAST(5 AS DECIMAL(38,10)) UNION ALL SELECT 3, CAST(100.5 AS DECIMAL(38,10)) UNION ALL SELECT 4, 0")
+    got = {r["id"]: r["status"] for r in C.diff(s, t, ID).collect()}
+    assert got == {1: "updated", 2: "matched", 3: "updated", 4: "matched"}
+
+
 def test_unknown_order_columns_are_refused(spark):
     s = spark.createDataFrame([(1, "a", 1.0)], ROW)
     with pytest.raises(ValueError, match="order_by"):
