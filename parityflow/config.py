@@ -16,8 +16,8 @@ class CompareConfig:
 
     ``keys`` empty means: the column ``id`` if there is one, else every column.
     ``order_by`` lists the columns that rank several rows of one key; the row
-    with the largest values is kept ("last wins").  Without it the remaining
-    columns in name order decide, so that the choice is always repeatable.
+    with the largest values is kept ("last wins").  Where it leaves a tie, a
+    hash of the row decides, so that the choice is always repeatable.
     ``keys_unique`` / ``keys_not_null`` are promises by the caller that save the
     duplicate check and let bucketed tables join without a shuffle.
     """
