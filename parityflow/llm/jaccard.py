@@ -366,15 +366,19 @@ def jaccard_components(documents: DataFrame, doc_id: str = "doc_id", text: str =
     members = met.filter("large").select(F.col("a").alias("grp"), F.col("b").alias("id")).distinct()
     placed = members.join(first, F.col("id") == F.col("node"), "left").select("grp", "id", F.coalesce("component", "id").alias("component"))
     placed = materialised(placed)
-    open_ = placed.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).filter("low <> high")
-    open_ = open_.select("grp", F.ceil(F.col("size") / CHUNK_ROWS).cast("int").alias("chunks"))
+    open_ = placed.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("id").alias("family"), F.count(F.lit(1)).alias("size")).filter("low <> high")
+    # groups with one smallest set hold many pairs in common: they share bins, as many as their rows ask for, and a bin gives off a pair once
+    open_ = open_.withColumn("chunks", F.ceil(F.col("size") / CHUNK_ROWS).cast("int"))
+    families = open_.groupBy("family").agg(F.ceil(F.sum(F.col("size") * F.col("chunks")) / BIN_ROWS).alias("slices"))
+    open_ = open_.join(families, "family").select("grp", "family", "slices", "chunks")
     pending = materialised(placed.join(open_, "grp"))
     rows = pending.join(sketches, "id").withColumn("c", F.pmod(F.xxhash64("id"), "chunks").cast("int"))
     celled = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     celled = celled.withColumn("cell", F.xxhash64("grp", F.least("c", "o"), F.greatest("c", "o")))
     celled = celled.withColumn("mine", F.when(F.col("c") == F.col("o"), 1).when(F.col("c") < F.col("o"), 0).otherwise(2))
     bins = max(64, pending.count() // BIN_ROWS)
-    binned = celled.select("id", "n", "component", "body", "cell", "mine", F.pmod("cell", F.lit(bins)).alias("bin"))
+    slot = F.xxhash64("family", F.pmod("cell", "slices"))
+    binned = celled.select("id", "n", "component", "body", "cell", "mine", F.pmod(slot, F.lit(bins)).alias("bin"))
     later = materialised(binned.groupBy("bin").applyInArrow(_compare, "a long, b long").distinct())
     groups = first if later.isEmpty() else components(_links(later, docs, first.filter("node <> component")))
     joined = sets.join(groups, F.col("id") == F.col("node"), "left")
