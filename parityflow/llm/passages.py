@@ -12,11 +12,13 @@ neighbouring marked paragraphs make one passage, reported from ``MIN_WORDS`` wor
 Equal paragraphs are one node, so copies are never paired. Null or empty texts have no paragraphs;
 rows with a null id are left out; rows that share an id are one document. Places are code points
 of the row's text, the end exclusive. Empty tables give empty tables; extra columns are not
-returned. Texts of more than ``BLOCK_BYTES`` are cut at white space for this.
+returned. Texts of more than ``BLOCK_BYTES`` are worked on in pieces, cut where a line or a long
+sentence ends (at white space if there is neither); words are numbered through all pieces of a row.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +38,7 @@ FILTER_BITS = 1 << 25
 _SEEDS = np.random.default_rng(11).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
+_SENTENCE_END = re.compile(rb"[.!?](?=[\x09-\x0D\x20])")
 
 
 class Paragraphs:
@@ -46,6 +49,7 @@ class Paragraphs:
         words, start = _hash_block(block.lower())
         self.text = self.node = np.empty(0, np.int64)
         self.shingles, self.first = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.in_text = np.bincount(np.searchsorted(text_starts, start, side="right") - 1, minlength=len(text_starts))
         if len(words) < WORDS:
             return
         space = np.concatenate([_SPACE[letters], [True]])
@@ -77,7 +81,7 @@ class Paragraphs:
         self.text = text[opens]
         base = points[text_starts[self.text]]
         self.start, self.end = points[start[opens]] - base, points[end[closes]] - base
-        self.place, self.words = kept - unit[np.searchsorted(text, self.text)], n_words[kept]
+        self.at, self.words = opens - np.searchsorted(text, self.text), n_words[kept]
         self.node = mix(np.add.reduceat(mix(self.shingles), self.first) + self.words.astype(np.uint64)).view(np.int64)
 
     def signatures(self) -> np.ndarray:
@@ -94,46 +98,70 @@ class Paragraphs:
         return [np.unique(s).tobytes() for s in np.split(self.shingles, self.first[1:])] if len(self.first) else []
 
 
-def _blocks(ids: list[int], texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, Paragraphs]]:
-    """Ids of the texts of a block, code points before them in their row, and the paragraphs."""
-    raw, own, before, size = [], [], [], 0
-
-    def block():
-        starts = np.cumsum([0] + [len(r) + 1 for r in raw[:-1]])
-        return np.array(own, np.int64), np.array(before, np.int64), Paragraphs(b"\n".join(raw), starts)
-
-    for i, t in zip(ids, texts):
+def _piece_end(data: bytes, at: int) -> int:
+    """Where the piece that begins at ``at`` ends: at a place that ends a paragraph anyway, if there is one."""
+    end = at + BLOCK_BYTES
+    if end >= len(data):
+        return len(data)
+    line = data.rfind(b"\n", at + BLOCK_BYTES // 2, end)
+    if line > 0:
+        return line + 1
+    stops = [m.end() for m in _SENTENCE_END.finditer(data, at + BLOCK_BYTES // 2, end)]
+    for before, stop in zip(stops[-2::-1], stops[:0:-1]):
+        if len(data[before:stop].split()) >= LONG_SENTENCE:
+            return stop
+    while end < len(data) and not _SPACE[data[end]]:
+        end += 1
+    return end
+
+
+class Block:
+    """Pieces of texts: their paragraphs, and for each piece the row's id and key and what of the row stands before it."""
+
+    def __init__(self, pieces: list[tuple[bytes, int, int, int, bool]], seen: int):
+        raw, ids, keys, points, more = zip(*pieces)
+        self.paragraphs = Paragraphs(b"\n".join(raw), np.cumsum([0] + [len(r) + 1 for r in raw[:-1]]))
+        self.ids, self.keys, self.points = (np.array(x, np.int64) for x in (ids, keys, points))
+        self.words = np.zeros(len(raw), np.int64)
+        for k, n in enumerate(self.paragraphs.in_text.tolist()):
+            self.words[k] = seen if more[k] else 0
+            seen = int(self.words[k]) + n
+        self.seen = seen  # words of the last row up to here
+
+
+def _blocks(rows: Iterator[tuple[int, str | None, int]]) -> Iterator[Block]:
+    """Blocks of about ``BLOCK_BYTES`` from rows of id, text and key."""
+    held, size, seen = [], 0, 0
+    for i, t, key in rows:
         data, at, points = (t or "").encode(), 0, 0
         while at < len(data):
-            end = at + BLOCK_BYTES
-            while end < len(data) and not _SPACE[data[end]]:
-                end += 1
+            end = _piece_end(data, at)
             piece = data[at:end]
-            if raw and size + len(piece) > BLOCK_BYTES:
-                yield block()
-                raw, own, before, size = [], [], [], 0
-            raw.append(piece)
-            own.append(i)
-            before.append(points)
+            if held and size + len(piece) > BLOCK_BYTES:
+                yield (block := Block(held, seen))
+                held, size, seen = [], 0, block.seen
+            held.append((piece, i, key, points, at > 0))
             size += len(piece)
             at, points = end, points + len(piece.decode(errors="replace"))
-    if raw:
-        yield block()
+    if held:
+        yield Block(held, seen)
 
 
-def _columns(batches) -> Iterator[tuple[np.ndarray, np.ndarray, Paragraphs]]:
+def _columns(batches) -> Iterator[Block]:
     for batch in batches:
         for at in range(0, batch.num_rows, 1_024):
             step = batch.slice(at, 1_024)
-            yield from _blocks(step.column(0).to_pylist(), step.column(1).to_pylist())
+            yield from _blocks(zip(*(step.column(c).to_pylist() for c in ("id", "text", "key"))))
 
 
 def _occurrences(batches):
-    """``id, place, start, finish, words, f``."""
-    for ids, before, p in _columns(batches):
+    """``id, key, at, words, start, finish, f``."""
+    for block in _columns(batches):
+        p = block.paragraphs
         if len(p.node):
-            columns = [ids[p.text], p.place, p.start + before[p.text], p.end + before[p.text], p.words, p.node]
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["id", "place", "start", "finish", "words", "f"])
+            of = p.text
+            columns = [block.ids[of], block.keys[of], p.at + block.words[of], p.words, p.start + block.points[of], p.end + block.points[of], p.node]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["id", "key", "at", "words", "start", "finish", "f"])
 
 
 SIGN_ROWS = 200_000
@@ -150,7 +178,7 @@ def _sign(batches):
         new = np.append(True, (sig[1:] != sig[:-1]) | (f[1:] != f[:-1]))
         yield from pa.table([pa.array(sig[new]), pa.array(f[new])], ["sig", "f"]).to_batches(max_chunksize=65_536)
 
-    for _, _, p in _columns(batches):
+    for p in (block.paragraphs for block in _columns(batches)):
         if not len(p.node):
             continue
         held.append(np.stack([p.signatures().reshape(-1), np.repeat(p.node, BANDS)], axis=1))
@@ -176,6 +204,7 @@ def repeated_passages(documents: DataFrame, doc_id: str = "doc_id", text: str =
     """``doc_id, start, finish, n_words, kept_doc_id, cluster_id``: the passages to remove."""
     spark = documents.sparkSession
     docs = documents.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).filter("id IS NOT NULL")
+    docs = docs.withColumn("key", F.xxhash64("text"))  # rows that share an id are told apart by their text
     signed = docs.mapInArrow(_sign, "sig long, f long")
     # the first set of a group stands for it; minima are combined in the tasks, so no group is collected
     heads = signed.groupBy("sig").agg(F.min("f").alias("a"), F.max("f").alias("z")).filter("a <> z")
@@ -190,7 +219,7 @@ def repeated_passages(documents: DataFrame, doc_id: str = "doc_id", text: str =
 
     def fetch(batches):
         known = shared.value
-        for _, _, p in _columns(batches):
+        for p in (block.paragraphs for block in _columns(batches)):
             if len(p.node):
                 at = np.mod(p.node, FILTER_BITS)
                 keep = (known[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
@@ -202,14 +231,16 @@ def repeated_passages(documents: DataFrame, doc_id: str = "doc_id", text: str =
     left, right = bodies.select(F.col("f").alias("a"), F.col("body").alias("x")), bodies.select(F.col("f").alias("b"), F.col("body").alias("y"))
     links = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
     groups = components(links)
-    found = docs.mapInArrow(_occurrences, "id long, place long, start long, finish long, words long, f long")
+    found = docs.mapInArrow(_occurrences, "id long, key long, at long, words long, start long, finish long, f long")
     holders = found.groupBy("f").agg(F.min("id").alias("low"), F.max("id").alias("high"))
     clusters = holders.join(groups, F.col("f") == F.col("node"), "left").select("f", "low", "high", F.coalesce("component", "f").alias("cluster"))
     shared_by = clusters.groupBy("cluster").agg(F.min("low").alias("kept"), F.max("high").alias("high")).filter("kept <> high")
     doubled = clusters.select("f", "cluster").join(shared_by, "cluster").select("f", "cluster", "kept")
     marked = found.join(doubled, "f").filter("id <> kept").distinct()
-    run = F.col("place") - F.row_number().over(Window.partitionBy("id").orderBy("place", "start"))
-    runs = marked.withColumn("run", run).groupBy("id", "run").agg(
-        F.min("start").alias("start"), F.max("finish").alias("finish"), F.sum("words").alias("n_words"), F.min("kept").alias("kept_doc_id"), F.min("cluster").alias("cluster_id")
+    by_row = Window.partitionBy("id", "key").orderBy("at")
+    before = F.max(F.col("at") + F.col("words")).over(by_row.rowsBetween(Window.unboundedPreceding, -1))
+    opened = marked.withColumn("opens", F.when(F.col("at") <= before, 0).otherwise(1))
+    runs = opened.withColumn("run", F.sum("opens").over(by_row.rowsBetween(Window.unboundedPreceding, 0))).groupBy("id", "key", "run").agg(
+        F.min("start").alias("start"), F.max("finish").alias("finish"), (F.max(F.col("at") + F.col("words")) - F.min("at")).alias("n_words"), F.min("kept").alias("kept_doc_id"), F.min("cluster").alias("cluster_id")
     )
     return runs.filter(F.col("n_words") >= min_words).select(F.col("id").alias("doc_id"), "start", "finish", "n_words", "kept_doc_id", "cluster_id")

@@ -172,3 +172,18 @@ def test_repeated_passages_are_found_and_clean_texts_left(spark):
         part = text[x.doc_id][x.start : x.finish]
         assert (part in passage or passage[:200] in part or part[-100:] in passage) and len(part.split()) == x.n_words
     assert passages.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_passages_of_long_texts_and_of_rows_that_share_an_id(spark):
+    r = random.Random(12)
+    sentence = lambda: " ".join(f"q{r.randrange(90_000)}" for _ in range(14)) + "."
+    text = " ".join(sentence() for _ in range(7_000))  # about three blocks
+    clean, part = " ".join(sentence() for _ in range(2_500)), text[:600]
+    rows = [(1, text), (2, f"{clean} {text}"), (3, f"{part} {sentence()}"), (3, f"{sentence()} {sentence()} {part}")]
+    rows = [(i, t[: t.rindex(".") + 1]) for i, t in rows]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    (whole,) = [x for x in got if x.doc_id == 2]
+    assert (whole.start, whole.finish, whole.n_words) == (len(clean) + 1, len(rows[1][1]), len(text.split()))
+    here = [x for x in got if x.doc_id == 3]
+    texts = [t for i, t in rows if i == 3]
+    assert len(here) == 2 and all(any(t[x.start : x.finish] in text and x.finish - x.start > 400 for t in texts) for x in here)
