@@ -3,11 +3,19 @@
 A text is cut into paragraphs: short sentences go with the next sentence of at least
 ``LONG_SENTENCE`` words, and a line's end always cuts, so where a paragraph ends depends on its
 last sentence alone and copies of a passage are cut alike wherever they stand. Paragraphs of
-``LONG_SENTENCE`` words or more have a set of five-word shingles. ``BANDS`` bands of ``ROWS``
-minima find similar paragraphs (a pair at similarity 0.75 meets with probability 0.96 at least),
-what meets is verified by exact Jaccard similarity, and the links form clusters. Of a cluster that
-several documents hold, the paragraphs of the smallest id stay and the others are marked;
-neighbouring marked paragraphs make one passage, reported from ``MIN_WORDS`` words on.
+``LONG_SENTENCE`` words or more have a set of five-word shingles; in a run of shorter ones, such as
+short lines, overlapping groups of about ``MIN_WORDS`` words have one, from each of them on.
+``BANDS`` bands of ``ROWS`` minima find similar paragraphs (a pair at similarity 0.75 meets with
+probability 0.96 at least), what meets is verified by exact Jaccard similarity, and the links form
+clusters.
+
+Where a paragraph runs on into other text, phrases find the copy: of ``GAP`` neighbouring places
+the one with the least hash gives its ``PHRASE`` words, so texts that share ``PHRASE + GAP - 1``
+words share a phrase, and of a longer copy at most ``GAP - 1`` words at either end are in none.
+
+Of a cluster or phrase that several documents hold, the words of the smallest id stay and the
+others are marked. Marked words with fewer than ``LONG_SENTENCE`` words between them make one
+passage, these words included, which is reported from ``MIN_WORDS`` words on.
 
 Equal paragraphs are one node, so copies are never paired. Null or empty texts have no paragraphs;
 rows with a null id are left out; rows that share an id are one document. Places are code points
@@ -32,56 +40,84 @@ from parityflow.session import materialised
 
 LONG_SENTENCE = 8
 MIN_WORDS = 30
+PHRASE, GAP = 12, 8
 BANDS, ROWS = 4, 2
 THRESHOLD = 0.75
 FILTER_BITS = 1 << 25
 _SEEDS = np.random.default_rng(11).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_IN_PHRASE = np.random.default_rng(13).integers(1, 1 << 63, PHRASE, dtype=np.uint64) | np.uint64(1)
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
 _SENTENCE_END = re.compile(rb"[.!?](?=[\x09-\x0D\x20])")
 
 
+def _phrases(words: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First word and hash of the phrases of rows of words."""
+    n = len(words) - PHRASE + 1
+    m = n - GAP + 1
+    if m <= 0:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    total = np.zeros(n, np.uint64)
+    for i in range(PHRASE):
+        total += words[i : i + n] * _IN_PHRASE[i]
+    total = mix(total)
+    least = total[:m].copy()
+    for i in range(1, GAP):
+        np.minimum(least, total[i : i + m], out=least)
+    inside, chosen = row[:m] == row[len(row) - m :], np.zeros(n, bool)
+    for i in range(GAP):
+        chosen[i : i + m] |= inside & (total[i : i + m] == least)
+    first = np.flatnonzero(chosen)
+    return first, total[first]
+
+
 class Paragraphs:
-    """The long enough paragraphs of a block of texts, as arrays."""
+    """The long enough paragraphs of a block of texts and its words, as arrays."""
 
     def __init__(self, block: bytes, text_starts: np.ndarray):
         letters = np.frombuffer(block, np.uint8)
         words, start = _hash_block(block.lower())
         self.text = self.node = np.empty(0, np.int64)
         self.shingles, self.first = np.empty(0, np.uint64), np.empty(0, np.int64)
-        self.in_text = np.bincount(np.searchsorted(text_starts, start, side="right") - 1, minlength=len(text_starts))
-        if len(words) < WORDS:
-            return
+        text = np.searchsorted(text_starts, start, side="right") - 1
+        self.in_text = np.bincount(text, minlength=len(text_starts))
         space = np.concatenate([_SPACE[letters], [True]])
-        end = start + np.array(np.diff(np.append(start, len(block))))
         ends_at = np.flatnonzero(space[1:] & ~space[:-1]) + 1
         end = ends_at[np.searchsorted(ends_at, start, side="right")]
-        text = np.searchsorted(text_starts, start, side="right") - 1
+        points = np.concatenate([[0], np.cumsum((letters & 0xC0) != 0x80)])
+        base = points[text_starts[text]]
+        self.hashes, self.of, self.opens_at, self.closes_at = words, text, points[start] - base, points[end] - base
+        n = len(words) - WORDS + 1
+        if n <= 0:
+            return
         lines = np.concatenate([[0], np.cumsum(letters == 10)])
         last = np.append((lines[end[:-1]] != lines[start[1:]]) | (text[1:] != text[:-1]), True)
         stop = _STOP[letters[end - 1]] | last
         sentence = np.cumsum(np.concatenate([[0], stop[:-1]]))
         length = np.bincount(sentence)
         cut = stop & (last | (length[sentence] >= LONG_SENTENCE))
-        unit = np.cumsum(np.concatenate([[0], cut[:-1]]))
-        n_words = np.bincount(unit)
-        whole = np.flatnonzero(unit[: -(WORDS - 1)] == unit[WORDS - 1 :])
-        whole = whole[n_words[unit[whole]] >= LONG_SENTENCE]
-        if not len(whole):
+        closes = np.flatnonzero(cut) + 1  # words before the end of each paragraph
+        opens = np.append(0, closes[:-1])
+        # short ones, each with those behind it, as far as no long one or other text follows
+        short = closes - opens < LONG_SENTENCE
+        ends_run = np.append(~short[1:] | (text[opens[1:]] != text[opens[:-1]]), True)
+        begin = np.flatnonzero(short)
+        run_end = np.flatnonzero(ends_run)
+        group_end = closes[np.minimum(np.searchsorted(closes, opens[begin] + MIN_WORDS), run_end[np.searchsorted(run_end, begin)])]
+        opens, closes = np.concatenate([opens[~short], opens[begin]]), np.concatenate([closes[~short], group_end])
+        enough = closes - opens >= LONG_SENTENCE
+        opens, closes = opens[enough], closes[enough]
+        if not len(opens):
             return
-        total = np.zeros(len(whole), np.uint64)
+        total = np.zeros(n, np.uint64)
         for i in range(WORDS):
-            total += words[whole + i] * _PLACE[i]
-        self.shingles, of = mix(total), unit[whole]
-        self.first = np.flatnonzero(np.diff(of, prepend=-1))
-        kept = of[self.first]
-        opens = np.searchsorted(unit, kept)
-        closes = np.searchsorted(unit, kept, side="right") - 1
-        points = np.concatenate([[0], np.cumsum((letters & 0xC0) != 0x80)])
+            total += words[i : i + n] * _PLACE[i]
+        sizes = closes - opens - WORDS + 1
+        self.first = np.cumsum(sizes) - sizes
+        self.shingles = mix(total)[np.arange(sizes.sum()) + np.repeat(opens - self.first, sizes)]
         self.text = text[opens]
-        base = points[text_starts[self.text]]
-        self.start, self.end = points[start[opens]] - base, points[end[closes]] - base
-        self.at, self.words = opens - np.searchsorted(text, self.text), n_words[kept]
+        self.start, self.end = self.opens_at[opens], self.closes_at[closes - 1]
+        self.at, self.words = opens - np.searchsorted(text, self.text), closes - opens
         self.node = mix(np.add.reduceat(mix(self.shingles), self.first) + self.words.astype(np.uint64)).view(np.int64)
 
     def signatures(self) -> np.ndarray:
@@ -118,7 +154,7 @@ def _piece_end(data: bytes, at: int) -> int:
 class Block:
     """Pieces of texts: their paragraphs, and for each piece the row's id and key and what of the row stands before it."""
 
-    def __init__(self, pieces: list[tuple[bytes, int, int, int, bool]], seen: int):
+    def __init__(self, pieces: list[tuple[bytes, int, int, int, bool]], seen: int, tail: np.ndarray):
         raw, ids, keys, points, more = zip(*pieces)
         self.paragraphs = Paragraphs(b"\n".join(raw), np.cumsum([0] + [len(r) + 1 for r in raw[:-1]]))
         self.ids, self.keys, self.points = (np.array(x, np.int64) for x in (ids, keys, points))
@@ -127,24 +163,40 @@ class Block:
             self.words[k] = seen if more[k] else 0
             seen = int(self.words[k]) + n
         self.seen = seen  # words of the last row up to here
+        p = self.paragraphs
+        row = np.cumsum(~np.array(more))
+        at = np.arange(len(p.of)) - np.searchsorted(p.of, p.of) + self.words[p.of]
+        lines = np.stack([p.hashes.view(np.int64), row[p.of], p.of, at, p.opens_at + self.points[p.of], p.closes_at + self.points[p.of]])
+        if more[0]:  # phrases reach over from the piece before
+            tail[1:3] = [[row[0]], [0]]
+            lines = np.concatenate([tail, lines], axis=1)
+        self.lines = lines
+        self.tail = lines[:, lines[1] == row[-1]][:, -(PHRASE + GAP - 2) :].copy()
+
+    def phrases(self) -> list[np.ndarray] | None:
+        """Piece, number of the first word, words, start, finish and hash of the phrases."""
+        hashes, row, of, at, start, finish = self.lines
+        first, f = _phrases(hashes.view(np.uint64), row)
+        last = first + PHRASE - 1
+        return [of[first], at[first], np.full(len(first), PHRASE), start[first], finish[last], f.view(np.int64)] if len(first) else None
 
 
 def _blocks(rows: Iterator[tuple[int, str | None, int]]) -> Iterator[Block]:
     """Blocks of about ``BLOCK_BYTES`` from rows of id, text and key."""
-    held, size, seen = [], 0, 0
+    held, size, seen, tail = [], 0, 0, None
     for i, t, key in rows:
         data, at, points = (t or "").encode(), 0, 0
         while at < len(data):
             end = _piece_end(data, at)
             piece = data[at:end]
             if held and size + len(piece) > BLOCK_BYTES:
-                yield (block := Block(held, seen))
-                held, size, seen = [], 0, block.seen
+                yield (block := Block(held, seen, tail))
+                held, size, seen, tail = [], 0, block.seen, block.tail
             held.append((piece, i, key, points, at > 0))
             size += len(piece)
             at, points = end, points + len(piece.decode(errors="replace"))
     if held:
-        yield Block(held, seen)
+        yield Block(held, seen, tail)
 
 
 def _columns(batches) -> Iterator[Block]:
@@ -158,9 +210,12 @@ def _occurrences(batches):
     """``id, key, at, words, start, finish, f``."""
     for block in _columns(batches):
         p = block.paragraphs
-        if len(p.node):
-            of = p.text
-            columns = [block.ids[of], block.keys[of], p.at + block.words[of], p.words, p.start + block.points[of], p.end + block.points[of], p.node]
+        of = p.text
+        paragraphs = [of, p.at + block.words[of], p.words, p.start + block.points[of], p.end + block.points[of], p.node] if len(p.node) else None
+        parts = [x for x in (paragraphs, block.phrases()) if x is not None]
+        if parts:
+            of, *columns = (np.concatenate(c) for c in zip(*parts))
+            columns = [block.ids[of], block.keys[of], *columns]
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["id", "key", "at", "words", "start", "finish", "f"])
 
 
@@ -200,6 +255,21 @@ def _verify(batches):
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
+def _filter_of(nodes: DataFrame) -> np.ndarray:
+    """A filter of fixed size that ``f`` of the nodes passes; what else passes it goes with the join that follows."""
+    place = F.pmod(F.col("f"), F.lit(FILTER_BITS)) + 1
+    maps = nodes.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    bits = np.zeros((FILTER_BITS // 32_768 + 1, 4_096), np.uint8)
+    for row in maps.collect():  # at most FILTER_BITS / 8 bytes
+        bits[row.bucket - 1] = np.frombuffer(row.bits, np.uint8)
+    return bits.reshape(-1)
+
+
+def _passes(f: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = np.mod(f, FILTER_BITS)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def repeated_passages(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, start, finish, n_words, kept_doc_id, cluster_id``: the passages to remove."""
     spark = documents.sparkSession
@@ -210,19 +280,13 @@ def repeated_passages(documents: DataFrame, doc_id: str = "doc_id", text: str =
     heads = signed.groupBy("sig").agg(F.min("f").alias("a"), F.max("f").alias("z")).filter("a <> z")
     pairs = materialised(signed.join(heads, "sig").filter("f <> a").select("a", F.col("f").alias("b")).distinct())
     nodes = pairs.select(F.col("a").alias("f")).union(pairs.select("b")).distinct()
-    place = F.pmod(F.col("f"), F.lit(FILTER_BITS)) + 1
-    maps = nodes.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    bits = np.zeros((FILTER_BITS // 32_768 + 1, 4_096), np.uint8)
-    for row in maps.collect():  # at most FILTER_BITS / 8 bytes
-        bits[row.bucket - 1] = np.frombuffer(row.bits, np.uint8)
-    shared = spark.sparkContext.broadcast(bits.reshape(-1))
+    shared = spark.sparkContext.broadcast(_filter_of(nodes))
 
     def fetch(batches):
         known = shared.value
         for p in (block.paragraphs for block in _columns(batches)):
             if len(p.node):
-                at = np.mod(p.node, FILTER_BITS)
-                keep = (known[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+                keep = _passes(p.node, known)
                 rows = pa.RecordBatch.from_arrays([pa.array(p.node), pa.array(p.sets(), pa.binary())], ["f", "body"])
                 yield rows.filter(pa.array(keep))
 
@@ -231,15 +295,24 @@ def repeated_passages(documents: DataFrame, doc_id: str = "doc_id", text: str =
     left, right = bodies.select(F.col("f").alias("a"), F.col("body").alias("x")), bodies.select(F.col("f").alias("b"), F.col("body").alias("y"))
     links = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
     groups = components(links)
-    found = docs.mapInArrow(_occurrences, "id long, key long, at long, words long, start long, finish long, f long")
-    holders = found.groupBy("f").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    clusters = holders.join(groups, F.col("f") == F.col("node"), "left").select("f", "low", "high", F.coalesce("component", "f").alias("cluster"))
+    schema = "id long, key long, at long, words long, start long, finish long, f long"
+    holders = docs.mapInArrow(_occurrences, schema).groupBy("f").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    placed = holders.join(groups, F.col("f") == F.col("node"), "left").filter("component IS NOT NULL OR low <> high")
+    placed = materialised(placed.select("f", "low", "high", "component"))
+    clusters = placed.filter("component IS NOT NULL").select("f", F.col("component").alias("cluster"), "low", "high")
     shared_by = clusters.groupBy("cluster").agg(F.min("low").alias("kept"), F.max("high").alias("high")).filter("kept <> high")
-    doubled = clusters.select("f", "cluster").join(shared_by, "cluster").select("f", "cluster", "kept")
-    marked = found.join(doubled, "f").filter("id <> kept").distinct()
+    alone = placed.filter("component IS NULL").select("f", F.col("f").alias("cluster"), F.col("low").alias("kept"))
+    doubled = materialised(alone.union(clusters.select("f", "cluster").join(shared_by, "cluster").select("f", "cluster", "kept")))
+    repeated = spark.sparkContext.broadcast(_filter_of(doubled))
+
+    def held_again(batches):
+        for rows in _occurrences(batches):
+            yield rows.filter(pa.array(_passes(rows.column("f").to_numpy(), repeated.value)))
+
+    marked = docs.mapInArrow(held_again, schema).join(doubled, "f").filter("id <> kept")
     by_row = Window.partitionBy("id", "key").orderBy("at")
     before = F.max(F.col("at") + F.col("words")).over(by_row.rowsBetween(Window.unboundedPreceding, -1))
-    opened = marked.withColumn("opens", F.when(F.col("at") <= before, 0).otherwise(1))
+    opened = marked.withColumn("opens", F.when(F.col("at") < before + LONG_SENTENCE, 0).otherwise(1))
     runs = opened.withColumn("run", F.sum("opens").over(by_row.rowsBetween(Window.unboundedPreceding, 0))).groupBy("id", "key", "run").agg(
         F.min("start").alias("start"), F.max("finish").alias("finish"), (F.max(F.col("at") + F.col("words")) - F.min("at")).alias("n_words"), F.min("kept").alias("kept_doc_id"), F.min("cluster").alias("cluster_id")
     )

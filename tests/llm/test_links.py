@@ -187,3 +187,36 @@ def test_passages_of_long_texts_and_of_rows_that_share_an_id(spark):
     here = [x for x in got if x.doc_id == 3]
     texts = [t for i, t in rows if i == 3]
     assert len(here) == 2 and all(any(t[x.start : x.finish] in text and x.finish - x.start > 400 for t in texts) for x in here)
+
+
+def test_copies_of_over_50_words_are_found_however_they_are_cut(spark):
+    r = random.Random(21)
+    words = lambda n: " ".join(f"p{r.randrange(90_000)}" for _ in range(n))
+    line = lambda n: words(n) + ".\n"
+    short_lines = "".join(line(5) for _ in range(11))
+    bridged = line(20) + line(3) + line(20) + line(4) + line(20)
+    run_on = f"{words(24)}. {words(9)}. {words(22)}"
+    one_sentence = words(52)
+    rows, spans = [], {}
+    for n, part in enumerate((short_lines, bridged, run_on, one_sentence)):
+        rows.append((n, f"{words(30)} {part.strip()} {words(25)}."))
+        head = f"{words(33)}. {words(21)} "
+        spans[10 + n] = (len(head), len(head) + len(part.strip()))
+        rows.append((10 + n, f"{head}{part.strip()} {words(30)}."))
+    # short lines of which every tenth word or so is another
+    changed = [words(5) for _ in range(30)]
+    rows += [(5, "\n".join(changed)), (15, "\n".join(c if i % 8 else words(5) for i, c in enumerate(changed)))]
+    # a bridge is no match: short lines between clean paragraphs and clean lines between marked ones stay
+    lines = [line(20), line(20)]
+    rows += [(6, lines[0] + lines[1]), (16, lines[0] + "".join(line(5) for _ in range(9)) + lines[1])]
+    got = {}
+    for x in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(x.doc_id, []).append(x)
+    assert set(got) == {10, 11, 12, 13, 15}
+    text = dict(rows)
+    for i, (start, finish) in spans.items():
+        (x,) = got[i]
+        # at most seven words are missing at either end
+        assert start <= x.start and x.finish <= finish and x.kept_doc_id == i - 10
+        assert len(text[i][start : x.start].split()) < passages.GAP and len(text[i][x.finish : finish].split()) < passages.GAP
+        assert len(text[i][x.start : x.finish].split()) == x.n_words
