@@ -6,8 +6,9 @@ last sentence alone and copies of a passage are cut alike wherever they stand. P
 ``LONG_SENTENCE`` words or more have a set of five-word shingles; in a run of shorter ones, such as
 short lines, overlapping groups of about ``MIN_WORDS`` words have one, from each of them on.
 ``BANDS`` bands of ``ROWS`` minima find similar paragraphs (a pair at similarity 0.75 meets with
-probability 0.96 at least), what meets is verified by exact Jaccard similarity, and the links form
-clusters.
+probability 0.96 at least). Of what meets, everything is compared first with one of its bucket by
+exact Jaccard similarity; the links form clusters, and members of buckets that still hold several
+clusters are compared with each other, in chunks.
 
 Where a paragraph runs on into other text, phrases find the copy: of ``GAP`` neighbouring places
 the one with the least hash gives its ``PHRASE`` words, so texts that share ``PHRASE + GAP - 1``
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parityflow.llm.graph import components
+from parityflow.llm.graph import Forest, components
 from parityflow.llm.shingles import BLOCK_BYTES, WORDS, _PLACE, _SPACE, _hash_block, mix
 from parityflow.session import materialised
 
@@ -44,6 +45,8 @@ PHRASE, GAP = 12, 8
 BANDS, ROWS = 4, 2
 THRESHOLD = 0.75
 FILTER_BITS = 1 << 25
+CHUNK_ROWS = 512  #: sets of a bucket that are compared at a time
+BIN_ROWS = 10_000
 _SEEDS = np.random.default_rng(11).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _IN_PHRASE = np.random.default_rng(13).integers(1, 1 << 63, PHRASE, dtype=np.uint64) | np.uint64(1)
 _STOP = np.zeros(256, bool)
@@ -255,6 +258,37 @@ def _verify(batches):
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
+def _join_apart(table: pa.Table) -> pa.Table:
+    """Links between different components within the cells of a bin, enough to join what is similar."""
+    cells = table.column("cell").to_numpy()
+    order = np.argsort(cells, kind="stable")
+    starts = np.flatnonzero(np.diff(cells[order], prepend=cells[order][0] - 1))
+    f, component, mine = (table.column(c).to_numpy() for c in ("f", "component", "mine"))
+    sets = [np.frombuffer(v, np.uint64) for v in table.column("body").to_pylist()]
+    forest, found = Forest(), []
+    for start, end in zip(starts, [*starts[1:], len(order)]):
+        here = order[start:end]
+        right = here[mine[here] > 0]
+        known = np.unique(np.concatenate([sets[j] for j in here.tolist()]))
+        sizes = np.array([len(sets[j]) for j in right.tolist()])
+        if not len(right):
+            continue
+        places = np.searchsorted(known, np.concatenate([sets[j] for j in right.tolist()]))
+        first, has = np.cumsum(sizes) - sizes, np.zeros(len(known), np.int64)
+        for i in here[mine[here] < 2].tolist():
+            at = np.searchsorted(known, sets[i])
+            has[at] = 1
+            both = np.add.reduceat(has[places], first)
+            has[at] = 0
+            fit = both >= THRESHOLD * (sizes + len(sets[i]) - both)
+            for j in right[fit & (component[right] != component[i])].tolist():
+                if forest.root(int(component[i])) != forest.root(int(component[j])):
+                    forest.join(int(component[i]), int(component[j]))
+                    found.append((int(f[i]), int(f[j])))
+    a, b = zip(*found) if found else ((), ())
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
 def _filter_of(nodes: DataFrame) -> np.ndarray:
     """A filter of fixed size that ``f`` of the nodes passes; what else passes it goes with the join that follows."""
     place = F.pmod(F.col("f"), F.lit(FILTER_BITS)) + 1
@@ -270,15 +304,14 @@ def _passes(f: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def repeated_passages(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc_id, start, finish, n_words, kept_doc_id, cluster_id``: the passages to remove."""
-    spark = documents.sparkSession
-    docs = documents.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).filter("id IS NOT NULL")
-    docs = docs.withColumn("key", F.xxhash64("text"))  # rows that share an id are told apart by their text
+def paragraph_clusters(docs: DataFrame) -> DataFrame:
+    """``node, component`` of the paragraphs that have a similar one, from rows ``id, text, key``."""
+    spark = docs.sparkSession
     signed = docs.mapInArrow(_sign, "sig long, f long")
     # the first set of a group stands for it; minima are combined in the tasks, so no group is collected
     heads = signed.groupBy("sig").agg(F.min("f").alias("a"), F.max("f").alias("z")).filter("a <> z")
-    pairs = materialised(signed.join(heads, "sig").filter("f <> a").select("a", F.col("f").alias("b")).distinct())
+    members = materialised(signed.join(heads, "sig").select("sig", "f", "a").distinct())
+    pairs = materialised(members.filter("f <> a").select("a", F.col("f").alias("b")).distinct())
     nodes = pairs.select(F.col("a").alias("f")).union(pairs.select("b")).distinct()
     shared = spark.sparkContext.broadcast(_filter_of(nodes))
 
@@ -294,7 +327,29 @@ def repeated_passages(documents: DataFrame, doc_id: str = "doc_id", text: str =
     bodies = materialised(bodies)
     left, right = bodies.select(F.col("f").alias("a"), F.col("body").alias("x")), bodies.select(F.col("f").alias("b"), F.col("body").alias("y"))
     links = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
-    groups = components(links)
+    links = materialised(links)
+    first = materialised(components(links))
+    # buckets that one component holds are done, and so are pairs; in the others members are compared across components
+    placed = members.join(first, F.col("f") == F.col("node"), "left").select("sig", "f", F.coalesce("component", "f").alias("component"))
+    placed = materialised(placed)
+    open_ = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).filter("low <> high AND size > 2")
+    open_ = open_.select("sig", F.ceil(F.col("size") / CHUNK_ROWS).cast("int").alias("chunks"))
+    pending = materialised(placed.join(open_, "sig"))
+    bins = max(64, (pending.agg(F.sum("chunks")).first()[0] or 0) // BIN_ROWS)
+    rows = pending.withColumn("c", F.pmod(F.xxhash64("f"), "chunks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.withColumn("cell", F.xxhash64("sig", F.least("c", "o"), F.greatest("c", "o")))
+    rows = rows.withColumn("mine", F.when(F.col("c") == F.col("o"), 1).when(F.col("c") < F.col("o"), 0).otherwise(2))
+    rows = rows.join(bodies, "f").select("f", "component", "body", "cell", "mine", F.pmod("cell", F.lit(bins)).alias("bin"))
+    more = materialised(rows.groupBy("bin").applyInArrow(_join_apart, "a long, b long"))
+    return first if more.isEmpty() else components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+
+
+def repeated_passages(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """``doc_id, start, finish, n_words, kept_doc_id, cluster_id``: the passages to remove."""
+    spark = documents.sparkSession
+    docs = documents.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).filter("id IS NOT NULL")
+    docs = docs.withColumn("key", F.xxhash64("text"))  # rows that share an id are told apart by their text
+    groups = paragraph_clusters(docs)
     schema = "id long, key long, at long, words long, start long, finish long, f long"
     holders = docs.mapInArrow(_occurrences, schema).groupBy("f").agg(F.min("id").alias("low"), F.max("id").alias("high"))
     placed = holders.join(groups, F.col("f") == F.col("node"), "left").filter("component IS NOT NULL OR low <> high")

@@ -220,3 +220,26 @@ def test_copies_of_over_50_words_are_found_however_they_are_cut(spark):
         assert start <= x.start and x.finish <= finish and x.kept_doc_id == i - 10
         assert len(text[i][start : x.start].split()) < passages.GAP and len(text[i][x.finish : finish].split()) < passages.GAP
         assert len(text[i][x.start : x.finish].split()) == x.n_words
+
+
+def test_paragraph_families_against_all_pairs(spark):
+    r = random.Random(31)
+    word = lambda: f"u{r.randrange(90_000)}"
+    rows = []
+    for _ in range(40):
+        base = [word() for _ in range(60)]
+        for _ in range(15):  # pairs of variants, which are mostly less similar to other pairs of the family
+            one = list(base)
+            one[r.randrange(4, 56)] = word()
+            other = list(one)
+            other[r.randrange(4, 56)] = word()
+            rows += [" ".join(one), " ".join(other)]
+    sets = [shingle_set(t) for t in rows]
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a - a % 30, a) if near(sets[a], sets[b])]
+    node = [int(passages.Paragraphs(t.encode(), np.array([0])).node[0]) for t in rows]
+    docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(rows)], "id long, text string, key long")
+    got = {x.node: x.component for x in passages.paragraph_clusters(docs).collect()}
+    missed = sum(got.get(node[a], node[a]) != got.get(node[b], node[b]) for a, b in pairs)
+    assert missed <= 0.02 * len(pairs), (missed, len(pairs))
+    comp = roots(pairs, range(len(rows)))
+    assert all(len({comp[i] for i in range(len(rows)) if got.get(node[i]) == c}) == 1 for c in set(got.values()))
