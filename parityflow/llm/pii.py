@@ -2,7 +2,7 @@
 
 Kinds: email, ip, card, phone and iban. A proposed span is dropped when its check fails (parts
 of an address up to 255, 16 to 19 digits with a right Luhn sum, 8 to 15 digits of a phone number,
-15 to 34 characters with an IBAN remainder of 1 modulo 97). Spans of one kind are found from the
+as many characters as IBANs of the country have, with a remainder of 1 modulo 97). Spans of one kind are found from the
 left and do not overlap; spans of different kinds may. The score of a span starts from its kind
 and rises when a word that speaks of the kind stands within ``NEAR`` characters before it.
 
@@ -30,7 +30,8 @@ class Kind:
     """``start`` guards the pattern: a match begins where the last one ended, or not within a run of ``start``.
 
     Without it every character of a long run would be tried as a start. Possessive repeats keep
-    Java from coming back to what it has read; none of these patterns can match by doing so.
+    Java from coming back to what it has read; none of these patterns can match by doing so. An
+    IBAN is read as far as its country's length goes, so that words behind it stay out of it.
     """
 
     name: str
@@ -45,12 +46,24 @@ class Kind:
         return f"(?:\\G|(?<!{self.start})){self.pattern}" if self.start else self.pattern
 
 
+#: characters of an IBAN behind the check digits, by country, as in the IBAN registry and the list of countries that use them without an entry
+IBAN_REST = {
+    11: "NO", 12: "BE", 14: "DK FI FK FO GL NL SD", 15: "MK SI", 16: "AT BA EE KZ LT LU MN XK", 17: "CH HR LI LV", 18: "BG BH CR DE GB GE IE ME RS VA",
+    19: "AE GI IL IQ OM SO TL", 20: "AD CZ ES MD PK RO SA SE SK TN VG", 21: "AO CV GW LY MZ PT ST", 22: "DZ IR IS TR",
+    23: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG SM TD", 24: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 25: "BR EG PS QA UA",
+    26: "JO KW MU YE", 27: "MT SC", 28: "LC", 29: "RU",
+}
+_BY_COUNTRY = "|".join(rf"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n}}}" for n, codes in IBAN_REST.items())
+_CODES = "|".join(IBAN_REST.values()).replace(" ", "|")
+_OTHER = rf"(?!{_CODES})[A-Z]{{2}}[0-9]{{2}}(?:(?!\x20(?:{_CODES})[0-9]{{2}})\x20?[A-Z0-9]){{11,30}}+"  # no country's IBAN: read up to one that is
+
+
 KINDS = (
     Kind("email", "[A-Za-z0-9._%+-]", r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", r"(?i)e-?mail|contact|write to|correo|courriel|kontakt", 0.9),
     Kind("ip", "[0-9]", r"[0-9]++(?:\.[0-9]++){3}+", r"[0-9]\.[0-9]", r"(?i)\bip\b|address|host|server|login", 0.6),
     Kind("card", "", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9][\x20-]?[0-9]", r"(?i)card|visa|credit|karte|carte|tarjeta", 0.8),
     Kind("phone", "", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", r"(?i)phone|tel\b|tel\.|call|mobile|fax|tél|llama", 0.7),
-    Kind("iban", "[A-Za-z0-9]", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", r"(?i)iban|account|konto|compte|cuenta|bank", 0.8),
+    Kind("iban", "[A-Za-z0-9]", rf"(?=[A-Z]{{2}}[0-9]{{2}})(?:{_BY_COUNTRY}|{_OTHER})(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", r"(?i)iban|account|konto|compte|cuenta|bank", 0.8),
 )
 
 

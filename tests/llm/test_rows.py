@@ -188,3 +188,39 @@ def test_digest_columns(spark):
     for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
         spans = ",".join(f"{k}:{a}:{b}" for k, a, b in brute_pii(x.text))
         assert got[x.doc_id].base_sha256 == hashlib.sha256(spans.encode()).hexdigest()
+
+
+def checked_iban(country, rest):
+    value = int("".join(str(int(c, 36)) for c in f"{rest}{country}00"))
+    return f"{country}{98 - value % 97:02d}{rest}"
+
+
+def brute_iban(text):
+    length = {c: n + 4 for n, codes in pii.IBAN_REST.items() for c in codes.split()}
+    out, at = [], 0
+    while at < len(text):
+        m = re.compile(r"[A-Z]{2}[0-9]{2}(\x20?[A-Z0-9])*").match(text, at)
+        if m and (not at or not re.match("[A-Za-z0-9]", text[at - 1])) and m.group()[:2] in length:
+            for end in range(at + 1, m.end() + 1):
+                plain = text[at:end].replace(" ", "")
+                if len(plain) == length[m.group()[:2]] and text[end - 1] != " " and not re.match("[A-Za-z0-9]", text[end : end + 1]):
+                    if int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1:
+                        out.append((at, end))
+                        at = end - 1
+                    break
+        at += 1
+    return out
+
+
+def test_ibans_with_words_behind_them_against_brute_force(spark):
+    r = random.Random(8)
+    texts = ["pay DE89370400440532013000 Please", "IBAN DE89 3704 0044 0532 0130 00 The next", "GB82WEST12345698765432 2 times", "ZZ12 3456 7890 123 DE89370400440532013000 A"]
+    for n, codes in pii.IBAN_REST.items():
+        for code in codes.split():
+            iban = checked_iban(code, "".join(r.choice("0123456789ABCXYZ") for _ in range(n)))
+            grouped = " ".join(iban[i : i + 4] for i in range(0, len(iban), 4))
+            texts += [f"{a} {b}{c}" for a, b, c in zip(("to", "X", "é:"), (iban, grouped, grouped), (" Please pay", f" A {grouped} 2 TIMES", r.choice(["x", "9", ".", " 12", ", IBAN"])))]
+    got = [[(s.start, s.end) for s in x.pii if s.kind == "iban"] for x in pii.find_pii(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)).collect()]
+    assert [len(x) for x in got[:4]] == [1, 1, 1, 1]
+    for text, spans in zip(texts, got):
+        assert spans == brute_iban(text), text
