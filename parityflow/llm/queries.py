@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parityflow.llm import bpe, edits, jaccard, language, linededup, mixing, neardup, passages, pii, topk
+from parityflow.llm import bpe, crosstoken, edits, jaccard, language, linededup, mixing, neardup, passages, pii, topk, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -167,6 +167,39 @@ SELECT m.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM m LEFT JOIN n
 """
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers over every document, and how often the linked ids occur in the corpus."""
+    import public_tokenizers
+
+    pieces = crosstoken.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    return crosstoken.linked_counts(_table(spark, sf_dir, "documents"), bpe.read_vocabulary(vocabulary_path()), pieces)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every vector."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_warc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages through WARC files: what the archives say of each."""
+    read = warc.archive_pages(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    ids = {c: F.nullif(F.substring_index(c, ":", -1), F.lit("")).cast("long") for c in ("record_id", "refers_to")}
+    digest = F.when(F.col("payload").isNotNull(), F.sha2("payload", 256)).otherwise(F.substring_index("payload_digest", ":", -1))
+    return read.select(
+        ids["record_id"].alias("page_id"), F.col("payload_length").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", ids["refers_to"].alias("refers_to")
+    )
+
+
+OP13_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, sha256(body) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, d.payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first < page_id THEN first END AS refers_to
+FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest AND payload_bytes >= 100
+"""
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op7_repeated_passages": op7_repeated_passages,
@@ -178,5 +211,8 @@ QUERIES = {
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op8_language_id": op8_language_id,
     "op9_pii": op9_pii,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_whitening": op12_whitening,
+    "op13_warc_pages": op13_warc_pages,
 }
-ORACLES = {"op2_topk": OP2_SQL, "op10_jaccard_join": OP10_SQL, "op4_line_dedup": OP4_SQL, "op5_source_mixing": OP5_SQL}
+ORACLES = {"op13_warc_pages": OP13_SQL, "op2_topk": OP2_SQL, "op10_jaccard_join": OP10_SQL, "op4_line_dedup": OP4_SQL, "op5_source_mixing": OP5_SQL}
