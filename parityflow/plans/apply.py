@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parityflow.config import CompareConfig, MigrationConfig
 from parityflow.functions.keys import join_key_columns, q
@@ -15,23 +17,62 @@ from parityflow.plans.plan import DELETE, INSERT, KEEP, REVIEW, UPDATE, decide,
 from parityflow.session import materialised
 
 
+def _castable(a: T.DataType, b: T.DataType) -> bool:
+    """Does Spark know a cast of these types?"""
+    try:
+        SparkSession.active().range(0).select(F.lit(None).cast(a).try_cast(b)).schema
+    except AnalysisException:
+        return False
+    return True
+
+
+def _held(cell: Column, a: T.DataType, b: T.DataType) -> Column:
+    """A cell in the target's type, NULL where that cannot hold it."""
+    if a == b:
+        return cell
+    return cell.try_cast(b) if _castable(a, b) else F.lit(None).cast(b)
+
+
+def misfits(row: Column, have: T.StructType, want: T.StructType) -> Column:
+    """``array<string>``: the columns of ``row`` whose value the target column cannot hold."""
+    known = {f.name: f.dataType for f in have}
+    notes = []
+    for f in want:
+        if f.name in known and known[f.name] != f.dataType:
+            cell = row.getField(f.name)
+            lost = cell.isNotNull() & _held(cell, known[f.name], f.dataType).isNull()
+            notes.append(F.when(lost, F.lit(f"Column '{f.name}' cannot hold the value as {f.dataType.simpleString()}")))
+    return F.array_compact(F.array(*notes)) if notes else F.array().cast("array<string>")
+
+
+def rejected_rows(target: DataFrame, p: DataFrame) -> DataFrame:
+    """Planned inserts and updates that ``apply_plan`` leaves out, with ``errors``: values that the target cannot hold."""
+    rows = p.filter(F.col("action").isin(INSERT, UPDATE)).withColumn("errors", misfits(F.col("row"), p.schema["row"].dataType, target.schema))
+    return rows.filter(F.size("errors") > 0)
+
+
 def apply_plan(target: DataFrame, p: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """The target after the plan: kept, replaced and inserted rows.
 
     One null-safe join; an update replaces every row that carries its key, a
-    delete removes every such row, as the statements in a database would.
+    delete removes every such row, as the statements in a database would. A row
+    with a value that its target column cannot hold is not applied;
+    ``rejected_rows`` gives these.
     """
     keys = list(keys) if keys is not None else plan_keys(p)
     columns = target.columns
-    known = set(p.schema["row"].dataType.fieldNames())
+    types = {f.name: f.dataType for f in p.schema["row"].dataType}
+    known = set(types)
+    wrong = misfits(F.col("row"), p.schema["row"].dataType, target.schema)
+    p = p.filter((F.col("action") == DELETE) | (F.size(wrong) == 0))
 
     def cell(name: str):
         dtype = target.schema[name].dataType
-        return (F.col("__row").getField(name).cast(dtype) if name in known else F.lit(None).cast(dtype)).alias(name)
+        return (_held(F.col("__row").getField(name), types[name], dtype) if name in known else F.lit(None).cast(dtype)).alias(name)
 
     inserts = p.filter(F.col("action") == INSERT).withColumnRenamed("row", "__row").select(*[cell(c) for c in columns])
     changes = p.filter(F.col("action").isin(UPDATE, DELETE)).select(
-        *[q(k).cast(target.schema[k].dataType).alias(k) for k in keys], F.col("action").alias("__action"), F.col("row").alias("__row")
+        *[q(k).try_cast(target.schema[k].dataType).alias(k) for k in keys], F.col("action").alias("__action"), F.col("row").alias("__row")
     )
     t, names = join_key_columns(target, keys)
     c, _ = join_key_columns(changes, keys)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parityflow.functions.sqltext import literal, quote_name
 from parityflow.plans.plan import DELETE, INSERT, UPDATE, plan_keys
@@ -17,7 +19,8 @@ def render_dml(
     """The plan with a ``statement`` column.
 
     With ``partial`` an update sets only the changed columns that are not keys;
-    a row without any yields no statement.  The text is built by column
+    a row without any yields no statement.  Nor does an update or delete whose key
+    has no literal; ``unscripted`` gives those rows.  The text is built by column
     expressions on the executors; write it with ``.write.text``.
     """
     keys = list(keys) if keys is not None else plan_keys(p)
@@ -38,11 +41,23 @@ def render_dml(
     settable = [n for n in names if n not in keys]
     parts = [F.when(F.array_contains("changed_columns", n), assign(n)) if partial else assign(n) for n in settable]
     sets = F.concat_ws(", ", *parts) if parts else F.lit("")
-    where = F.concat_ws(" AND ", *[F.when(value(k) == "NULL", F.lit(f"{quote_name(k, engine)} IS NULL")).otherwise(assign(k)) for k in keys])
+    # only a key that is NULL matches NULL; one without a literal (NaN, infinite) gives no statement
+    cells = {k: F.col("row").getField(k) if k in fields else F.lit(None) for k in keys}
+    named = reduce(lambda a, b: a & b, [cells[k].isNull() | (value(k) != "NULL") for k in keys], F.lit(True))
+    where = F.concat_ws(" AND ", *[F.when(cells[k].isNull(), F.lit(f"{quote_name(k, engine)} IS NULL")).otherwise(assign(k)) for k in keys])
     update = F.concat(F.lit(f"UPDATE {where_table} SET "), sets, F.lit(" WHERE "), where, F.lit(";"))
     if partial:
         update = F.when(sets != "", update)
     delete = F.concat(F.lit(f"DELETE FROM {where_table} WHERE "), where, F.lit(";"))
     action = F.col("action")
-    statement = F.when(action == INSERT, insert).when(action == UPDATE, update).when(action == DELETE, delete)
+    statement = F.when(action == INSERT, insert).when(named & (action == UPDATE), update).when(named & (action == DELETE), delete)
     return p.withColumn("statement", statement).filter(F.col("statement").isNotNull())
+
+
+def unscripted(p: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
+    """Planned updates and deletes with a NaN or infinite key, which no statement can name."""
+    keys = list(keys) if keys is not None else plan_keys(p)
+    fields = {f.name: f.dataType for f in p.schema["row"].dataType}
+    cells = [F.col("row").getField(k) for k in keys if isinstance(fields.get(k), (T.FloatType, T.DoubleType))]
+    odd = reduce(lambda a, b: a | b, [F.isnan(c) | (F.abs(c) == float("inf")) for c in cells], F.lit(False))
+    return p.filter(F.col("action").isin(UPDATE, DELETE) & odd)

@@ -56,7 +56,7 @@ def validate(df: DataFrame, rules: Sequence[ColumnRule]) -> DataFrame:
         if is_text(dtype) and rule.max_length is not None and rule.max_length > 0:
             too_long = F.length(c) > rule.max_length
             cells[rule.name] = F.when(too_long, F.left(c, F.lit(rule.max_length))).otherwise(c).alias(rule.name)
-            note = F.format_string(f"Truncated '{rule.name}': %d -> {rule.max_length} chars", F.length(c))
+            note = F.concat(F.lit(f"Truncated '{rule.name}': "), F.length(c).cast("string"), F.lit(f" -> {rule.max_length} chars"))
             warnings.append(F.when(too_long, note))
         if required:
             note = F.lit(f"Column '{rule.name}' is NOT NULL without default but value is NULL")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from parityflow.suite import diffs, fuzzy, operations, plans, schemas, similar, transforms
+from parityflow.suite import diffs, fuzzy, operations, plans, runs, schemas, similar, transforms
 
-MODULES = (diffs, plans, transforms, schemas, operations, similar, fuzzy)
+MODULES = (diffs, plans, runs, transforms, schemas, operations, similar, fuzzy)
 
 
 def queries():
