@@ -97,4 +97,5 @@ def values_equal(a: Column, a_type: T.DataType, b: Column, b_type: T.DataType, c
         return same
     x = parse_number(a) if is_text(a_type) else a.cast("double")
     y = parse_number(b) if is_text(b_type) else b.cast("double")
-    return F.when(x.isNotNull() & y.isNotNull(), F.abs(x - y) <= F.lit(float(cfg.numeric_tolerance))).otherwise(same)
+    # equal cells are equal even where their difference is no number
+    return F.when(x.isNotNull() & y.isNotNull(), same | (F.abs(x - y) <= F.lit(float(cfg.numeric_tolerance)))).otherwise(same)

@@ -11,6 +11,8 @@ from parityflow.functions.hashing import row_hash
 from parityflow.functions.keys import resolve_keys
 from parityflow.operators import compare as C
 from parityflow.operators.align import align
+from parityflow.operators.bands import Band, band_diff
+from parityflow.operators.buckets import changed_rows
 from parityflow.operators.dedupe import dedupe_last, duplicate_keys, duplicate_rows
 from parityflow.sources.tables import page
 from parityflow.suite import pairs as P
@@ -44,6 +46,17 @@ d AS (
 """
 
 
+NEARLY_SQL = P.LINEITEM_SQL[: P.LINEITEM_SQL.index("raw_tgt AS (")] + """raw_tgt AS (
+  SELECT * REPLACE (CASE WHEN l_orderkey % 200 = 3 THEN l_tax + 0.5::DOUBLE ELSE l_tax END AS l_tax) FROM lineitem WHERE l_orderkey % 400 <> 7
+  UNION ALL SELECT * REPLACE (l_orderkey + 100000000 AS l_orderkey) FROM lineitem WHERE l_orderkey % 400 = 11),
+""" + P.LINEITEM_SQL[P.LINEITEM_SQL.index("src AS (") :]
+BAND_SQL = f"""WITH {P.ORDERS_SQL},
+p AS (SELECT s.o_orderkey AS source_key, t.o_orderkey AS target_key FROM src s JOIN tgt t ON s.o_custkey = t.o_custkey
+  AND abs(s.o_totalprice - t.o_totalprice) <= abs(s.o_totalprice) * 0.01::DOUBLE
+  AND abs(epoch_us(s.o_orderdate)::DOUBLE / 86400000000.0::DOUBLE - epoch_us(t.o_orderdate)::DOUBLE / 86400000000.0::DOUBLE) <= 3.0::DOUBLE)
+SELECT 'matched' AS status, source_key, target_key FROM p
+UNION ALL SELECT 'inserted', o_orderkey, NULL FROM src WHERE o_orderkey NOT IN (SELECT source_key FROM p)
+UNION ALL SELECT 'deleted', NULL, o_orderkey FROM tgt WHERE o_orderkey NOT IN (SELECT target_key FROM p)"""
 ORDERS_DIFF = diff_sql(P.ORDERS_SQL, ["o_orderkey"], P.ORDER_COLUMNS)
 LINES_DIFF = diff_sql(P.LINEITEM_SQL, P.LINE_KEYS, P.LINE_COLUMNS)
 TEXT_SAME = "lower(trim(regexp_replace(s.{c}, '\\s+', ' ', 'g'))) IS NOT DISTINCT FROM lower(trim(regexp_replace(t.{c}, '\\s+', ' ', 'g')))"
@@ -195,6 +208,28 @@ def diff_search_page(spark, sf_dir):
     return page(rows.select("o_orderkey", "status", "o_totalprice"), ["o_orderkey"], limit=100, offset=200)
 
 
+def _nearly_same_lines(spark, sf_dir):
+    """Lineitem and a copy in which the orders of one remainder in two hundred differ."""
+    src = P.load(spark, sf_dir, "lineitem")
+    few = P.every("l_orderkey", 200, 3)
+    tgt = src.withColumn("l_tax", F.when(few, F.col("l_tax") + 0.5).otherwise(F.col("l_tax"))).filter(~P.every("l_orderkey", 400, 7))
+    return src, tgt.unionByName(src.filter(P.every("l_orderkey", 400, 11)).withColumn("l_orderkey", F.col("l_orderkey") + P.EXTRA_KEY))
+
+
+def diff_hash_buckets(spark, sf_dir):
+    """Changed lines of two nearly equal tables, found by checksums of key buckets."""
+    s, t = _nearly_same_lines(spark, sf_dir)
+    return narrow(changed_rows(s, t, LINES), list(P.LINE_KEYS))
+
+
+def expr_match_band(spark, sf_dir):
+    """Orders of one customer whose prices differ by at most 1 % and dates by at most 3 days."""
+    s, t = P.orders_pair(spark, sf_dir)
+    bands = [Band("o_totalprice", "o_totalprice", 0.01, relative=True), Band("o_orderdate", "o_orderdate", 3.0)]
+    d = band_diff(s, t, ["o_orderkey"], ["o_orderkey"], [("o_custkey", "o_custkey")], bands, "source.o_orderpriority IS NOT NULL")
+    return d.select("status", F.col("source.o_orderkey").alias("source_key"), F.col("target.o_orderkey").alias("target_key"))
+
+
 def expr_match(spark, sf_dir):
     """Rows matched by an expression: customer and month of the order."""
     s, t = P.orders_pair(spark, sf_dir)
@@ -219,7 +254,7 @@ def duplicate_error_rows(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        diff_orders_pk, diff_default_keys, diff_id_key, diff_lineitem_composite, diff_hash_lineitem,
+        diff_orders_pk, diff_default_keys, diff_id_key, diff_lineitem_composite, diff_hash_lineitem, diff_hash_buckets, expr_match_band,
         diff_hash_tolerance, diff_ignore_columns, diff_case_whitespace, diff_tolerance, diff_text_numbers, diff_null_empty,
         diff_null_keys, diff_schema_aligned, aligned_tables, diff_rows_wide, diff_summary, diff_summary_loose,
         diff_summary_lineitem, hash_mode_summary, row_hashes, insert_rows, delete_rows, changed_column_frequency,
@@ -264,6 +299,8 @@ ORACLES = {
     "diff_id_key": diff_sql(P.CUSTOMER_SQL, ["c_custkey"], _CUSTOMER_COLUMNS)
     + "SELECT c_custkey AS id, status, changed FROM d",
     "diff_lineitem_composite": LINES_DIFF + _ALL,
+    "diff_hash_buckets": diff_sql(NEARLY_SQL, P.LINE_KEYS, P.LINE_COLUMNS) + _ALL + " WHERE status <> 'matched'",
+    "expr_match_band": BAND_SQL,
     "diff_hash_lineitem": LINES_DIFF + _ALL,
     "diff_hash_tolerance": diff_sql(P.CUSTOMER_SQL, ["c_custkey"], _CUSTOMER_COLUMNS, {"c_acctbal": NEAR % 0.01})
     + "SELECT c_custkey, status, status IN ('inserted', 'updated') AS has_source, status IN ('deleted', 'updated') AS has_target FROM d",
