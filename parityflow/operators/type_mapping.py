@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parityflow.functions import typerules as R
+from parityflow.functions.casts import held
 from parityflow.functions.equality import cell_text
 from parityflow.functions.keys import q
 
@@ -251,39 +252,52 @@ def spark_type(kind: str, p: int | None = None, s: int | None = None) -> T.DataT
     return _SPARK.get(kind, T.StringType())
 
 
-# What the whole-number kinds hold.
-_WHOLE = {"TinyInt": (-(2**15), 2**15 - 1), "SmallInt": (-(2**15), 2**15 - 1), "Int": (-(2**31), 2**31 - 1), "BigInt": (-(2**63), 2**63 - 1)}
+# What the whole-number kinds hold; a tiny integer differs by engine.
+_WHOLE = {"TinyInt": (-(2**7), 2**8 - 1), "SmallInt": (-(2**15), 2**15 - 1), "Int": (-(2**31), 2**31 - 1), "BigInt": (-(2**63), 2**63 - 1)}
+_TINY = {"SqlServer": (0, 2**8 - 1), "MySql": (-(2**7), 2**7 - 1)}
+_SIZED_TEXT = ("Char", "Varchar", "NChar", "NVarchar")
 
 
-def _cast(c: Column, dtype: T.DataType, kind: str, p: int | None, s: int | None) -> Column:
+def whole_limits(kind: str, engine: str | None = None) -> tuple[int, int] | None:
+    """What a whole-number kind holds in an engine; without one a tiny integer holds what any engine's does."""
+    return _TINY.get(engine, _WHOLE[kind]) if kind == "TinyInt" else _WHOLE.get(kind)
+
+
+def _cast(c: Column, dtype: T.DataType, kind: str, p: int | None, s: int | None, engine: str | None = None) -> Column:
     wanted = spark_type(kind, p, s)
     if isinstance(wanted, T.BinaryType) and not isinstance(dtype, (T.BinaryType, T.StringType)):
         c, dtype = cell_text(c, dtype), T.StringType()  # the bytes of what the cell shows
-    out = c.try_cast(wanted)
+    if isinstance(wanted, T.StringType) and isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
+        c, dtype = cell_text(c, dtype), T.StringType()
+    out = held(c, dtype, wanted)
+    limits = whole_limits(kind, engine)
     if isinstance(dtype, T.NumericType):
         # a failing try_cast raises and catches an error per row, so plain misfits are sorted out before
         if isinstance(wanted, T.DecimalType):
             out = F.when(F.abs(c) <= F.lit(float(10 ** (wanted.precision - wanted.scale))), out)
-        elif kind in _WHOLE and kind != "BigInt":
-            low, high = _WHOLE[kind]
-            out = F.when((c > low - 1) & (c < high + 1), out)
-    return F.left(out, F.lit(p)) if kind in ("Char", "Varchar", "NChar", "NVarchar") and p else out
+        elif limits and kind != "BigInt":
+            out = F.when((c > limits[0] - 1) & (c < limits[1] + 1), out)
+    elif kind == "TinyInt":  # carried by a wider type
+        out = F.when((out >= limits[0]) & (out <= limits[1]), out)
+    return F.left(out, F.lit(p)) if kind in _SIZED_TEXT and p else out
 
 
-def _losses(c: Column, dtype: T.DataType, kind: str, p: int | None, s: int | None) -> dict[str, Column]:
+def _losses(c: Column, dtype: T.DataType, kind: str, p: int | None, s: int | None, engine: str | None = None) -> dict[str, Column]:
     """Conditions under which a cell loses something when cast."""
-    present, cast = c.isNotNull(), _cast(c, dtype, kind, p, s)
+    present, cast = c.isNotNull(), _cast(c, dtype, kind, p, s, engine)
     losses = {"overflow": present & cast.isNull()}
-    if isinstance(dtype, (T.DoubleType, T.FloatType, T.DecimalType)) and kind in ("TinyInt", "SmallInt", "Int", "BigInt", "Decimal"):
-        losses["decimals_lost"] = present & cast.isNotNull() & (cast.cast("double") != c.cast("double"))
-    if kind in ("Char", "Varchar", "NChar", "NVarchar") and p:
-        losses["truncated"] = F.length(c.cast("string")) > p
+    if isinstance(dtype, (T.DoubleType, T.FloatType, T.DecimalType)) and kind in (*_WHOLE, "Decimal"):
+        # decimals are compared as decimals, as a double tells only 15 digits apart
+        back = held(cast, spark_type(kind, p, s), dtype) if isinstance(dtype, T.DecimalType) else cast.cast("double")
+        losses["decimals_lost"] = present & cast.isNotNull() & ~back.eqNullSafe(c if isinstance(dtype, T.DecimalType) else c.cast("double"))
+    if kind in _SIZED_TEXT and p:
+        losses["truncated"] = F.length(cell_text(c, dtype)) > p
     if kind in ("Char", "Varchar", "Text") and isinstance(dtype, T.StringType):
         losses["non_ascii"] = c.rlike(r"[^\x00-\x7F]")
     return losses
 
 
-def cast_loss_audit(df: DataFrame, mapping: Sequence[tuple[str, str, int | None, int | None]], by: Sequence[str] = ()) -> DataFrame:
+def cast_loss_audit(df: DataFrame, mapping: Sequence[tuple[str, str, int | None, int | None]], by: Sequence[str] = (), engine: str | None = None) -> DataFrame:
     """Rows per column that would lose something: one pass over the data.
 
     ``mapping`` holds ``(column, canonical kind, p, s)``.  Output: ``column_name,
@@ -292,21 +306,53 @@ def cast_loss_audit(df: DataFrame, mapping: Sequence[tuple[str, str, int | None,
     kinds = ("overflow", "decimals_lost", "truncated", "non_ascii")
     aggs, rows = [], []
     for i, (name, kind, p, s) in enumerate(mapping):
-        found = _losses(q(name), df.schema[name].dataType, kind, p, s)
+        found = _losses(q(name), df.schema[name].dataType, kind, p, s, engine)
         for k in kinds:
             aggs.append(F.count_if(found[k]).alias(f"{i}_{k}") if k in found else F.lit(0).cast("long").alias(f"{i}_{k}"))
         rows.append(F.struct(F.lit(name).alias("column_name"), *[q(f"{i}_{k}").alias(k) for k in kinds]))
     return df.groupBy(*[q(c) for c in by]).agg(*aggs).select(*[q(c) for c in by], F.inline(F.array(*rows)))
 
 
-def cast_to(df: DataFrame, mapping: Sequence[tuple[str, str, int | None, int | None]]) -> tuple[DataFrame, DataFrame]:
-    """The table in target types, and the rows with a cell that does not fit (as they came)."""
+def cast_rows(df: DataFrame, mapping: Sequence[tuple[str, str, int | None, int | None]], engine: str | None = None) -> DataFrame:
+    """``source`` (the row as it came), ``row`` (in target types) and ``reasons``: a note for every cell that does not fit."""
     wanted = {name: (kind, p, s) for name, kind, p, s in mapping}
-    cells, bad = [], F.lit(False)
+    cells, notes = [], []
     for f in df.schema:
         if f.name not in wanted:
             cells.append(q(f.name))
             continue
-        cells.append(_cast(q(f.name), f.dataType, *wanted[f.name]).alias(f.name))
-        bad = bad | _losses(q(f.name), f.dataType, *wanted[f.name])["overflow"]
-    return df.filter(~bad).select(*cells), df.filter(bad)
+        kind, p, s = wanted[f.name]
+        cells.append(_cast(q(f.name), f.dataType, kind, p, s, engine).alias(f.name))
+        size = f"({p},{s})" if s is not None else f"({p})" if p is not None else ""
+        notes.append(F.when(_losses(q(f.name), f.dataType, kind, p, s, engine)["overflow"], F.lit(f"{f.name}: no {kind}{size}")))
+    reasons = F.array_compact(F.array(*notes)) if notes else F.array().cast("array<string>")
+    return df.select(F.struct(*[q(c) for c in df.columns]).alias("source"), F.struct(*cells).alias("row"), reasons.alias("reasons"))
+
+
+def cast_to(df: DataFrame, mapping: Sequence[tuple[str, str, int | None, int | None]], engine: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The table in target types, and the rows with a cell that does not fit (as they came)."""
+    rows = cast_rows(df, mapping, engine)
+    return rows.filter(F.size("reasons") == 0).select("row.*"), rows.filter(F.size("reasons") > 0).select("source.*")
+
+
+def cast_plan(spark: SparkSession, native: Mapping[str, str], source_engine: str, target_engine: str, overrides: DataFrame | None = None) -> list[tuple[str, str, int | None, int | None]]:
+    """The mapping that casts a table of native column types to the types these become in another engine.
+
+    Native to canonical, to the target's native type, and what that reads back as: the limits are
+    those of the type that the target really has. A row a column; arrays are carried as text.
+    """
+    if not native:
+        return []
+    columns = spark.createDataFrame([(i, t, source_engine, target_engine) for i, t in enumerate(native.values())], "i int, data_type string, source_engine string, target_engine string")
+    mapped = map_types(columns, "source_engine", "target_engine", "data_type", overrides).drop("canonical")
+    back = {r.i: r.canonical for r in canonicalise(mapped, "target_engine", "target_type").select("i", "canonical").collect()}
+    large = 2**31 - 1  # what ``max`` and the like read as
+    return [
+        (name, "Text", None, None) if back[i].depth else (name, back[i].kind, back[i].p if (back[i].p or 0) < large else None, back[i].s)
+        for i, name in enumerate(native)
+    ]
+
+
+def cast_by_type_map(df: DataFrame, native: Mapping[str, str], source_engine: str, target_engine: str, overrides: DataFrame | None = None) -> DataFrame:
+    """``cast_rows`` of the columns in ``native`` to what the target engine makes of their types."""
+    return cast_rows(df, cast_plan(df.sparkSession, native, source_engine, target_engine, overrides), target_engine)

@@ -5,34 +5,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import replace
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parityflow.config import CompareConfig, MigrationConfig
+from parityflow.functions.casts import held
 from parityflow.functions.keys import join_key_columns, q
 from parityflow.operators.compare import MATCHED, diff
 from parityflow.plans.plan import DELETE, INSERT, KEEP, REVIEW, UPDATE, decide, plan, plan_keys
 from parityflow.session import materialised
 
 
-def _castable(a: T.DataType, b: T.DataType) -> bool:
-    """Does Spark know a cast of these types?"""
-    try:
-        SparkSession.active().range(0).select(F.lit(None).cast(a).try_cast(b)).schema
-    except AnalysisException:
-        return False
-    return True
-
-
-def _held(cell: Column, a: T.DataType, b: T.DataType) -> Column:
-    """A cell in the target's type, NULL where that cannot hold it."""
-    if a == b:
-        return cell
-    return cell.try_cast(b) if _castable(a, b) else F.lit(None).cast(b)
-
-
 def misfits(row: Column, have: T.StructType, want: T.StructType) -> Column:
     """``array<string>``: the columns of ``row`` whose value the target column cannot hold."""
     known = {f.name: f.dataType for f in have}
@@ -40,7 +24,7 @@ def misfits(row: Column, have: T.StructType, want: T.StructType) -> Column:
     for f in want:
         if f.name in known and known[f.name] != f.dataType:
             cell = row.getField(f.name)
-            lost = cell.isNotNull() & _held(cell, known[f.name], f.dataType).isNull()
+            lost = cell.isNotNull() & held(cell, known[f.name], f.dataType).isNull()
             notes.append(F.when(lost, F.lit(f"Column '{f.name}' cannot hold the value as {f.dataType.simpleString()}")))
     return F.array_compact(F.array(*notes)) if notes else F.array().cast("array<string>")
 
@@ -68,7 +52,7 @@ def apply_plan(target: DataFrame, p: DataFrame, keys: Sequence[str] | None = Non
 
     def cell(name: str):
         dtype = target.schema[name].dataType
-        return (_held(F.col("__row").getField(name), types[name], dtype) if name in known else F.lit(None).cast(dtype)).alias(name)
+        return (held(F.col("__row").getField(name), types[name], dtype) if name in known else F.lit(None).cast(dtype)).alias(name)
 
     inserts = p.filter(F.col("action") == INSERT).withColumnRenamed("row", "__row").select(*[cell(c) for c in columns])
     changes = p.filter(F.col("action").isin(UPDATE, DELETE)).select(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from parityflow.operators import schema_diff as S
 from parityflow.operators.type_mapping import (
-    canonical_text, canonicalise, cast_loss_audit, cast_to, map_types, parse_native_type,
+    canonical_text, canonicalise, cast_by_type_map as by_type_map, cast_loss_audit, cast_to, map_types, parse_native_type,
 )
 from parityflow.suite import pairs as P
 
@@ -341,3 +341,26 @@ def cast_typed_table(spark, sf_dir):
     return good.select(*keys, F.lit(True).alias("fits"), F.col("l_extendedprice").cast("string").alias("price")).unionByName(
         bad.select(*keys, F.lit(False).alias("fits"), number_text(F.col("l_extendedprice"), bad.schema["l_extendedprice"].dataType).alias("price"))
     )
+
+
+_LINE_TYPES = {"l_orderkey": "number(10)", "l_linenumber": "number(3)", "l_quantity": "number(4)", "l_partkey": "number(3)", "l_extendedprice": "number(7,2)", "l_shipdate": "date", "l_returnflag": "varchar2(1)"}
+
+
+@registered("""SELECT l_orderkey, l_linenumber, l_partkey,
+ concat_ws('; ', CASE WHEN l_partkey > 32767 THEN 'l_partkey: no SmallInt' END, CASE WHEN round(l_extendedprice, 2) >= 100000 THEN 'l_extendedprice: no Decimal(7,2)' END) AS reasons,
+ CASE WHEN round(l_extendedprice, 2) < 100000 THEN l_extendedprice::DECIMAL(7,2)::VARCHAR END AS price FROM lineitem""")
+def cast_by_type_map(spark, sf_dir):
+    """Lines of an Oracle table as a PostgreSQL table would hold them."""
+    li = P.load(spark, sf_dir, "lineitem").select(*_LINE_TYPES)
+    out = by_type_map(li, _LINE_TYPES, "Oracle", "PostgreSql")
+    keys = [F.col(f"source.{c}").alias(c) for c in ("l_orderkey", "l_linenumber", "l_partkey")]
+    return out.select(*keys, F.array_join("reasons", "; ").alias("reasons"), F.col("row.l_extendedprice").cast("string").alias("price"))
+
+
+@registered("""SELECT 'SqlServer' AS engine, count(*) FILTER (WHERE p_partkey - 1 < 0 OR p_partkey - 1 > 255) AS overflow FROM part
+ UNION ALL SELECT 'MySql', count(*) FILTER (WHERE p_partkey - 1 > 127) FROM part""")
+def cast_loss_small(spark, sf_dir):
+    """Part numbers (from -1 on) that a tiny integer cannot hold, by engine."""
+    part = P.load(spark, sf_dir, "part").select((F.col("p_partkey") - 1).alias("n"))
+    each = [cast_loss_audit(part, [("n", "TinyInt", None, None)], engine=e).select(F.lit(e).alias("engine"), "overflow") for e in ("SqlServer", "MySql")]
+    return each[0].unionByName(each[1])

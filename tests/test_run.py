@@ -84,3 +84,26 @@ def test_column_names_may_hold_percent_signs(spark):
     df = spark.createDataFrame([("abcdef",)], "`disc%` string")
     row = validate(df, [ColumnRule("disc%", max_length=3)]).first()
     assert (row["disc%"], row.warnings) == ("abc", ["Truncated 'disc%': 6 -> 3 chars"])
+
+
+def test_every_pair_of_types_gives_a_value_or_a_reject(spark):
+    from parityflow.operators import type_mapping as M
+
+    row = spark.sql(
+        "SELECT 300 AS i, -1L AS l, 2.75D AS d, 12.50BD AS n, 'x' AS s, '7' AS t, TRUE AS b, X'41' AS x, DATE'2024-01-02' AS dt, "
+        "TIMESTAMP'2024-01-02 03:04:05' AS ts, array(1, 2) AS a, map('k', 1) AS m, CAST(NULL AS INT) AS none"
+    )
+    kinds = [("Boolean", None, None), ("TinyInt", None, None), ("SmallInt", None, None), ("Int", None, None), ("BigInt", None, None), ("Float", None, None), ("Double", None, None),
+             ("Decimal", 5, 2), ("Char", 3, None), ("Varchar", 2, None), ("Text", None, None), ("Binary", 2, None), ("Blob", None, None), ("Date", None, None), ("DateTime", None, None), ("Timestamp", None, None), ("Json", None, None)]
+    for kind, p, s in kinds:
+        got = M.cast_rows(row, [(c, kind, p, s) for c in row.columns], "MySql").first()
+        rejected = {r.split(":")[0] for r in got.reasons}
+        for c in row.columns:
+            assert (got.row[c] is None) == (c == "none" or c in rejected), (kind, c)
+    audit = {e: M.cast_loss_audit(row, [("i", "TinyInt", None, None), ("l", "TinyInt", None, None)], engine=e).collect() for e in ("SqlServer", "MySql")}
+    assert {e: [r.overflow for r in rows] for e, rows in audit.items()} == {"SqlServer": [1, 1], "MySql": [1, 0]}
+    wide = spark.sql("SELECT CAST('12345678901234567.25' AS DECIMAL(25,2)) AS n")
+    assert M.cast_loss_audit(wide, [("n", "BigInt", None, None)]).first().decimals_lost == 1
+    assert M.cast_plan(spark, {}, "MySql", "Oracle") == []
+    plan = dict((c, k) for c, *k in M.cast_plan(spark, {"a": "tinyint(1)", "b": "decimal(12,3)", "c": "text", "d": "varchar(7)"}, "MySql", "SqlServer"))
+    assert plan["a"][0] == "Boolean" and plan["b"] == ["Decimal", 12, 3] and plan["d"][1] == 7
