@@ -23,13 +23,18 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id. Without words or id, rows stay."""
+    """One document of each group of near copies: the one with the smallest id. Without words or id, rows stay.
+
+    Rows that repeat both id and text are one document; a row that shares its id with another text stays.
+    """
     groups = jaccard.jaccard_components(docs.select("doc_id", "text"))
-    gone = groups.filter(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
-    rest = docs.join(gone, "doc_id", "left_anti")
-    # rows that repeat an id are one document; the rank limit applies in every task before rows move
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return rest.withColumn("__turn", F.when(F.col("doc_id").isNotNull(), turn).otherwise(1)).filter("__turn = 1").select(docs.columns)
+    gone = groups.filter(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("__gone")).distinct()
+    has_words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    # the rank limit applies in every task before rows move
+    same = [F.col("doc_id"), F.sha2(F.col("text").cast("binary"), 256)]
+    turn = F.row_number().over(Window.partitionBy(*same).orderBy(F.xxhash64(*docs.columns)))
+    ranked = docs.withColumn("__turn", F.when(F.col("doc_id").isNotNull() & has_words, turn).otherwise(1)).filter("__turn = 1")
+    return ranked.join(gone, has_words & (F.col("doc_id") == F.col("__gone")), "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -268,3 +268,14 @@ def test_foreign_files_and_partitions(spark, tmp_path):
 
 def test_empty_tables_make_empty_archives(spark, tmp_path):
     assert warc.archive_pages(pages(spark).limit(0), f"{tmp_path}/none").collect() == []
+
+
+def test_texts_that_share_an_id_stay(spark):
+    import corpus_pipeline
+
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, text), (2, text + " more"), (3, "a quite different text of some words"), (3, "and another one that shares its id"), (3, None), (3, ""), (3, "and another one that shares its id"), (None, text), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    want = [rows[0], *rows[2:6], *rows[7:]]
+    assert sorted(kept, key=repr) == sorted(want, key=repr)
