@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding through a minimal acyclic word transducer.
 
-The frequent pre-tokens of the corpus are counted, and the most frequent (a bounded
-number) are compiled into a minimal acyclic automaton: words that end alike share their
+The pre-tokens of all texts are counted, each task in bounded memory, and the most frequent
+(a bounded number) are compiled into a minimal acyclic automaton: words that end alike share their
 suffix states, and every arc carries how many words precede it, so the path of a word
 adds up to its number, under which its token ids are stored. Tasks memory-map that
 lexicon. A word outside it is merged by the vocabulary's ranks, so ids never depend on
@@ -21,6 +21,7 @@ import mmap
 import os
 import re
 import tempfile
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
@@ -40,7 +41,7 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 LEXICON_WORDS = 200_000  #: frequent words that are compiled; bounds what is broadcast
 LEXICON_WORD_BYTES = 64  #: longer words are merged when they come
 CACHE_WORDS = 300_000  #: pieces, and words, a task remembers before it starts afresh
-COUNT_WORDS = 200_000  #: distinct words a task counts before it hands its counts on
+KEEP_WORDS = 100_000  #: a word with more than this part of a task's words is sure to be counted
 
 
 def byte_letters() -> list[str]:
@@ -172,49 +173,46 @@ class Lexicon:
     def build(entries: dict[bytes, list[int]]) -> bytes:
         """Compile ``{word: ids}``, adding sorted words one by one and sharing finished suffixes."""
         words = sorted(entries)
-        root: list = [False, []]  # final, arcs as [label, state]
-        shared: dict = {}
-        numbers: dict[int, int] = {}
-        done: list[list] = []
-
-        def settle(state):
-            key = (state[0], tuple((label, numbers[id(s)]) for label, s in state[1]))
-            if key not in shared:
-                shared[key] = state
-                numbers[id(state)] = len(done)
-                done.append(state)
-            return shared[key]
-
-        path, last = [root], b""
+        # a finished state is its final mark, arc labels and arc targets as one byte string; its number is its place
+        states: dict[bytes, int] = {}
+
+        def finished(final: int, labels: bytearray, targets: array) -> int:
+            return states.setdefault(bytes((final,)) + bytes(labels) + targets.tobytes(), len(states))
+
+        path, last = [[0, bytearray(), array("I")]], b""
         for word in words:
             same = len(os.path.commonprefix([word, last]))
             while len(path) > same + 1:
-                finished = path.pop()
-                path[-1][1][-1][1] = settle(finished)
+                number = finished(*path.pop())
+                path[-1][2].append(number)
             for b in word[same:]:
-                path[-1][1].append([b, state := [False, []]])
-                path.append(state)
-            path[-1][0] = True
+                path[-1][1].append(b)
+                path.append([0, bytearray(), array("I")])
+            path[-1][0] = 1
             last = word
         while len(path) > 1:
-            finished = path.pop()
-            path[-1][1][-1][1] = settle(finished)
-        settle(root)
-        holds = [0] * len(done)  # words from each state on; targets come before their sources
-        first, target, before, label = [0], [], [], bytearray()
-        for n, (final, arcs) in enumerate(done):
-            total = int(final)
-            for b, state in arcs:
-                target.append(numbers[id(state)])
+            number = finished(*path.pop())
+            path[-1][2].append(number)
+        finished(*path.pop())
+        holds = array("I")  # words from each state on; targets come before their sources
+        first, target, before, label, final = array("I", [0]), array("I"), array("I"), bytearray(), bytearray()
+        for key in states:
+            arcs = (len(key) - 1) // 5
+            final.append(key[0])
+            label += key[1 : 1 + arcs]
+            total = key[0]
+            for t in memoryview(key[1 + arcs :]).cast("I"):
+                target.append(t)
                 before.append(total)
-                label.append(b)
-                total += holds[target[-1]]
-            holds[n] = total
+                total += holds[t]
+            holds.append(total)
             first.append(len(target))
-        id_from = [0, *accumulate(len(entries[w]) for w in words)]
-        numbers32 = [first, target, before, id_from, [i for w in words for i in entries[w]]]
-        header = [len(done), len(target), len(words), len(numbers32[-1]), 0]
-        return b"".join(np.array(x, "<u4").tobytes() for x in (header, *numbers32)) + bytes(s[0] for s in done) + bytes(label)
+        header = [len(states), len(target), len(words), 0, 0]
+        states.clear()
+        id_from = array("I", accumulate((len(entries[w]) for w in words), initial=0))
+        ids = array("I", (i for w in words for i in entries[w]))
+        header[3] = len(ids)
+        return b"".join(np.array(x, "<u4").tobytes() for x in (header, first, target, before, id_from, ids)) + bytes(final) + bytes(label)
 
     def find(self, word: bytes) -> int:
         first, target, before, raw = self.first, self.target, self.before, self.raw
@@ -271,6 +269,18 @@ class Codec:
             self.of_piece[piece] = ids
         return ids
 
+    def words(self, text: str) -> list[str]:
+        """Pre-tokens and added tokens of ``text``, in order."""
+        find = self.vocabulary.split_added
+        if find is None or not find.search(text):
+            return split_words(text)
+        words, at = [], 0
+        for m in find.finditer(text):
+            words += split_words(text[at : m.start()])
+            words.append(m.group())
+            at = m.end()
+        return words + split_words(text[at:])
+
     def plain(self, text: str) -> list[bytes]:
         known = self.of_piece.get
         first, *rest = at_spaces(text)
@@ -311,29 +321,41 @@ def read_vocabulary(path: str) -> bytes:
         return f.read()
 
 
-def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``word, n`` over all texts; every task adds up its own words first."""
+def keep_frequent(counts: Counter, keep: int) -> Counter:
+    """Take the same number off all counts so that at most ``keep`` words are left (Misra and Gries).
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, words = Counter(), Counter()
+    It takes off more than ``keep`` times that number in all, so over any number of calls no
+    count gets too low by more than the sum of all counts divided by ``keep``.
+    """
+    if len(counts) <= keep:
+        return counts
+    cut = int(np.partition(np.fromiter(counts.values(), np.int64, len(counts)), len(counts) - keep - 1)[len(counts) - keep - 1])
+    return Counter({w: n - cut for w, n in counts.items() if n > cut})
 
-        def rows():
-            for piece, n in seen.items():
-                for w in split_words(" " + piece):
-                    words[w] += n
-            out = pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
-            seen.clear()
-            words.clear()
-            return out
 
+def word_counts(docs: DataFrame, text: str = "text", keep: int = KEEP_WORDS) -> DataFrame:
+    """``word, n`` over all words of all texts, for words that are frequent.
+
+    Every task counts its own words in bounded memory: a word that makes up more than one in
+    ``keep`` of them is there, with a count that is too low by at most that part. With no more
+    than twice ``keep`` distinct words in a task all its counts are exact.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, words = Counter(), Counter()
         for batch in batches:
             for t in batch.column(0):
                 first, *rest = at_spaces(t.as_py() or "")
                 words.update(split_words(first))
                 seen.update(rest)
-                if len(seen) + len(words) >= COUNT_WORDS:
-                    yield rows()
-        yield rows()
+                if len(seen) > 2 * keep:
+                    seen = keep_frequent(seen, keep)
+                if len(words) > 2 * keep:
+                    words = keep_frequent(words, keep)
+        for piece, n in seen.items():
+            for w in split_words(" " + piece):
+                words[w] += n
+        yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
 
     return docs.select(F.col(text).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 

@@ -1,5 +1,7 @@
 """Token counts that follow edits, from a tree over the pre-tokens of each document.
 
+Added tokens of the vocabulary are pre-tokens of their own, also where an edit makes or breaks one.
+
 A document's pre-tokens are grouped into leaves of ``LEAF_WORDS``; a leaf knows its characters and
 tokens, and the nodes above hold sums. An edit finds its leaves by these sums, re-encodes from a
 leaf boundary that the edit cannot move to the first old boundary behind it that the new
@@ -15,39 +17,44 @@ unless they bear the name of an output column.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parityflow.llm.bpe import Codec, Lexicon, split_words, worker_codec
+from parityflow.llm.bpe import CACHE_WORDS, LEXICON_WORD_BYTES, Codec, Lexicon, split_words, worker_codec
 
 LEAF_WORDS = 64
 
 
 class TokenTree:
-    """Leaves with their characters and tokens under a tree of sums; ``count`` counts a pre-token's tokens."""
-
-    def __init__(self, text: str, count: Callable[[str], int]):
-        self.text, self.count = text, count
-        self.encoded_chars = 0
-        self._set(self._leaves(split_words(text)))
+    """Leaves with their characters and tokens under a tree of sums.
 
-    def _leaves(self, words: list[str]) -> list[tuple[int, int]]:
-        out = []
-        for i in range(0, len(words), LEAF_WORDS):
-            leaf = words[i : i + LEAF_WORDS]
-            out.append((sum(map(len, leaf)), sum(map(self.count, leaf))))
-        self.encoded_chars += sum(c for c, _ in out)
-        return out
+    ``split`` gives the pre-tokens of a text, ``count[word]`` the tokens of one; no added token is
+    longer than ``reach`` characters.
+    """
 
-    def _set(self, leaves: list[tuple[int, int]]) -> None:
+    def __init__(self, text: str, count: Mapping[str, int], split: Callable[[str], list[str]] = split_words, reach: int = 0):
+        self.text, self.count, self.split, self.reach = text, count, split, reach
+        self.encoded_chars = 0
+        self._set(self._leaves(split(text)))
+
+    def _leaves(self, words: list[str]) -> np.ndarray:
+        """Characters and tokens of every leaf of ``words``."""
+        n = len(words)
+        sums = np.empty((n, 2), np.int64)
+        sums[:, 0] = np.fromiter(map(len, words), np.int64, n)
+        sums[:, 1] = np.fromiter(map(self.count.__getitem__, words), np.int64, n)
+        self.encoded_chars += int(sums[:, 0].sum())
+        return np.add.reduceat(sums, np.arange(0, n, LEAF_WORDS)) if n else sums
+
+    def _set(self, leaves: np.ndarray) -> None:
         self.n = len(leaves)
         self.size = 1 << max(0, self.n - 1).bit_length()
         self.sums = np.zeros((2 * self.size, 2), np.int64)
-        if leaves:
+        if self.n:
             self.sums[self.size : self.size + self.n] = leaves
         at = self.size
         while at > 1:
@@ -75,10 +82,10 @@ class TokenTree:
         end = min(max(end, start), len(old))
         self.text = old[:start] + new + old[end:]
         if not self.n:
-            return self._set(self._leaves(split_words(self.text)))
-        # a boundary holds if it is looked at from before: no white space run and no "'re" may reach from it to the edit
-        first, low = self.leaf_at(max(0, start - 1))
-        while first and not old[low : max(low, start - 2)].strip():
+            return self._set(self._leaves(self.split(self.text)))
+        # a boundary holds if it is looked at from before: no white space run, no "'re" and no added token may reach from it to the edit
+        first, low = self.leaf_at(max(0, start - 1 - self.reach))
+        while first and not old[low : max(low, start - 2 - self.reach)].strip():
             first -= 1
             low -= int(self.sums[self.size + first, 0])
         last, at = self.leaf_at(min(end, len(old) - 1))
@@ -87,13 +94,13 @@ class TokenTree:
         while True:
             at += int(self.sums[self.size + leaf, 0])
             leaf += 1
-            words = split_words(self.text[low : at + shift + 2 * LEAF_WORDS])
+            words = self.split(self.text[low : at + shift + 2 * LEAF_WORDS + self.reach])
             ends = set(np.cumsum([len(w) for w in words]).tolist())
             # the last words of a cut may differ from those of the text, the boundary must lie before them
             if leaf >= self.n or (at + shift - low in ends and self.text[at + shift : at + shift + 2 * LEAF_WORDS - 8].strip()):
                 break
         if leaf >= self.n:
-            words = split_words(self.text[low:])
+            words = self.split(self.text[low:])
         else:
             upto, kept = at + shift - low, []
             for w in words:
@@ -110,17 +117,38 @@ class TokenTree:
                 nodes = np.unique(nodes // 2)
                 self.sums[nodes] = self.sums[2 * nodes] + self.sums[2 * nodes + 1]
         else:
-            leaves = self.sums[self.size : self.size + self.n].tolist()
-            self._set([tuple(x) for x in leaves[:first]] + made + [tuple(x) for x in leaves[leaf:]])
+            leaves = self.sums[self.size : self.size + self.n]
+            self._set(np.concatenate([leaves[:first], made, leaves[leaf:]]))
+
+
+class TokenCounts(dict):
+    """Tokens of words, found by a codec when first asked for; starts afresh when full."""
+
+    def __init__(self, codec: Codec, most: int = CACHE_WORDS):
+        self.codec, self.most, self.added = codec, most, codec.vocabulary.added
+
+    def __missing__(self, word: str) -> int:
+        n = 1 if word in self.added else len(self.codec.word(word)) // 4
+        if len(word) <= LEXICON_WORD_BYTES:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = n
+        return n
+
+
+_counts: list[TokenCounts] = []
 
 
-def token_count(codec: Codec) -> Callable[[str], int]:
-    known = codec.of_word
+def worker_counts(codec: Codec) -> TokenCounts:
+    """One table of counts per Python worker and codec."""
+    if not _counts or _counts[0].codec is not codec:
+        _counts[:] = [TokenCounts(codec)]
+    return _counts[0]
 
-    def count(word: str) -> int:
-        return len(known.get(word) or codec.word(word)) // 4
 
-    return count
+def document_tree(text: str, counts: TokenCounts) -> TokenTree:
+    codec = counts.codec
+    return TokenTree(text, counts, codec.words, max(map(len, codec.vocabulary.added), default=0))
 
 
 def count_edited(
@@ -134,9 +162,9 @@ def count_edited(
 
     @F.pandas_udf("n_tokens long, n_tokens_after long, chars_encoded long, chars_reencoded long")
     def counted(texts: pd.Series, changes: pd.Series) -> pd.DataFrame:
-        count, rows = token_count(worker_codec(*shared.value)), []
+        counts, rows = worker_counts(worker_codec(*shared.value)), []
         for t, todo in zip(texts, changes):
-            tree = TokenTree(t or "", count)
+            tree = document_tree(t or "", counts)
             before, encoded = tree.tokens, tree.encoded_chars
             for e in sorted(todo if todo is not None else [], key=lambda e: e["seq"]):
                 n = len(tree.text)

@@ -1,6 +1,7 @@
 """BPE and edit-aware counts against the tokenizers library."""
 
 import random
+from collections import Counter
 
 import pytest
 
@@ -79,22 +80,35 @@ def test_word_counts_cover_all_texts(spark):
     assert {r.word: r.n for r in bpe.word_counts(docs).collect()} == want
 
 
-def test_edits_count_like_encoding_again(library, vocabulary):
-    codec, r = bpe.Codec(vocabulary, bpe.Lexicon.build({})), random.Random(3)
-    count = edits.token_count(codec)
-    plain = lambda t: sum(map(count, bpe.split_words(t)))
-    for text in texts(60, 8) + ["word and more. " * 400, " " * 500 + "x", "a" * 900, ""]:
-        tree = edits.TokenTree(text, count)
+def test_sketched_counts_keep_frequent_words():
+    r = random.Random(6)
+    words = [f"w{int(r.paretovariate(0.7))}" for _ in range(40_000)]
+    exact, kept = Counter(words), Counter()
+    for at in range(0, len(words), 500):
+        kept.update(words[at : at + 500])
+        kept = bpe.keep_frequent(kept, 200)
+    off = len(words) // 200
+    assert len(kept) <= 200
+    assert all(n - off <= kept[w] <= n for w, n in exact.items() if n > off or w in kept)
+
+
+def test_edits_count_like_the_library(library, vocabulary):
+    counts, r = edits.TokenCounts(bpe.Codec(vocabulary, bpe.Lexicon.build({})), most=50), random.Random(3)
+    whole = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    bits = ODD + [" "] * 4 + ["<|endof", "text|>", "<|", "|>"]
+    for text in texts(60, 8) + ["one <|endoftext|> two", "word and more. " * 400, "it <|endoftext|> is " * 90, " " * 500 + "x", "a" * 900, ""]:
+        tree = edits.document_tree(text, counts)
+        assert tree.tokens == whole(text)
         for _ in range(25):
-            a = r.randint(0, len(tree.text))
-            tree.edit(a, a + r.choice([0, 1, 3, 40]), "".join(r.choice(ODD + [" "] * 4) for _ in range(r.choice([0, 1, 2, 30]))))
-            assert tree.tokens == plain(tree.text)
+            a = r.choice([r.randint(0, len(tree.text)), max(0, tree.text.find("|endof"))])
+            tree.edit(a, a + r.choice([0, 1, 3, 40]), "".join(r.choice(bits) for _ in range(r.choice([0, 1, 2, 30]))))
+            assert tree.tokens == whole(tree.text)
             assert tree.sums[tree.size : tree.size + tree.n, 0].sum() == len(tree.text)
 
 
 def test_an_edit_encodes_its_surroundings_only(vocabulary):
     codec = bpe.Codec(vocabulary, bpe.Lexicon.build({}))
-    tree = edits.TokenTree("some words of a long text. " * 5_000, edits.token_count(codec))
+    tree = edits.document_tree("some words of a long text. " * 5_000, edits.TokenCounts(codec))
     whole = tree.encoded_chars
     tree.edit(60_000, 60_010, "another thing")
     assert tree.encoded_chars - whole < 3_000
