@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import replace
 from functools import reduce
 
@@ -14,18 +14,19 @@ from parityflow.functions.equality import cell_text, values_equal
 from parityflow.functions.hashing import row_fingerprint
 from parityflow.functions.keys import join_key_columns, q, resolve_keys
 from parityflow.operators.align import align
-from parityflow.operators.dedupe import TIE, keep_last, tie_break
+from parityflow.operators.dedupe import TIE, keep_last, keep_last_counted, tie_break
 from parityflow.session import materialised
 
 INSERTED, UPDATED, DELETED, MATCHED = "inserted", "updated", "deleted", "matched"
 
 
 def _prepared(
-    df: DataFrame, keys: Sequence[str], cfg: CompareConfig, payload: Sequence[Column] | None = None
+    df: DataFrame, keys: Sequence[str], cfg: CompareConfig, payload: Sequence[Column] | None = None, n_lost: str | None = None
 ) -> tuple[DataFrame, list[str]]:
     """Helper key columns added and one row left per key.
 
-    ``payload`` replaces the columns that travel through the shuffle.
+    ``payload`` replaces the columns that travel through the shuffle; ``n_lost`` names a column
+    for the number of rows that each row's key has lost.
     """
     order = list(cfg.order_by)
     if unknown := [c for c in order if c not in df.columns]:
@@ -34,11 +35,13 @@ def _prepared(
     carried = list(payload) if payload is not None else [q(c) for c in df.columns]
     helpers = [q(n) for n in names]
     if cfg.keys_unique:
-        return out.select(*carried, *helpers), names
+        return out.select(*carried, *helpers, *([F.lit(0).cast("long").alias(n_lost)] if n_lost else [])), names
     # order columns travel anyway with whole rows; next to a payload they are added
     extra = [f"__o{i}" for i in range(len(order))] if payload is not None else []
     ranks = [q(c).alias(n) for c, n in zip(order, extra)]
     out = out.select(*carried, *helpers, *ranks, tie_break(df, keys).alias(TIE))
+    if n_lost:
+        return keep_last_counted(out, names, [*(extra or order), TIE], n_lost).drop(*extra, TIE), names
     return keep_last(out, names, [*(extra or order), TIE]).drop(*extra, TIE), names
 
 
@@ -56,8 +59,8 @@ def _join_sides(s: DataFrame, t: DataFrame, names: Sequence[str]) -> DataFrame:
     return _sided(s, "s", names).join(_sided(t, "t", names), condition, "full_outer")
 
 
-def _classified(joined: DataFrame, shape: DataFrame, keys: Sequence[str], cfg: CompareConfig) -> DataFrame:
-    """Status, both rows and the changed columns from joined sides."""
+def _classified(joined: DataFrame, shape: DataFrame, keys: Sequence[str], cfg: CompareConfig, more: Mapping[str, Column] | None = None) -> DataFrame:
+    """Status, both rows and the changed columns from joined sides, and the columns ``more``."""
     in_s, in_t = q("s__present").isNotNull(), q("t__present").isNotNull()
     skip = set(keys) | set(cfg.ignore_columns)
     compared = [c for c in sorted(shape.columns) if c not in skip]
@@ -83,6 +86,7 @@ def _classified(joined: DataFrame, shape: DataFrame, keys: Sequence[str], cfg: C
         F.when(in_s, F.struct(*[q(f"s.{c}").alias(c) for c in row])).alias("source"),
         F.when(in_t, F.struct(*[q(f"t.{c}").alias(c) for c in row])).alias("target"),
         changed.alias("changed_columns"),
+        *[c.alias(name) for name, c in (more or {}).items()],
     )
 
 
@@ -101,6 +105,26 @@ def diff(source: DataFrame, target: DataFrame, cfg: CompareConfig = CompareConfi
     return _classified(_join_sides(s_one, t_one, names), s, keys, cfg)
 
 
+def diff_counted(source: DataFrame, target: DataFrame, cfg: CompareConfig = CompareConfig()) -> DataFrame:
+    """``diff`` with ``source_lost`` and ``target_lost``: rows of the key that a later row of that side replaced.
+
+    Winners and counts come from one aggregate per side, so each side is still shuffled once. The
+    counts of a key that one side lacks are 0 there.
+    """
+    s, t = align(source, target)
+    keys = resolve_keys(s.columns, cfg.keys)
+    (s_one, names), (t_one, _) = _prepared(s, keys, cfg, n_lost="__lost"), _prepared(t, keys, cfg, n_lost="__lost")
+    lost = {f"{side}_lost": F.coalesce(q(f"{side[0]}.__lost"), F.lit(0)) for side in ("source", "target")}
+    return _classified(_join_sides(s_one, t_one, names), s, keys, cfg, lost)
+
+
+def diff_summary_errors(source: DataFrame, target: DataFrame, cfg: CompareConfig = CompareConfig()) -> DataFrame:
+    """One row: keys of every status, and as ``errors`` the rows of both sides that lost their key."""
+    d = diff_counted(source, target, cfg)
+    counts = [F.count_if(F.col("status") == status).alias(status) for status in (MATCHED, INSERTED, UPDATED, DELETED)]
+    return d.agg(*counts, F.coalesce(F.sum(F.col("source_lost") + F.col("target_lost")), F.lit(0)).alias("errors"))
+
+
 def hash_status(source: DataFrame, target: DataFrame, cfg: CompareConfig) -> DataFrame:
     """``status`` per key from row hashes only; ``updated`` may still be a false alarm
     when a numeric tolerance is set."""

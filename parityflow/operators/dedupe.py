@@ -37,6 +37,18 @@ def dedupe_last(df: DataFrame, keys: Sequence[str], order_by: Sequence[str] = ()
     return keep_last(ranked, keys, [*order_by, TIE]).drop(TIE)
 
 
+def keep_last_counted(df: DataFrame, key_names: Sequence[str], order_by: Sequence[str], n_lost: str) -> DataFrame:
+    """``keep_last`` and how many rows of its key each row won against, as column ``n_lost``.
+
+    One aggregate: every map task keeps the best row of a key and a count, so one exchange
+    carries a row per key and task, also where one key owns most of the table.
+    """
+    cells = [c for c in df.columns if c not in set(key_names)]
+    best = F.max_by(F.struct(*[q(c) for c in cells]), F.struct(*[q(c) for c in order_by])).alias("__best")
+    out = df.groupBy(*[q(k) for k in key_names]).agg(best, (F.count(F.lit(1)) - 1).alias(n_lost))
+    return out.select(*[F.col("__best").getField(c).alias(c) for c in cells], *[q(k) for k in key_names], q(n_lost))
+
+
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that occur more than once and how often (map-side combined)."""
     return df.groupBy(*[q(k) for k in keys]).agg(F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1")

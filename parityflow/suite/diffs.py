@@ -77,6 +77,17 @@ def diff_orders_pk(spark, sf_dir):
     return narrow(_orders(spark, sf_dir), ["o_orderkey"])
 
 
+def diff_summary_errors(spark, sf_dir):
+    """Lineitem, whose keys repeat: counts of keys, and of the rows that lost theirs."""
+    return C.diff_summary_errors(*P.lineitem_pair(spark, sf_dir), LINES)
+
+
+def diff_lost_rows(spark, sf_dir):
+    """Keys of lineitem that several rows of either side claim, with the status of the last one."""
+    d = C.diff_counted(*P.lineitem_pair(spark, sf_dir), LINES)
+    return d.filter("source_lost + target_lost > 0").select(*P.LINE_KEYS, "status", F.concat_ws(",", "changed_columns").alias("changed"), "source_lost", "target_lost")
+
+
 def diff_default_keys(spark, sf_dir):
     """No keys given and no ``id``: every column together is the key."""
     s, t = P.customer_pair(spark, sf_dir)
@@ -257,7 +268,7 @@ QUERIES = {
         diff_orders_pk, diff_default_keys, diff_id_key, diff_lineitem_composite, diff_hash_lineitem, diff_hash_buckets, expr_match_band,
         diff_hash_tolerance, diff_ignore_columns, diff_case_whitespace, diff_tolerance, diff_text_numbers, diff_null_empty,
         diff_null_keys, diff_schema_aligned, aligned_tables, diff_rows_wide, diff_summary, diff_summary_loose,
-        diff_summary_lineitem, hash_mode_summary, row_hashes, insert_rows, delete_rows, changed_column_frequency,
+        diff_summary_lineitem, diff_summary_errors, diff_lost_rows, hash_mode_summary, row_hashes, insert_rows, delete_rows, changed_column_frequency,
         diff_search, diff_search_page, expr_match, dedupe_last_lineitem, duplicate_key_report, duplicate_error_rows,
     )
 }
@@ -342,6 +353,13 @@ WHERE d.status <> 'matched'""",
 WHERE status = 'updated' AND lower(o_orderpriority) LIKE '%urgent%' ORDER BY o_orderkey LIMIT 100 OFFSET 200""",
     "expr_match": diff_sql(_MATCH_PAIR, ["match_0", "match_1"], ["o_orderkey", *P.ORDER_COLUMNS]) + _ALL,
     "dedupe_last_lineitem": f"WITH {P.LINEITEM_SQL} SELECT * FROM src",
+    "diff_summary_errors": LINES_DIFF + COUNTS.replace(" FROM d", """, (SELECT count(*) FROM lineitem) + (SELECT count(*) FROM raw_tgt)
+ - (SELECT count(*) FROM src) - (SELECT count(*) FROM tgt) AS errors FROM d"""),
+    "diff_lost_rows": LINES_DIFF + """, sl AS (SELECT l_orderkey, l_linenumber, count(*) - 1 AS n FROM lineitem GROUP BY 1, 2),
+ tl AS (SELECT l_orderkey, l_linenumber, count(*) - 1 AS n FROM raw_tgt GROUP BY 1, 2)
+ SELECT d.*, coalesce(sl.n, 0) AS source_lost, coalesce(tl.n, 0) AS target_lost FROM d
+ LEFT JOIN sl ON sl.l_orderkey = d.l_orderkey AND sl.l_linenumber = d.l_linenumber
+ LEFT JOIN tl ON tl.l_orderkey = d.l_orderkey AND tl.l_linenumber = d.l_linenumber WHERE coalesce(sl.n, 0) + coalesce(tl.n, 0) > 0""",
     "duplicate_key_report": """SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem
 GROUP BY 1, 2 HAVING count(*) > 1""",
     "duplicate_error_rows": f"""WITH ranked AS (SELECT *, {P._LAST} AS rn FROM lineitem)

@@ -17,7 +17,8 @@ from parityflow.functions.cron import matches_cron
 from parityflow.session import shared_dir
 from parityflow.sources import audit as AU
 from parityflow.sources import catalog as CAT
-from parityflow.sources.exports import csv_rows, display_rows
+from parityflow.sources.exports import csv_rows, display_rows, export_json
+from parityflow.sources.paging import deep_page
 from parityflow.sources.store import VersionedTable
 from parityflow.sources.tables import page, profile_json_fields, read_query, read_table, row_counts
 from parityflow.streaming.changes import apply_stream, dedupe_stream
@@ -236,7 +237,41 @@ def scan_page(spark, sf_dir):
     return page(P.load(spark, sf_dir, "orders"), ["o_totalprice", "o_orderkey"], offset=300, descending=True)
 
 
-_COUNTED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "conversations")
+_LINE_ORDER = ("l_shipdate", "l_extendedprice", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax")
+
+
+def _deep_sql(order, descending=False):
+    listed = ", ".join(f"{c} DESC" if descending else c for c in order)
+    return f"""SELECT * EXCLUDE (place) FROM (SELECT *, row_number() OVER (ORDER BY {listed}) AS place FROM lineitem)
+ WHERE place > (SELECT count(*) // 2 FROM lineitem) AND place <= (SELECT count(*) // 2 FROM lineitem) + 100"""
+
+
+@registered(_deep_sql(_LINE_ORDER))
+def scan_page_deep(spark, sf_dir):
+    """100 rows from the middle of lineitem by date."""
+    lines = P.load(spark, sf_dir, "lineitem")
+    return deep_page(lines, _LINE_ORDER, offset=lines.count() // 2, most=1_000)
+
+
+@registered(_deep_sql(_LINE_ORDER, True))
+def scan_page_deep_descending(spark, sf_dir):
+    lines = P.load(spark, sf_dir, "lineitem")
+    return deep_page(lines, _LINE_ORDER, offset=lines.count() // 2, descending=True, most=1_000)
+
+
+@registered("""SELECT s_nationkey AS nation, count(*) AS n_rows, count(DISTINCT s_suppkey) AS n_keys FROM supplier GROUP BY 1""")
+def export_json_rows(spark, sf_dir):
+    """Suppliers written as JSON lines and read back."""
+    path = f"{shared_dir(spark)}/json-{uuid.uuid4().hex}"
+    export_json(P.load(spark, sf_dir, "supplier"), path)
+    back = spark.read.schema("s_suppkey long, s_nationkey long").json(path)
+    return back.groupBy(F.col("s_nationkey").cast("int").alias("nation")).agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("s_suppkey").alias("n_keys"))
+
+
+_COUNTED = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+    "documents", "conversations", "embeddings", "pages", "labels", "benchmark",
+)
 
 
 @registered(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in _COUNTED))
