@@ -1,6 +1,8 @@
 """Links and searches against brute force."""
 
+import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -105,19 +107,21 @@ def test_components_of_chains_and_stars(spark):
 def test_top_k_against_all_scores(spark):
     r = np.random.default_rng(1)
     rows = [(i, v.tolist()) for i, v in enumerate(r.normal(size=(400, 6)).round(1))] + [
-        (900, None), (901, [float("nan")] * 6), (902, [None] * 6), (903, [1.0, 2.0]), (904, [0.5] * 6), (904, [0.5] * 6), (905, [0.0] * 6), (906, []), (None, [1.0] * 6), (907, [1e30] * 6)
+        (900, None), (901, [float("nan")] * 6), (902, [None] * 6), (903, [1.0, 2.0]), (904, [0.5] * 6), (904, [0.5] * 6), (905, [0.0] * 6), (906, []), (None, [1.0] * 6), (907, [1e30] * 6),
+        (908, [3e5, -2.0, 0.0, 1.0, 1.0, 1.0]), (909, [-3e5, 7.5, 0.0, 1.0, 1.0, 1.0]), (910, [2e5] * 6), (911, [-1e38, 1.0, 0.0, 0.0, 0.0, 0.5]), (908, [1e7] * 6)
     ]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("x"))
     asked = df.filter("vec_id % 50 = 0 OR vec_id >= 900")
     got = sorted((x.query_id, x.rank, x.vec_id, x.score) for x in topk.top_k(df, asked, k=7).collect())
-    ints = [(i, np.floor(1024 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all() and np.abs(v or [0]).max() < 1e5]
+    sound = [(i, np.array(v, np.float32).astype(float)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
+    ints = [(i, tuple(math.floor(Fraction(x) * 1024) for x in v)) for i, v in sound]
     want, seen = [], set()
     for i, q in ints:
-        if (i % 50 and i < 900) or (i, q.tobytes()) in seen:
+        if (i % 50 and i < 900) or (i, q) in seen:
             continue
-        seen.add((i, q.tobytes()))
-        scores = sorted((-int(q @ v), j) for j, v in ints if j != i and len(v) == len(q))[:7]
-        want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scores)]
+        seen.add((i, q))
+        scores = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in ints if j != i and len(v) == len(q))[:7]
+        want += [(i, n + 1, j, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for n, (s, j) in enumerate(scores)]
     assert got == sorted(want)
     assert topk.top_k(df.limit(0), asked).count() == 0
 
