@@ -2,8 +2,8 @@
 
 Added tokens of the vocabulary are pre-tokens of their own, also where an edit makes or breaks one.
 
-A document's pre-tokens are grouped into leaves of ``LEAF_WORDS``; a leaf knows its characters and
-tokens, and the nodes above hold sums. An edit finds its leaves by these sums, re-encodes from a
+A document's pre-tokens are grouped into leaves of ``LEAF_WORDS``, counting those between two
+spaces as one; a leaf knows its characters and tokens, and the nodes above hold sums. An edit finds its leaves by these sums, re-encodes from a
 leaf boundary that the edit cannot move to the first old boundary behind it that the new
 pre-tokens meet again, puts the new leaves in place and renews the sums above them. Nothing else
 is encoded.
@@ -17,38 +17,35 @@ unless they bear the name of an output column.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parityflow.llm.bpe import CACHE_WORDS, LEXICON_WORD_BYTES, Codec, Lexicon, split_words, worker_codec
+from parityflow.llm.bpe import CACHE_WORDS, LEXICON_WORD_BYTES, Codec, Lexicon, at_spaces, split_words, worker_codec
 
-LEAF_WORDS = 64
+LEAF_WORDS = 16
+LOOK_AHEAD = 64  #: characters split behind a boundary, so that the end of the cut does not sway it
 
 
 class TokenTree:
     """Leaves with their characters and tokens under a tree of sums.
 
-    ``split`` gives the pre-tokens of a text, ``count[word]`` the tokens of one; no added token is
-    longer than ``reach`` characters.
+    ``units(text)`` gives characters and tokens of a text's units, each one or several whole
+    pre-tokens; no added token is longer than ``reach`` characters.
     """
 
-    def __init__(self, text: str, count: Mapping[str, int], split: Callable[[str], list[str]] = split_words, reach: int = 0):
-        self.text, self.count, self.split, self.reach = text, count, split, reach
+    def __init__(self, text: str, units: Callable[[str], np.ndarray], reach: int = 0):
+        self.text, self.units, self.reach = text, units, reach
         self.encoded_chars = 0
-        self._set(self._leaves(split(text)))
+        self._set(self._leaves(units(text)))
 
-    def _leaves(self, words: list[str]) -> np.ndarray:
-        """Characters and tokens of every leaf of ``words``."""
-        n = len(words)
-        sums = np.empty((n, 2), np.int64)
-        sums[:, 0] = np.fromiter(map(len, words), np.int64, n)
-        sums[:, 1] = np.fromiter(map(self.count.__getitem__, words), np.int64, n)
-        self.encoded_chars += int(sums[:, 0].sum())
-        return np.add.reduceat(sums, np.arange(0, n, LEAF_WORDS)) if n else sums
+    def _leaves(self, units: np.ndarray) -> np.ndarray:
+        """Characters and tokens of every leaf of ``units``."""
+        self.encoded_chars += int(units[:, 0].sum())
+        return np.add.reduceat(units, np.arange(0, len(units), LEAF_WORDS)) if len(units) else units
 
     def _set(self, leaves: np.ndarray) -> None:
         self.n = len(leaves)
@@ -82,7 +79,7 @@ class TokenTree:
         end = min(max(end, start), len(old))
         self.text = old[:start] + new + old[end:]
         if not self.n:
-            return self._set(self._leaves(self.split(self.text)))
+            return self._set(self._leaves(self.units(self.text)))
         # a boundary holds if it is looked at from before: no white space run, no "'re" and no added token may reach from it to the edit
         first, low = self.leaf_at(max(0, start - 1 - self.reach))
         while first and not old[low : max(low, start - 2 - self.reach)].strip():
@@ -94,28 +91,20 @@ class TokenTree:
         while True:
             at += int(self.sums[self.size + leaf, 0])
             leaf += 1
-            words = self.split(self.text[low : at + shift + 2 * LEAF_WORDS + self.reach])
-            ends = set(np.cumsum([len(w) for w in words]).tolist())
-            # the last words of a cut may differ from those of the text, the boundary must lie before them
-            if leaf >= self.n or (at + shift - low in ends and self.text[at + shift : at + shift + 2 * LEAF_WORDS - 8].strip()):
+            units, upto = self.units(self.text[low : at + shift + LOOK_AHEAD + self.reach]), at + shift - low
+            ends = units[:, 0].cumsum()
+            met = int(np.searchsorted(ends, upto))
+            # the last units of a cut may differ from those of the text, the boundary must lie before them
+            meets = upto == 0 or (met < len(ends) and ends[met] == upto)
+            if leaf >= self.n or (meets and self.text[at + shift : at + shift + LOOK_AHEAD - 8].strip()):
                 break
-        if leaf >= self.n:
-            words = self.split(self.text[low:])
-        else:
-            upto, kept = at + shift - low, []
-            for w in words:
-                if upto <= 0:
-                    break
-                kept.append(w)
-                upto -= len(w)
-            words = kept
-        made = self._leaves(words)
+        made = self._leaves(self.units(self.text[low:]) if leaf >= self.n else units[: met + 1] if upto else units[:0])
         if len(made) == leaf - first:  # the same leaves: renew the sums above them only
             self.sums[self.size + first : self.size + leaf] = made
-            nodes = np.arange(self.size + first, self.size + leaf)
-            while nodes[0] > 1:
-                nodes = np.unique(nodes // 2)
-                self.sums[nodes] = self.sums[2 * nodes] + self.sums[2 * nodes + 1]
+            low, high = self.size + first, self.size + leaf
+            while low > 1:
+                low, high = low // 2, (high + 1) // 2
+                self.sums[low:high] = self.sums[2 * low : 2 * high : 2] + self.sums[2 * low + 1 : 2 * high : 2]
         else:
             leaves = self.sums[self.size : self.size + self.n]
             self._set(np.concatenate([leaves[:first], made, leaves[leaf:]]))
@@ -125,16 +114,69 @@ class TokenCounts(dict):
     """Tokens of words, found by a codec when first asked for; starts afresh when full."""
 
     def __init__(self, codec: Codec, most: int = CACHE_WORDS):
-        self.codec, self.most, self.added = codec, most, codec.vocabulary.added
+        self.codec, self.most, self.pieces = codec, most, PieceCounts(self, most)
 
     def __missing__(self, word: str) -> int:
-        n = 1 if word in self.added else len(self.codec.word(word)) // 4
+        n = len(self.codec.word(word)) // 4
         if len(word) <= LEXICON_WORD_BYTES:
             if len(self) >= self.most:
                 self.clear()
             self[word] = n
         return n
 
+    def words(self, text: str) -> np.ndarray:
+        """Characters and tokens of every pre-token of ``text``, which holds no added token."""
+        words = split_words(text)
+        return pairs(map(len, words), map(self.__getitem__, words), len(words))
+
+    def plain(self, text: str) -> list[np.ndarray]:
+        """The same in parts, with a space and what follows it up to the next one as one unit, unless that is long."""
+        first, *rest = at_spaces(text)
+        if not rest:
+            return [self.words(first)]
+        parts, at = [self.words(first)], 0
+        units = pairs(map(len, rest), map(self.pieces.__getitem__, rest), len(rest))
+        units[:, 0] += 1
+        for i in np.flatnonzero(units[:, 0] > LEXICON_WORD_BYTES).tolist():
+            parts += [units[at:i], self.words(" " + rest[i])]
+            at = i + 1
+        return [*parts, units[at:]]
+
+    def units(self, text: str) -> np.ndarray:
+        """Characters and tokens of the units of ``text``; an added token is a unit of its own."""
+        find, parts, at = self.codec.vocabulary.split_added, [], 0
+        for m in find.finditer(text) if find else ():
+            parts += [*self.plain(text[at : m.start()]), np.array([[m.end() - m.start(), 1]], np.int64)]
+            at = m.end()
+        return np.concatenate(parts + self.plain(text[at:]))
+
+
+class PieceCounts(dict):
+    """Tokens of a space and a piece of text behind it; when full, what is not asked for again goes."""
+
+    def __init__(self, counts: TokenCounts, most: int):
+        self.counts, self.most, self.old = counts, most, {}
+
+    def __missing__(self, piece: str) -> int:
+        n = self.old.get(piece)
+        if n is None:
+            if len(piece) >= LEXICON_WORD_BYTES:
+                return 0  # its words are counted one by one
+            one = piece.isascii() and piece.isalpha()
+            n = self.counts[" " + piece] if one else sum(map(self.counts.__getitem__, split_words(" " + piece)))
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = n
+        return n
+
+
+def pairs(chars: Iterable[int], tokens: Iterable[int], n: int) -> np.ndarray:
+    made = np.empty((n, 2), np.int64)
+    made[:, 0] = np.fromiter(chars, np.int64, n)
+    made[:, 1] = np.fromiter(tokens, np.int64, n)
+    return made
+
 
 _counts: list[TokenCounts] = []
 
@@ -147,8 +189,7 @@ def worker_counts(codec: Codec) -> TokenCounts:
 
 
 def document_tree(text: str, counts: TokenCounts) -> TokenTree:
-    codec = counts.codec
-    return TokenTree(text, counts, codec.words, max(map(len, codec.vocabulary.added), default=0))
+    return TokenTree(text, counts.units, max(map(len, counts.codec.vocabulary.added), default=0))
 
 
 def count_edited(
