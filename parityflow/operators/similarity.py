@@ -131,69 +131,61 @@ def entity_documents(
 
 
 def column_line(name="name", data_type="data_type", max_length="max_length", nullable="is_nullable", pk="is_primary_key"):
-    """``  name: type(len) NULL PK``"""
+    """``column name type(length), optional, key``"""
     size = F.when(q(max_length).isNotNull(), F.concat(F.lit("("), q(max_length).cast("string"), F.lit(")"))).otherwise(F.lit(""))
-    null = F.when(q(nullable), F.lit(" NULL")).otherwise(F.lit(" NOT NULL"))
-    key = F.when(q(pk), F.lit(" PK")).otherwise(F.lit(""))
-    return F.concat(F.lit("  "), q(name), F.lit(": "), q(data_type), size, null, key)
+    marks = [F.when(q(c), F.lit(mark)).otherwise(F.lit("")) for c, mark in ((nullable, ", optional"), (pk, ", key"))]
+    return F.concat(F.lit("column "), q(name), F.lit(" "), q(data_type), size, *marks)
 
 
 def index_line():
-    """``  name UNIQUE: (a, b)``"""
-    unique = F.when(F.col("is_unique"), F.lit(" UNIQUE")).otherwise(F.lit(""))
-    return F.concat(F.lit("  "), F.col("name"), unique, F.lit(": ("), F.array_join("columns", ", "), F.lit(")"))
+    """``unique index name on a, b``"""
+    kind = F.when(F.col("is_unique"), F.lit("unique index ")).otherwise(F.lit("index "))
+    return F.concat(kind, F.col("name"), F.lit(" on "), F.array_join("columns", ", "))
 
 
 def constraint_line():
-    """``  name [Kind]: (a, b)``"""
-    return F.concat(
-        F.lit("  "), F.col("name"), F.lit(" ["), F.col("constraint_type"), F.lit("]: ("), F.array_join("columns", ", "), F.lit(")")
-    )
+    """``Kind name on a, b``"""
+    return F.concat(F.col("constraint_type"), F.lit(" "), F.col("name"), F.lit(" on "), F.array_join("columns", ", "))
 
 
 def schema_chunks(
     columns: DataFrame, indexes: DataFrame, constraints: DataFrame, row_counts: DataFrame, connection_id: str,
-    connection_name: str, schema_name: str = "public",
+    connection_name: str, schema_name: str = "public", lines_per_chunk: int = 2000,
 ) -> DataFrame:
-    """One text chunk per table: columns, then indexes, then constraints.
+    """The definition of every table as text: columns, then indexes, then constraints.
 
-    Catalog tables as in ``schema_diff`` with an ``ordinal_position``;
-    ``row_counts(table_name, row_count)``.
+    Catalog tables as in ``schema_diff`` with an ``ordinal_position``; ``row_counts(table_name, row_count)``.
+    A definition of more than ``lines_per_chunk`` lines goes on in further chunks under the same head.
     """
 
-    def lines(df: DataFrame, section: int, title: str, line) -> DataFrame:
-        body = df.select("table_name", F.lit(section).alias("section"), F.col("ordinal_position").cast("long").alias("at"), line.alias("line"))
-        head = df.select("table_name").distinct().select(
-            "table_name", F.lit(section).alias("section"), F.lit(-1).cast("long").alias("at"), F.lit(title).alias("line")
-        )
-        return body.unionByName(head) if title else body
-
-    everything = (
-        lines(columns, 0, "", column_line())
-        .unionByName(lines(indexes, 1, "Indexes:", index_line()))
-        .unionByName(lines(constraints, 2, "Constraints:", constraint_line()))
-    )
-    # one row per column, index and constraint of a table: as long as a table definition is
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "at", "line"))), lambda x: x["line"]), "\n")
-    bodies = everything.groupBy("table_name").agg(text.alias("body")).join(row_counts, "table_name", "left_outer")
-    count = F.coalesce(F.col("row_count").cast("string"), F.lit("unknown"))
-    content = F.concat(F.lit(f"Table: {schema_name}."), F.col("table_name"), F.lit("\nRow count: "), count, F.lit("\nColumns:\n"), F.col("body"), F.lit("\n"))
-    return bodies.select(
-        F.concat(F.lit(f"table-{connection_id}-"), "table_name").alias("id"),
+    def lines(df: DataFrame, section: int, line) -> DataFrame:
+        return df.select("table_name", F.lit(section).alias("section"), F.col("ordinal_position").cast("long").alias("at"), line.alias("line"))
+
+    everything = lines(columns, 0, column_line()).unionByName(lines(indexes, 1, index_line())).unionByName(lines(constraints, 2, constraint_line()))
+    numbered = everything.withColumn("position", F.row_number().over(Window.partitionBy("table_name").orderBy("section", "at", "line")) - 1)
+    count = F.coalesce(F.col("row_count").cast("string"), F.lit("?"))
+    named = everything.select("table_name").distinct().join(row_counts, "table_name", "left_outer")
+    heads = named.select(F.col("table_name").alias("entity"), F.concat(F.lit(f"{schema_name}."), "table_name", F.lit(", rows: "), count).alias("head"))
+    texts = entity_documents(numbered, "table_name", "position", "line", heads, lines_per_chunk)
+    return texts.select(
+        F.concat(F.lit(f"{connection_id}/{schema_name}/"), "entity", F.lit("#"), F.col("chunk_no").cast("string")).alias("id"),
         F.lit(connection_id).alias("connection_id"),
-        F.lit("table_schema").alias("chunk_type"),
-        F.concat(F.col("table_name"), F.lit(f" ({connection_name})")).alias("label"),
-        content.alias("content"),
+        F.lit("table").alias("chunk_type"),
+        F.concat(F.lit(f"{schema_name}."), "entity", F.lit(f" @ {connection_name}")).alias("label"),
+        "content",
     )
 
 
-def summary_chunk(tables: DataFrame, connection_id: str, connection_name: str, engine: str) -> DataFrame:
-    """One chunk that lists the tables of a connection (a list of names, as long as the catalog)."""
-    names = F.array_join(F.array_sort(F.collect_set("table_name")), ", ")
-    return tables.agg(F.count_distinct("table_name").alias("n"), names.alias("names")).select(
-        F.lit(f"conn-summary-{connection_id}").alias("id"),
+def summary_chunks(tables: DataFrame, connection_id: str, connection_name: str, engine: str, names_per_chunk: int = 2000) -> DataFrame:
+    """The names of a connection's tables, dealt by their hash into chunks of about ``names_per_chunk``; none without tables."""
+    title, names = f"{connection_name}, {engine}", tables.select("table_name").filter("table_name IS NOT NULL").distinct()
+    n = names.count()
+    place = F.conv(F.substring(F.md5("table_name"), 1, 8), 16, 10).cast("long") % max(1, -(-n // names_per_chunk))
+    listed = names.groupBy(place.alias("chunk_no")).agg(F.array_join(F.array_sort(F.collect_list("table_name")), "\n").alias("names"))
+    return listed.select(
+        F.concat(F.lit(f"{connection_id}/#"), F.col("chunk_no").cast("string")).alias("id"),
         F.lit(connection_id).alias("connection_id"),
-        F.lit("connection_summary").alias("chunk_type"),
-        F.lit(f"{connection_name} ({engine})").alias("label"),
-        F.concat(F.lit(f"Database: {connection_name} ({engine})\nTables ("), F.col("n").cast("string"), F.lit("): "), F.col("names")).alias("content"),
+        F.lit("tables").alias("chunk_type"),
+        F.lit(title).alias("label"),
+        F.concat(F.lit(f"{title}, tables: {n}\n"), "names").alias("content"),
     )

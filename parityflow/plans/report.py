@@ -1,13 +1,14 @@
-"""Reports as datasets of Markdown lines.
+"""Reports as facts, and facts as lines of Markdown.
 
-Every report is ``section, part, item, line``: sort by the first three columns to
-read it.  Detail lines are made by column expressions, so a report of a long diff
-stays distributed; write it with ``export_lines``.
+A report is ``section, item, metric, value``, all text, one row per fact. Facts are made by column
+expressions, so the report of a long diff stays distributed; ``markdown`` turns any of them
+into lines for ``export_lines``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,105 +17,84 @@ from parityflow.config import MigrationConfig
 from parityflow.operators.schema_diff import schema_summary
 from parityflow.session import materialised
 
-LINE = "section int, part string, item string, line string"
+FACT = "section string, item string, metric string, value string"
+TOTALS = ("total_rows", "processed_rows", "inserted", "updated", "deleted", "skipped", "errors")
 
 
-def _fixed(spark: SparkSession, section: int, lines: Sequence[str], part: str = "") -> DataFrame:
-    return spark.createDataFrame([(section, part, f"{i:04d}", text) for i, text in enumerate(lines)], LINE)
+def _given(spark: SparkSession, section: str, facts: Sequence[tuple[str, str, object]]) -> DataFrame:
+    return spark.createDataFrame([(section, item, metric, str(value)) for item, metric, value in facts], FACT)
 
 
-def _rows(df: DataFrame, section: int, part: Column, item: Column, line: Column) -> DataFrame:
-    return df.select(F.lit(section).alias("section"), part.alias("part"), item.alias("item"), line.alias("line"))
+def _facts(df: DataFrame, section: Column, item: Column, **metrics: Column) -> DataFrame:
+    """One fact per row and metric."""
+    each = F.array(*[F.struct(F.lit(m).alias("metric"), c.cast("string").alias("value")) for m, c in metrics.items()])
+    return df.select(section.alias("section"), item.alias("item"), F.inline(each))
 
 
-def _joined(parts: Sequence[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def _cells(*columns: Column) -> Column:
-    return F.concat(F.lit("| "), F.concat_ws(" | ", *[c.cast("string") for c in columns]), F.lit(" |"))
-
-
-def _grouped(c: Column) -> Column:
-    """A count with thousands separators."""
-    return F.format_number(c, 0)
+def _all(parts: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
 def schema_diff_report(d: DataFrame, source_name: str, target_name: str) -> DataFrame:
-    """Summary counts, then the changes by object type with their details."""
-    spark, d = d.sparkSession, materialised(d)  # read by every section
-    icon = F.when(F.col("change_type") == "Added", "+").when(F.col("change_type") == "Removed", "-").when(F.col("change_type") == "Modified", "~").otherwise(" ")
-    s = schema_summary(d)
-    counts = [("Additions", "additions"), ("Removals", "removals"), ("Modifications", "modifications"), ("Unchanged", "unchanged")]
-    total = sum((F.col(c) for _, c in counts[1:]), F.col(counts[0][1]))
-    table = F.array(
-        *[F.struct(F.lit(f"{i:04d}").alias("i"), _cells(F.lit(t), F.col(c)).alias("l")) for i, (t, c) in enumerate(counts)],
-        F.struct(F.lit("0009").alias("i"), F.concat(F.lit("| **Total** | **"), total.cast("string"), F.lit("** |")).alias("l")),
-    )
-    summary = s.select(F.inline(table))
-    line = F.concat(F.lit("- `["), icon, F.lit("]` **"), F.col("object_name"), F.lit("** ("), F.col("change_type"), F.lit(")"))
-    detail = d.select("object_type", "object_name", F.posexplode("details").alias("n", "x"))
-    absent = F.lit("_N/A_")
-    detail_line = F.concat(
-        F.lit("  - "), F.col("x.property"), F.lit(": "), F.coalesce("x.source_value", absent), F.lit(" -> "), F.coalesce("x.target_value", absent)
-    )
-    heads = d.select("object_type").distinct()
-    return _joined(
+    """What was compared, objects per kind of change, and every object with the properties that differ.
+
+    An object's section is its type; the value of a property is ``old => new``, ``?`` where a side has none.
+    """
+    d = materialised(d)  # read by every section
+    counts = schema_summary(d)
+    found = d.select("object_type", "object_name", F.explode("details").alias("x"))
+    sides = F.concat(F.coalesce("x.source_value", F.lit("?")), F.lit(" => "), F.coalesce("x.target_value", F.lit("?")))
+    return _all(
         [
-            _fixed(spark, 0, ["# Schema Diff Report", "", f"**Source:** {source_name}", f"**Target:** {target_name}", "", "## Summary", "", "| Metric | Count |", "| --- | ---: |"]),
-            _rows(summary, 1, F.lit(""), F.col("i"), F.col("l")),
-            _fixed(spark, 2, ["", "## Changes", ""]),
-            _rows(heads, 3, F.col("object_type"), F.lit(""), F.concat(F.lit("### "), F.col("object_type"), F.lit("s"))),
-            _rows(d, 3, F.col("object_type"), F.col("object_name"), line),
-            _rows(detail, 3, F.col("object_type"), F.concat(F.col("object_name"), F.lit(" "), F.lpad(F.col("n").cast("string"), 4, "0")), detail_line),
+            _given(d.sparkSession, "compared", [("source", "name", source_name), ("target", "name", target_name)]),
+            _facts(counts, F.lit("objects"), F.lit("all"), **{c: F.col(c) for c in counts.columns}),
+            _facts(d, F.col("object_type"), F.col("object_name"), change=F.lower("change_type")),
+            found.select(F.col("object_type").alias("section"), F.col("object_name").alias("item"), F.col("x.property").alias("metric"), sides.alias("value")),
         ]
     )
 
 
 def migration_plan_report(dry_run: DataFrame, cfg: MigrationConfig) -> DataFrame:
-    """Settings, table mappings, expected work per table and warnings, from ``dry_run_report``."""
-    spark, dry_run = dry_run.sparkSession, materialised(dry_run)  # read by every section
-    settings = [("Mode", cfg.mode), ("Conflict Resolution", cfg.policy), ("Batch Size", cfg.batch_size)]
+    """Settings, expected work per table and warnings, from ``dry_run_report``."""
+    dry_run = materialised(dry_run)  # read by every section
     table = F.col("source_table")
-    work = _cells(table, *[_grouped(F.col(c)) for c in ("source_rows", "inserts", "updates", "deletes", "skips")])
-    mapping = _cells(table, F.col("target_table"), _grouped(F.col("source_rows")))
+    work = {c: F.col(c) for c in ("target_table", "source_rows", "inserts", "updates", "deletes", "skips")}
     notes = dry_run.select("source_table", F.posexplode("warnings").alias("n", "w"))
-    return _joined(
+    return _all(
         [
-            _fixed(spark, 0, ["# Migration Plan", "", "## Configuration", "", "| Setting | Value |", "| --- | --- |", *[f"| {a} | {b} |" for a, b in settings], ""]),
-            _fixed(spark, 1, ["## Table Mappings", "", "| Source Table | Target Table | Est. Rows |", "| --- | --- | ---: |"]),
-            _rows(dry_run, 2, table, F.lit(""), mapping),
-            _fixed(spark, 3, ["", "## Dry Run Results", "", "| Table | Rows | Inserts | Updates | Deletes | Skips |", "| --- | ---: | ---: | ---: | ---: | ---: |"]),
-            _rows(dry_run, 4, table, F.lit(""), work),
-            _rows(notes, 5, table, F.col("n").cast("string"), F.concat(F.lit("- "), F.col("w"))),
+            _given(dry_run.sparkSession, "settings", [("run", "mode", cfg.mode), ("run", "policy", cfg.policy), ("run", "batch_size", cfg.batch_size)]),
+            _facts(dry_run, F.lit("tables"), table, **work),
+            notes.select(F.lit("warnings").alias("section"), table.alias("item"), (F.col("n") + 1).cast("string").alias("metric"), F.col("w").alias("value")),
         ]
     )
 
 
 def migration_summary_report(progress: DataFrame, cfg: MigrationConfig, status: str, errors: DataFrame | None = None) -> DataFrame:
-    """Totals, the breakdown per table and the errors, from ``progress_rows``.
+    """Outcome, totals, every table and its errors, from ``progress_rows``.
 
-    ``errors(table_name, row_index, message)``.
+    ``errors(table_name, row_index, message)``; the metric of an error is its row, if it has one.
     """
-    spark, progress = progress.sparkSession, materialised(progress)  # read by every section
-    totals = [
-        ("Total Rows", "total_rows"), ("Processed", "processed_rows"), ("Inserted", "inserted"), ("Updated", "updated"),
-        ("Deleted", "deleted"), ("Skipped", "skipped"), ("Errors", "errors"),
-    ]
-    summed = progress.agg(*[F.sum(c).alias(c) for _, c in totals])
-    lines = summed.select(F.inline(F.array(*[F.struct(F.lit(f"{i:04d}").alias("i"), _cells(F.lit(t), _grouped(F.col(c))).alias("l")) for i, (t, c) in enumerate(totals)])))
+    progress = materialised(progress)  # read by every section
     table = F.col("table_name")
-    done = F.concat(_grouped(F.col("processed_rows")), F.lit(" / "), _grouped(F.col("total_rows")))
     parts = [
-        _fixed(spark, 0, ["# Migration Summary", "", f"**Status:** {status}", "", f"Mode {cfg.mode}, conflicts {cfg.policy}", "", "## Overall Results", "", "| Metric | Count |", "| --- | ---: |"]),
-        _rows(lines, 1, F.lit(""), F.col("i"), F.col("l")),
-        _fixed(spark, 2, ["", "## Per-Table Breakdown", "", "| Table | Status | Processed / Total | Errors |", "| --- | --- | ---: | ---: |"]),
-        _rows(progress, 3, table, F.lit(""), _cells(table, F.col("status"), done, F.col("errors"))),
+        _given(progress.sparkSession, "run", [("run", "status", status), ("run", "mode", cfg.mode), ("run", "policy", cfg.policy)]),
+        _facts(progress.agg(*[F.sum(c).alias(c) for c in TOTALS]), F.lit("totals"), F.lit("all"), **{c: F.col(c) for c in TOTALS}),
+        _facts(progress, F.lit("tables"), table, status=F.col("status"), **{c: F.col(c) for c in TOTALS}),
     ]
     if errors is not None:
-        where = F.coalesce(F.concat(F.lit(" (row "), F.col("row_index").cast("string"), F.lit(")")), F.lit(""))
-        parts.append(_rows(errors, 4, table, F.col("message"), F.concat(F.lit("- "), F.col("message"), where)))
-    return _joined(parts)
+        row = F.coalesce(F.concat(F.lit("row "), F.col("row_index").cast("string")), F.lit("table"))
+        parts.append(errors.select(F.lit("failures").alias("section"), table.alias("item"), row.alias("metric"), F.col("message").alias("value")))
+    return _all(parts)
+
+
+def markdown(report: DataFrame, title: str) -> DataFrame:
+    """``section, item, metric, line``: sort by the first three columns to read it.
+
+    The title comes first, a heading before each section, then a bullet per fact; line ends within a fact become spaces.
+    """
+    flat = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\R", " ")
+    fact = F.concat(F.lit("* "), flat("item"), F.lit(", "), flat("metric"), F.lit(": "), flat("value"))
+    empty = F.lit("")
+    heads = report.select("section").distinct().select("section", empty.alias("item"), empty.alias("metric"), F.concat(F.lit("## "), flat("section")).alias("line"))
+    top = report.sparkSession.createDataFrame([("", "", "", f"# {title}")], "section string, item string, metric string, line string")
+    return top.unionByName(heads).unionByName(report.select("section", "item", "metric", fact.alias("line")))

@@ -172,41 +172,42 @@ def audit_purge(spark, sf_dir):
 
 
 # -- reports and exports ----------------------------------------------------------------------
-@registered(f"""WITH {CATALOG_SQL}, x AS (SELECT object_type, object_name, unnest(found) AS d, generate_subscripts(found, 1) - 1 AS n FROM changes)
-SELECT object_type AS part, object_name AS item, '- `[' || CASE change_type WHEN 'Added' THEN '+' WHEN 'Removed' THEN '-' WHEN 'Modified' THEN '~' ELSE ' ' END
- || ']` **' || object_name || '** (' || change_type || ')' AS line FROM changes
-UNION ALL SELECT object_type, object_name || ' ' || lpad(n::VARCHAR, 4, '0'), '  - ' || d.p || ': ' || coalesce(d.s, '_N/A_') || ' -> ' || coalesce(d.t, '_N/A_') FROM x
-UNION ALL SELECT DISTINCT object_type, '', '### ' || object_type || 's' FROM changes""")
+@registered(f"""WITH {CATALOG_SQL}, x AS (SELECT object_type, object_name, unnest(found) AS d FROM changes)
+SELECT object_type AS section, object_name AS item, 'change' AS metric, lower(change_type) AS value FROM changes
+UNION ALL SELECT object_type, object_name, d.p, coalesce(d.s, '?') || ' => ' || coalesce(d.t, '?') FROM x
+UNION ALL SELECT 'compared', unnest(['source', 'target']), 'name', unnest(['a', 'b'])
+UNION ALL SELECT 'objects', 'all', m, (SELECT count(*) FROM changes WHERE change_type = k)::VARCHAR FROM
+ (VALUES ('additions', 'Added'), ('removals', 'Removed'), ('modifications', 'Modified'), ('unchanged', 'Unchanged')) AS v(m, k)""")
 def schema_diff_report(spark, sf_dir):
-    return R.schema_diff_report(_changes(spark, sf_dir), "a", "b").filter("section = 3").select("part", "item", "line")
+    return R.schema_diff_report(_changes(spark, sf_dir), "a", "b")
 
 
 @registered(ORDERS_DIFF + """, c AS (SELECT count(*) FILTER (WHERE status = 'inserted') AS i, count(*) FILTER (WHERE status = 'updated') AS u,
- count(*) FILTER (WHERE status = 'deleted') AS x FROM d)
-SELECT 'Total Rows' AS metric, format('{:,}', i + u + x) AS n FROM c UNION ALL SELECT 'Processed', format('{:,}', i + u + x) FROM c
- UNION ALL SELECT 'Inserted', format('{:,}', i) FROM c UNION ALL SELECT 'Updated', format('{:,}', u) FROM c UNION ALL SELECT 'Deleted', format('{:,}', x) FROM c
- UNION ALL SELECT 'Skipped', '0' UNION ALL SELECT 'Errors', '0'""")
+ count(*) FILTER (WHERE status = 'deleted') AS x FROM d),
+m AS (SELECT unnest(['total_rows', 'processed_rows', 'inserted', 'updated', 'deleted', 'skipped', 'errors']) AS metric, unnest([i + u + x, i + u + x, i, u, x, 0, 0])::VARCHAR AS value FROM c)
+SELECT 'totals' AS section, 'all' AS item, metric, value FROM m UNION ALL SELECT 'tables', 'orders', metric, value FROM m""")
 def migration_report(spark, sf_dir):
     s, t = P.orders_pair(spark, sf_dir)
     cfg = MigrationConfig(mode="Mirror")
     progress = progress_rows("run-1", {"orders": result_summary(plan(s, t, ORDERS, cfg))})
-    lines = R.migration_summary_report(progress, cfg, "Completed").filter("section = 1")
-    cells = F.split("line", r"\|")
-    return lines.select(F.trim(cells[1]).alias("metric"), F.trim(cells[2]).alias("n"))
+    return R.migration_summary_report(progress, cfg, "Completed").filter("section IN ('totals', 'tables') AND metric <> 'status'")
 
 
 @registered(ORDERS_DIFF + """, c AS (SELECT count(*) FILTER (WHERE status = 'inserted') AS i, count(*) FILTER (WHERE status = 'updated') AS u,
- count(*) FILTER (WHERE status = 'deleted') AS x FROM d)
-SELECT 2 AS section, '| orders | orders_copy | ' || format('{:,}', (SELECT count(*) FROM orders)) || ' |' AS line
- UNION ALL SELECT 4, '| orders | ' || format('{:,}', (SELECT count(*) FROM orders)) || ' | 0 | ' || format('{:,}', u) || ' | ' || format('{:,}', x) || ' | ' || format('{:,}', i) || ' |' FROM c
- UNION ALL SELECT 5, '- Target column ''region'' is NOT NULL without default and missing from source - inserts will be skipped'""")
+ count(*) FILTER (WHERE status = 'deleted') AS x FROM d),
+m AS (SELECT unnest(['target_table', 'source_rows', 'inserts', 'updates', 'deletes', 'skips']) AS metric,
+ unnest(['orders_copy', (SELECT count(*) FROM orders)::VARCHAR, '0', u::VARCHAR, x::VARCHAR, i::VARCHAR]) AS value FROM c)
+SELECT 'tables' AS section, '* orders, ' || metric || ': ' || value AS line FROM m UNION ALL SELECT '', '# Dry run'
+ UNION ALL SELECT s, '## ' || s FROM (VALUES ('settings'), ('tables'), ('warnings')) AS v(s)
+ UNION ALL SELECT 'settings', '* run, ' || unnest(['mode: Mirror', 'policy: """ + MigrationConfig().policy + """', 'batch_size: """ + str(MigrationConfig().batch_size) + """'])
+ UNION ALL SELECT 'warnings', '* orders, 1: Target column ''region'' is NOT NULL without default and missing from source - inserts will be skipped'""")
 def plan_report(spark, sf_dir):
-    """Mappings, expected work and warnings of a dry run as report lines."""
+    """Settings, expected work and warnings of a dry run as lines of Markdown."""
     s, t = P.orders_pair(spark, sf_dir)
     cfg = MigrationConfig(mode="Mirror")
     rules = [ColumnRule(c) for c in t.columns] + [ColumnRule("region", False)]
     dry = dry_run_report([TableRun("orders", "orders_copy", s, t, ["o_orderkey"], rules)], cfg)
-    return R.migration_plan_report(dry, cfg).filter(F.col("section").isin(2, 4, 5)).select("section", "line")
+    return R.markdown(R.migration_plan_report(dry, cfg), "Dry run").select("section", "line")
 
 
 @registered(ORDERS_DIFF + """ SELECT d.o_orderkey::VARCHAR AS "_rowId", d.status AS "_status", replace(d.changed, ',', ';') AS "_changedColumns",

@@ -116,26 +116,27 @@ def entity_documents(spark, sf_dir):
 
 
 @registered(f"""WITH {CATALOG_SQL}, lines AS (
-  SELECT table_name, 0 AS sec, k AS pos, '  ' || name || ': ' || data_type || CASE WHEN max_length IS NOT NULL THEN '(' || max_length || ')' ELSE '' END
-    || CASE WHEN is_nullable THEN ' NULL' ELSE ' NOT NULL' END || CASE WHEN k % 60 = k THEN ' PK' ELSE '' END AS line FROM sc
-  UNION ALL SELECT table_name, 1, k, '  ' || name || CASE WHEN is_unique THEN ' UNIQUE' ELSE '' END || ': (' || cols || ')' FROM si
-  UNION ALL SELECT DISTINCT table_name, 1, -1, 'Indexes:' FROM si
-  UNION ALL SELECT table_name, 2, k, '  ' || name || ' [' || kind || ']: (c' || k || ')' FROM sk
-  UNION ALL SELECT DISTINCT table_name, 2, -1, 'Constraints:' FROM sk),
-n AS (SELECT table_name, count(*) AS row_count FROM sc WHERE k % 60 <> 59 GROUP BY 1)
-SELECT 'table-c1-' || table_name AS id, 'c1' AS connection_id, 'table_schema' AS chunk_type, table_name || ' (shop)' AS label,
- 'Table: public.' || table_name || chr(10) || 'Row count: ' || coalesce(max(row_count)::VARCHAR, 'unknown') || chr(10) || 'Columns:' || chr(10)
-  || string_agg(line, chr(10) ORDER BY sec, pos) || chr(10) AS content
-FROM lines LEFT JOIN n USING (table_name) GROUP BY table_name
-UNION ALL SELECT 'conn-summary-c1', 'c1', 'connection_summary', 'shop (PostgreSql)', 'Database: shop (PostgreSql)' || chr(10) || 'Tables (' || count(*) || '): '
-  || string_agg(table_name, ', ' ORDER BY table_name) FROM (SELECT DISTINCT table_name FROM sc)""")
+  SELECT table_name, 0 AS sec, k AS pos, 'column ' || name || ' ' || data_type || CASE WHEN max_length IS NOT NULL THEN '(' || max_length || ')' ELSE '' END
+    || CASE WHEN is_nullable THEN ', optional' ELSE '' END || CASE WHEN k < 60 THEN ', key' ELSE '' END AS line FROM sc
+  UNION ALL SELECT table_name, 1, k, CASE WHEN is_unique THEN 'unique index ' ELSE 'index ' END || name || ' on ' || cols FROM si
+  UNION ALL SELECT table_name, 2, k, kind || ' ' || name || ' on c' || k FROM sk),
+placed AS (SELECT *, (row_number() OVER (PARTITION BY table_name ORDER BY sec, pos, line) - 1) // 25 AS chunk FROM lines),
+n AS (SELECT table_name, count(*) AS row_count FROM sc WHERE k % 60 <> 59 GROUP BY 1),
+t AS (SELECT DISTINCT table_name FROM sc),
+names AS (SELECT table_name, count(*) OVER () AS n, ('0x' || substr(md5(table_name), 1, 8))::BIGINT % ceil(count(*) OVER () / 25)::BIGINT AS chunk FROM t)
+SELECT 'c1/public/' || table_name || '#' || chunk AS id, 'c1' AS connection_id, 'table' AS chunk_type, 'public.' || table_name || ' @ shop' AS label,
+ 'public.' || table_name || ', rows: ' || coalesce(max(row_count)::VARCHAR, '?') || chr(10) || string_agg(line, chr(10) ORDER BY sec, pos, line) AS content
+FROM placed LEFT JOIN n USING (table_name) GROUP BY table_name, chunk
+UNION ALL SELECT 'c1/#' || chunk, 'c1', 'tables', 'shop, PostgreSql', 'shop, PostgreSql, tables: ' || max(n) || chr(10) || string_agg(table_name, chr(10) ORDER BY table_name)
+FROM names GROUP BY chunk""")
 def schema_chunks(spark, sf_dir):
+    """Tables as texts of at most 25 lines, and the names of all tables."""
     src, _ = catalogs(spark, sf_dir)
     cols = src.columns.withColumn("ordinal_position", F.col("k")).withColumn("is_primary_key", F.col("k") < 60)
     counts = cols.filter("k % 60 <> 59").groupBy("table_name").agg(F.count(F.lit(1)).alias("row_count"))
     place = lambda df: df.withColumn("ordinal_position", F.col("k"))
-    chunks = V.schema_chunks(cols, place(src.indexes), place(src.constraints), counts, "c1", "shop")
-    return chunks.unionByName(V.summary_chunk(cols, "c1", "shop", "PostgreSql"))
+    chunks = V.schema_chunks(cols, place(src.indexes), place(src.constraints), counts, "c1", "shop", lines_per_chunk=25)
+    return chunks.unionByName(V.summary_chunks(cols, "c1", "shop", "PostgreSql", names_per_chunk=25))
 
 
 # -- text checks ------------------------------------------------------------------------------------
@@ -160,13 +161,13 @@ ODD_SQL = "odd AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - doc_
     f"WHEN {i} THEN {_sql_text(t)}" for i, t in _ODD.items()
 ) + " END FROM documents WHERE doc_id % 3 = 0)"
 _HITS = " ".join(
-    "WHEN contains(upper(text), upper('{0}')) THEN 'Potential SQL injection detected: {0}'".format(p.replace("'", "''")) for p in INJECTION_PATTERNS
+    "WHEN contains(upper(text), upper('{0}')) THEN 'sql:{0}'".format(p.replace("'", "''")) for p in INJECTION_PATTERNS
 )
 _CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]"
 
 
-@registered(f"""WITH {ODD_SQL} SELECT doc_id, CASE WHEN strlen(text) > 5000 THEN 'Input length ' || strlen(text) || ' exceeds maximum of 5000'
- WHEN regexp_matches(text, '{_CONTROL}') THEN 'Input contains control characters' WHEN contains(text, '../') OR contains(text, '..\\') THEN 'Path traversal pattern detected'
+@registered(f"""WITH {ODD_SQL} SELECT doc_id, CASE WHEN strlen(text) > 5000 THEN 'bytes:' || strlen(text)
+ WHEN regexp_matches(text, '{_CONTROL}') THEN 'control' WHEN contains(text, '../') OR contains(text, '..\\') THEN 'path'
  {_HITS} END AS reason FROM odd""")
 def suspicious_text(spark, sf_dir):
     return scans.scan_text(odd_texts(spark, sf_dir), ["text"], 5000).select("doc_id", "reason")
@@ -178,16 +179,12 @@ def strip_controls(spark, sf_dir):
 
 
 _NAMES = ("select", "_ok", "9lives", "has space", "", "a" * 129, "ünder", "Fine_1", "Drop")
-_BAD = "Invalid SQL identifier: "
-_NAME_CASES = (
-    _BAD + "''select'' is a reserved SQL keyword", None, _BAD + "must start with a letter or underscore", _BAD + "must contain only letters, digits, and underscores",
-    "Input must not be empty", "Input length 129 exceeds maximum of 128", _BAD + "must start with a letter or underscore", None, _BAD + "''Drop'' is a reserved SQL keyword",
-)
+_NAME_CASES = ("reserved", None, "start", "character", "empty", "bytes:129", "start", None, "reserved")
 
 
 @registered("SELECT p_partkey, CASE p_partkey % 9 " + " ".join(
     f"WHEN {i} THEN " + (f"'{p}'" if p else "NULL") for i, p in enumerate(_NAME_CASES)
-) + " END AS problem FROM part UNION ALL SELECT -1 - p_partkey, CASE WHEN p_name LIKE '% %' THEN 'Invalid SQL identifier: must contain only letters, digits, and underscores' END FROM part")
+) + " END AS problem FROM part UNION ALL SELECT -1 - p_partkey, CASE WHEN p_name LIKE '% %' THEN 'character' END FROM part")
 def identifier_check(spark, sf_dir):
     part = P.load(spark, sf_dir, "part")
     pick = F.get(F.array(*[F.lit(n) for n in _NAMES]), F.pmod("p_partkey", F.lit(len(_NAMES))).cast("int"))
