@@ -19,7 +19,7 @@ class VersionedTable:
 
     A publish writes only the buckets it is given, then replaces the small
     ``_current`` file by a rename.  A failed or killed publish leaves the old
-    version in place; older versions stay as backups until ``vacuum``.
+    version in place; older versions stay as backups.
     """
 
     def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], buckets: int = 64) -> None:
