@@ -1,8 +1,8 @@
 """Match by an expression of equal parts, bands and a further condition.
 
 Equal parts and the buckets of the bands become join keys, so the join is an equi-join: a bucket is
-as wide as its band, and a target row stands in its own bucket and in both neighbours. What shares
-a bucket is then tested exactly. Skewed keys are split by the adaptive skew join.
+four times as wide as its band, and a target row stands in every bucket that its band reaches, one
+or two. What shares a bucket is then tested exactly. Skewed keys are split by the adaptive skew join.
 """
 
 from __future__ import annotations
@@ -16,8 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parityflow.functions.keys import q
+from parityflow.session import materialised
 
-KEYED_BANDS = 2  #: bands that make keys (three copies of a target row each); further ones are tested only
+KEYED_BANDS = 2  #: bands that make keys (one or two copies of a target row each); further ones are tested only
+BUCKET_BANDS = 4  #: widths of the band that a bucket holds
+REACH = 0.26  #: of a bucket, a little more than a band; rounding moves no pair beyond it
 
 
 @dataclass(frozen=True)
@@ -49,19 +52,18 @@ def _number(df: DataFrame, expression: str) -> Column:
     return F.when(~F.isnan(number), number)
 
 
-def _bucket(value: Column, band: Band) -> tuple[Column, Column]:
-    """Bucket of a value and its sign; relative bands have buckets of equal ratio. A zero is near zeros only."""
-    margin = 1 + 1e-9  # rounding moves no pair across two borders
-    far = float(1 << 62)  # what lies beyond shares the last bucket
+def _place(value: Column, band: Band) -> tuple[Column, Column]:
+    """A value counted in buckets, and its sign; relative bands have buckets of equal ratio. A zero is near zeros only."""
+    if not band.relative:
+        return value / F.lit(band.width * BUCKET_BANDS), F.lit(0)
+    step = -math.log1p(-band.width) * BUCKET_BANDS
+    place = F.when(value == 0, F.lit(0.0)).otherwise(F.log(F.abs(value)) / F.lit(step))
+    return place, F.when(value > 0, 1).when(value < 0, -1).otherwise(0)
 
-    def whole(x: Column) -> Column:
-        return F.floor(F.least(F.greatest(x, F.lit(-far)), F.lit(far)))
 
-    if not band.relative:
-        return whole(value / F.lit(band.width * margin)), F.lit(0)
-    step = -math.log1p(-band.width) * margin
-    bucket = F.when(value == 0, F.lit(0).cast("long")).otherwise(whole(F.log(F.abs(value)) / F.lit(step)))
-    return bucket, F.when(value > 0, 1).when(value < 0, -1).otherwise(0)
+def _bucket(place: Column) -> Column:
+    far = float(1 << 62)  # what lies beyond shares the last bucket
+    return F.floor(F.least(F.greatest(place, F.lit(-far)), F.lit(far)))
 
 
 def band_pairs(
@@ -84,10 +86,11 @@ def band_pairs(
         x, y = F.col(f"sb{i}"), F.col(f"tb{i}")
         tests.append(F.abs(x - y) <= (F.abs(x) * F.lit(band.width) if band.relative else F.lit(band.width)))
         if i < KEYED_BANDS:
-            bucket, sign = _bucket(x, band)
-            s = s.withColumn(f"sk{i}", bucket).withColumn(f"ss{i}", sign)
-            bucket, sign = _bucket(y, band)
-            copies = copies.withColumn(f"ts{i}", sign).withColumn(f"tk{i}", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
+            place, sign = _place(x, band)
+            s = s.withColumn(f"sk{i}", _bucket(place)).withColumn(f"ss{i}", sign)
+            place, sign = _place(y, band)
+            reached = F.array_distinct(F.array(_bucket(place - F.lit(REACH)), _bucket(place + F.lit(REACH))))
+            copies = copies.withColumn(f"ts{i}", sign).withColumn(f"tk{i}", F.explode(reached))
             tests += [F.col(f"sk{i}") == F.col(f"tk{i}"), F.col(f"ss{i}") == F.col(f"ts{i}")]
     if condition:
         tests.append(F.expr(condition))
@@ -102,8 +105,9 @@ def band_diff(
     """``status, source, target``: ``matched`` pairs, ``inserted`` source rows and ``deleted`` target rows without a partner.
 
     A row may be in several pairs. The keys tell the rows of a side apart; they serve to find the rows without a partner.
+    The pairs are written once, as all three read them.
     """
-    pairs = band_pairs(source, target, equal, bands, condition)
+    pairs = materialised(band_pairs(source, target, equal, bands, condition))
 
     def alone(df: DataFrame, side: str, key: Sequence[str]) -> DataFrame:
         seen = pairs.select(*[F.col(side).getField(k).alias(f"__{i}") for i, k in enumerate(key)]).distinct()

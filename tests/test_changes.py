@@ -235,3 +235,13 @@ def test_a_band_is_an_equi_join(spark):
         Band("a", "b", 1.0, True)
     with pytest.raises(ValueError):
         band_pairs(s, s, condition="source.o_orderkey < target.o_orderkey")
+
+
+def test_pairs_of_bands_are_made_once_from_few_copies(spark):
+    """Matched rows and rows without a partner read the written pairs; a target stands in one or two buckets of a band."""
+    s = spark.createDataFrame([(i, float(i)) for i in range(1, 101)], "id int, v double")
+    bands = [Band("v", "v", 0.01, True), Band("v", "v", 3.0)]
+    plan = band_diff(s, s, ["id"], ["id"], [], bands)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" not in plan and plan.count("Join LeftAnti") == 2
+    pairs = band_pairs(s, s, [], bands)
+    assert "explode(array_distinct(" in pairs._jdf.queryExecution().optimizedPlan().toString()
