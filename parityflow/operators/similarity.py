@@ -34,15 +34,21 @@ def _matrix(cells: pd.Series) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     out = {}
     for size in np.unique(sizes):
         at = np.flatnonzero(sizes == size)
-        rows = np.array(cells.iloc[at].tolist(), dtype=np.float64).reshape(len(at), size)
-        norms = np.sqrt((rows * rows).sum(axis=1, keepdims=True)) if size else np.ones((len(at), 1))
-        out[int(size)] = (at, np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0))
+        rows = np.empty((len(at), size))
+        for i, cell in enumerate(cells.iloc[at]):
+            rows[i] = cell
+        norms = np.sqrt(np.einsum("ij,ij->i", rows, rows))
+        usable = norms > 0
+        np.divide(rows, np.where(usable, norms, 1.0)[:, None], out=rows)
+        rows[~usable] = 0.0
+        out[int(size)] = (at, rows)
     return out
 
 
 def _block_top(query_ids: np.ndarray, queries: dict, ids: np.ndarray, rows: dict, k: int) -> pd.DataFrame:
     """Top k of one block of vectors for every query of one block."""
-    parts = []
+    n = sum(len(at) for at, _ in queries.values()) * min(k, len(ids))
+    asked, found, reached, filled = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64), np.empty(n), 0
     # vectors of another length score 0.0, so every query sees all ids
     steps = [(size, at[i : i + STEP_QUERIES], lines[i : i + STEP_QUERIES]) for size, (at, lines) in queries.items() for i in range(0, len(at), STEP_QUERIES)]
     for size, q_at, q_rows in steps:
@@ -58,8 +64,9 @@ def _block_top(query_ids: np.ndarray, queries: dict, ids: np.ndarray, rows: dict
             else:
                 near = np.arange(len(ids))
             order = near[np.lexsort((ids[near], -line[near]))][:k]
-            parts.append(pd.DataFrame({"query_id": query_ids[position], "match_id": ids[order], "score": line[order]}))
-    return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "match_id": [], "score": []})
+            part = slice(filled, filled + len(order))
+            asked[part], found[part], reached[part], filled = position, order, line[order], filled + len(order)
+    return pd.DataFrame({"query_id": query_ids[asked[:filled]], "match_id": ids[found[:filled]], "score": reached[:filled]})
 
 
 def _final(partial: DataFrame, k: int) -> DataFrame:

@@ -232,3 +232,24 @@ def test_stream_of_several_batches(spark, folder):
     assert {r["id"] for r in store.read().collect()} == set(range(7))
     # the first batch goes the same way as the later ones and reports its rows too
     assert [p["inserts"] for p in progress] == [5, 1, 1]
+
+
+def test_a_block_of_vectors_is_held_once():
+    """Neither the unit rows of a block nor the results of its queries are held several times over."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    from parityflow.operators import similarity
+
+    cells = pd.Series(list(np.random.default_rng(3).standard_normal((4000, 64))))
+    ids = np.array([f"v{i}" for i in range(4000)], dtype=object)
+    tracemalloc.start()
+    rows = similarity._matrix(cells)
+    used = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert used < 1.5 * rows[64][1].nbytes
+    top = similarity._block_top(ids, rows, ids[:50], {64: (np.arange(50), rows[64][1][:50])}, 3)
+    assert len(top) == 12000 and list(top.columns) == ["query_id", "match_id", "score"]
+    assert (top.iloc[: 150 : 3]["query_id"] == top.iloc[: 150 : 3]["match_id"]).all()
