@@ -216,3 +216,26 @@ def test_promised_keys_skip_the_duplicate_check(spark):
     base = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
     cfg = CompareConfig(keys=["o_orderkey"], keys_unique=True, keys_not_null=True)
     assert "Window" not in physical(C.diff(base, base, cfg))
+
+
+def test_hash_mode_fetches_rows_of_marked_cells_without_another_join_of_the_tables(spark):
+    s = spark.createDataFrame([(i if i else None, float(i % 7), str(i)) for i in range(300)], "id long, v double, w string")
+    t = s.filter("id IS NULL OR id % 11 <> 0").withColumn("v", F.when(F.col("id") % 5 == 0, -1.0).otherwise(F.col("v")))
+    t = t.unionByName(s.filter("id % 17 = 0").withColumn("id", F.col("id") + 1000))
+    cfg = CompareConfig(keys=["id"])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = C.diff(s, t, replace(cfg, use_hash_mode=True))
+        assert "LeftSemi" not in made._jdf.queryExecution().optimizedPlan().toString()
+        got = {(r.status, r.id, str(r.source), str(r.target), tuple(r.changed_columns)) for r in made.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = {(r.status, r.id, *((str(None),) * 2 if r.status == "matched" else (str(r.source), str(r.target))), tuple(r.changed_columns)) for r in C.diff(s, t, cfg).collect()}
+    assert got == want and made.count() == len(want)
+
+
+def test_hash_mode_keeps_matched_rows_quiet_that_share_a_cell_with_an_open_key(spark):
+    s = spark.createDataFrame([("A", 1), ("b", 2), ("c", 3)], "k string, v int").selectExpr("k COLLATE UTF8_LCASE AS k", "v")
+    t = spark.createDataFrame([("a", 1), ("B", 5), ("d", 4)], "k string, v int").selectExpr("k COLLATE UTF8_LCASE AS k", "v")
+    got = {r.k.lower(): (r.status, r.source is None, r.target is None) for r in C.diff(s, t, CompareConfig(keys=["k"], use_hash_mode=True)).collect()}
+    assert got == {"a": ("matched", True, True), "b": ("updated", False, False), "c": ("inserted", False, True), "d": ("deleted", True, False)}
