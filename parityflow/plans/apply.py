@@ -56,7 +56,9 @@ def apply_plan(target: DataFrame, p: DataFrame, keys: Sequence[str] | None = Non
 
     inserts = p.filter(F.col("action") == INSERT).withColumnRenamed("row", "__row").select(*[cell(c) for c in columns])
     changes = p.filter(F.col("action").isin(UPDATE, DELETE)).select(
-        *[q(k).try_cast(target.schema[k].dataType).alias(k) for k in keys], F.col("action").alias("__action"), F.col("row").alias("__row")
+        *[q(k).try_cast(target.schema[k].dataType).alias(k) for k in keys],
+        F.col("action").alias("__action"),
+        F.when(F.col("action") == UPDATE, F.col("row")).alias("__row"),  # a delete needs no cells
     )
     t, names = join_key_columns(target, keys)
     c, _ = join_key_columns(changes, keys)

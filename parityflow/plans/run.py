@@ -1,9 +1,11 @@
 """A run over several tables: compared, checked, written in foreign-key order, counted.
 
-The tables of one dependency level run side by side, each as Spark jobs under a tag of its own;
-``cancel`` interrupts the jobs under way and keeps later tables from starting. Counts are taken by
-an observation while a table's decided rows are written, so nothing is scanned again for them.
-A table that fails blocks those that refer to it; the others go on.
+Comparing needs no other table, so all tables are compared side by side, parents first, while
+results are written level by level: tasks of one table fill the cores that another leaves idle.
+The jobs of each table have a tag of their own; ``cancel`` interrupts those under way and keeps
+later ones from starting. Counts are taken by an observation while a table's decided rows are
+written, so nothing is scanned again for them. A table that fails blocks those that refer to it,
+whose results are then not written; the others go on.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ import threading
 import time
 import uuid
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -101,7 +103,8 @@ class TablesRun:
         self.folder = folder or f"{shared_dir(spark)}/run-{self.id}"
         self.parents = {r.target_table: {p for c, p in foreign_keys if c == r.target_table and p != c} for r in runs}
         self.outcomes = {r.target_table: Outcome(r) for r in runs}
-        self._stop, self._lock, self._running = threading.Event(), threading.Lock(), set()
+        self._stop, self._lock, self._running = threading.Event(), threading.Lock(), []
+        self._compared: dict[str, Future] = {}
 
     def _levels(self) -> list[list[str]]:
         """Tables by level, parents first; those that a cycle keeps back come last, together."""
@@ -123,11 +126,15 @@ class TablesRun:
         return f"{self.folder}/table-{list(self.outcomes).index(table)}"
 
     def start(self) -> TablesRun:
-        for level, tables in enumerate(self._levels()):
-            for t in tables:
-                self._note(t, level=level)
-            with ThreadPoolExecutor(min(self.workers, len(tables))) as pool:
-                list(pool.map(self._one, tables))
+        levels = self._levels()
+        with ThreadPoolExecutor(self.workers) as ahead:
+            for level, tables in enumerate(levels):
+                for t in tables:
+                    self._note(t, level=level)
+                    self._compared[t] = ahead.submit(self._compare, t)
+            for tables in levels:
+                with ThreadPoolExecutor(min(self.workers, len(tables))) as pool:
+                    list(pool.map(self._one, tables))
         return self
 
     def cancel(self) -> None:
@@ -146,29 +153,43 @@ class TablesRun:
         if any((o := self.outcomes.get(p)) and o.level < level and o.status != COMPLETED for p in self.parents[table]):
             return self._note(table, status=BLOCKED, message="a table that it refers to was not written")
         began = time.monotonic()
-        self.spark.sparkContext.addJobTag(self.tag(table))
-        self._running.add(table)
         try:
-            counts = self._write(self.outcomes[table].run, self.path(table))
-            self._note(table, status=COMPLETED, counts=counts)
+            counts, compare_ms = self._compared[table].result()
+            _, write_ms = self._tagged(table, self._write)
+            self._note(table, status=COMPLETED, counts=counts, duration_ms=compare_ms + write_ms)
         except Exception as e:  # noqa: BLE001 - a table's failure is part of the report
-            self._note(table, status=CANCELLED if self._stop.is_set() else FAILED, message=f"{type(e).__name__}: {e}"[:1000])
+            self._note(table, status=CANCELLED if self._stop.is_set() else FAILED, message=f"{type(e).__name__}: {e}"[:1000], duration_ms=max(1, round((time.monotonic() - began) * 1000)))
+
+    def _tagged(self, table: str, work):
+        """What ``work`` gives for the table, its jobs under the table's tag, and the milliseconds it took."""
+        if self._stop.is_set():
+            raise RuntimeError("the run was cancelled")
+        began = time.monotonic()
+        self.spark.sparkContext.addJobTag(self.tag(table))
+        self._running.append(table)
+        try:
+            return work(table), max(1, round((time.monotonic() - began) * 1000))
         finally:
-            self._running.discard(table)
+            self._running.remove(table)
             self.spark.sparkContext.removeJobTag(self.tag(table))
-            self._note(table, duration_ms=max(1, round((time.monotonic() - began) * 1000)))
 
-    def _write(self, run: TableRun, path: str) -> dict[str, int]:
+    def _compare(self, table: str):
+        return self._tagged(table, self._decide)
+
+    def _decide(self, table: str) -> dict[str, int]:
+        """Write the table's decided rows and count them."""
         measured = Observation()
-        outcome = F.col("outcome")
-        counted = [F.count_if(outcome == x).alias(x) for x in (INSERT, UPDATE, DELETE, SKIPPED, ERROR)]
-        rows = decided_rows(run, self.cfg)
-        rows.observe(measured, *counted).write.parquet(f"{path}/rows")
-        rows = self.spark.read.schema(rows.schema).parquet(f"{path}/rows")
-        chosen = rows.filter(outcome.isin(INSERT, UPDATE, DELETE)).drop("outcome", "reasons")
-        apply_plan(run.target, chosen, run.keys).write.parquet(f"{path}/result")
+        counted = [F.count_if(F.col("outcome") == x).alias(x) for x in (INSERT, UPDATE, DELETE, SKIPPED, ERROR)]
+        decided_rows(self.outcomes[table].run, self.cfg).observe(measured, *counted).write.parquet(f"{self.path(table)}/rows")
         return measured.get
 
+    def _write(self, table: str) -> None:
+        """Apply the decided rows that nothing speaks against."""
+        run, path = self.outcomes[table].run, self.path(table)
+        rows = self.spark.read.schema(decided_rows(run, self.cfg).schema).parquet(f"{path}/rows")
+        chosen = rows.filter(F.col("outcome").isin(INSERT, UPDATE, DELETE)).drop("outcome", "reasons")
+        apply_plan(run.target, chosen, run.keys).write.parquet(f"{path}/result")
+
     def result(self, table: str) -> DataFrame:
         """The written target table."""
         if self.outcomes[table].status != COMPLETED:

@@ -1,5 +1,6 @@
 """Runs over several tables, and rows that a target cannot hold."""
 
+import re
 import threading
 import time
 
@@ -107,3 +108,21 @@ def test_every_pair_of_types_gives_a_value_or_a_reject(spark):
     assert M.cast_plan(spark, {}, "MySql", "Oracle") == []
     plan = dict((c, k) for c, *k in M.cast_plan(spark, {"a": "tinyint(1)", "b": "decimal(12,3)", "c": "text", "d": "varchar(7)"}, "MySql", "SqlServer"))
     assert plan["a"][0] == "Boolean" and plan["b"] == ["Decimal", 12, 3] and plan["d"][1] == 7
+
+
+def test_tables_are_compared_ahead_of_their_parents_results(spark, tmp_path):
+    s, t = pair(spark, 4)
+    broken = s.withColumn("v", F.raise_error(F.lit("no such file")).cast("int"))
+    runs = [TableRun("a", "child", s, t, ["id"]), TableRun("b", "parent", broken, t, ["id"])]
+    run = run_tables(spark, runs, [("child", "parent")], MigrationConfig(mode="Mirror"), folder=str(tmp_path / "run"))
+    assert {t: o.status for t, o in run.outcomes.items()} == {"child": BLOCKED, "parent": FAILED}
+    assert spark.read.parquet(f"{run.path('child')}/rows").count() == 5
+    assert not (tmp_path / "run" / "table-0" / "result").exists()
+
+
+def test_a_planned_delete_ships_no_cells(spark):
+    s, t = pair(spark, 4)
+    p = PL.plan(s, t, CompareConfig(keys=["id"]), MigrationConfig(mode="Mirror"))
+    assert sorted(map(tuple, A.apply_plan(t, p).collect())) == sorted(map(tuple, s.collect()))
+    plan = A.apply_plan(t, p)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"CASE WHEN \(action#\d+ = update\) THEN row#\d+ END AS __row", plan)
