@@ -41,6 +41,7 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 LEXICON_WORDS = 200_000  #: frequent words that are compiled; bounds what is broadcast
 LEXICON_WORD_BYTES = 64  #: longer words are merged when they come
 CACHE_WORDS = 300_000  #: pieces, and words, a task remembers before it starts afresh
+START_BYTES = 3  #: of a word that are looked up at once; there are few such beginnings
 KEEP_WORDS = 100_000  #: a word with more than this part of a task's words is sure to be counted
 
 
@@ -68,6 +69,7 @@ NEWER_LETTERS = (
 _findall = regex.compile(WORD_PATTERN).findall
 _swap_newer = re.compile(f"[{NEWER_LETTERS.replace(' ', '')}]").sub
 _spaces = [c for c in map(chr, range(0x3001)) if c.isspace()]
+_ascii_spaces = [c for c in _spaces if c.isascii()]
 
 
 def split_words(text: str) -> list[str]:
@@ -87,11 +89,17 @@ def at_spaces(text: str) -> list[str]:
     A pre-token holds a space only as its first character or within a run of white space. So the
     first piece, and every later piece with its space before it, can be split on their own.
     """
-    if any(c in text and (c + " " in text or " " + c in text) for c in _spaces):
-        return [text]
+    for c in _ascii_spaces if text.isascii() else _spaces:
+        if c in text and (c + " " in text or " " + c in text):
+            return [text]
     return text.split(" ")
 
 
+def piece_words(piece: str) -> list[str]:
+    """The pre-tokens of a space and ``piece``, which holds no space."""
+    return [" " + piece] if piece.isascii() and piece.isalpha() else split_words(" " + piece)
+
+
 class Vocabulary:
     """Ids, merge ranks and added tokens of a tokenizer file."""
 
@@ -108,6 +116,15 @@ class Vocabulary:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.rank[ids[a] << 32 | ids[b]] = rank
             self.made.append(ids[a + b])
+        none = len(self.made)
+        # ranks of pairs of single bytes, by both bytes in one number; for each id, a look-up of ranks by the id behind it
+        self.byte_rank = [self.rank.get(a << 32 | b, none) for a in self.of_byte for b in self.of_byte]
+        behind: list[dict[int, int]] = [{}] * (max(ids.values()) + 1)
+        for pair, rank in self.rank.items():
+            if not behind[pair >> 32]:
+                behind[pair >> 32] = {}
+            behind[pair >> 32][pair & 0xFFFFFFFF] = rank
+        self.rank_behind = [held.get for held in behind]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.pieces |= {i: text.encode() for text, i in self.added.items()}
         longest_first = sorted(self.added, key=len, reverse=True)
@@ -115,20 +132,20 @@ class Vocabulary:
 
     def merge(self, word: bytes) -> list[int]:
         """Merge the best ranked pair, leftmost first, until none is left."""
-        ids = [self.of_byte[b] for b in word]
-        return self._merge_short(ids) if len(ids) <= 48 else self._merge_long(ids)
+        ids = [*map(self.of_byte.__getitem__, word)]
+        return self._merge_short(word, ids) if len(ids) <= 48 else self._merge_long(ids)
 
-    def _merge_short(self, ids: list[int]) -> list[int]:
-        get, made, none = self.rank.get, self.made, len(self.made)
-        ranks = [get(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
+    def _merge_short(self, word: bytes, ids: list[int]) -> list[int]:
+        behind, made, none, byte_rank = self.rank_behind, self.made, len(self.made), self.byte_rank
+        ranks = [byte_rank[a << 8 | b] for a, b in zip(word, word[1:])]
         while ranks and (best := min(ranks)) < none:
             i = ranks.index(best)
             ids[i] = new = made[best]
             del ids[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = get(ids[i - 1] << 32 | new, none)
+                ranks[i - 1] = behind[ids[i - 1]](new, none)
             if i < len(ranks):
-                ranks[i] = get(new << 32 | ids[i + 1], none)
+                ranks[i] = behind[new](ids[i + 1], none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -168,6 +185,17 @@ class Lexicon:
         self.first, self.target, self.before, self.id_from, _ = parts
         self.ids_at = at - 4 * ids
         self.final_at, self.label_at = at, at + states
+        # what the first bytes of longer words lead to
+        reached = {b"": (states - 1, 0)}
+        for _ in range(START_BYTES):
+            reached = {start + label: place for start, (state, number) in reached.items() for label, place in self._arcs(state, number)}
+        self.start = reached
+
+    def _arcs(self, state: int, number: int) -> Iterator[tuple[bytes, tuple[int, int]]]:
+        """Labels out of a state, each with the state it leads to and the words before it."""
+        for arc in range(self.first[state], self.first[state + 1]):
+            at = self.label_at + arc
+            yield bytes(self.raw[at : at + 1]), (self.target[arc], number + self.before[arc])
 
     @staticmethod
     def build(entries: dict[bytes, list[int]]) -> bytes:
@@ -215,17 +243,26 @@ class Lexicon:
         return b"".join(np.array(x, "<u4").tobytes() for x in (header, first, target, before, id_from, ids)) + bytes(final) + bytes(label)
 
     def find(self, word: bytes) -> int:
-        first, target, before, raw = self.first, self.target, self.before, self.raw
+        first, target, before, raw, labels = self.first, self.target, self.before, self.raw, self.label_at
         state, number = len(first) - 2, 0
+        if len(word) >= START_BYTES:
+            state, number = self.start.get(word[:START_BYTES], (-1, 0))
+            if state < 0:
+                return -1
+            word = word[START_BYTES:]
         for b in word:
-            start, end = first[state], first[state + 1]
-            arc = raw[self.label_at + start : self.label_at + end].find(b)
+            start = first[state]
+            arc = raw[labels + start : labels + first[state + 1]].find(b)
             if arc < 0:
                 return -1
             number += before[start + arc]
             state = target[start + arc]
         return number if raw[self.final_at + state] else -1
 
+    def size(self, number: int) -> int:
+        """How many ids a word has."""
+        return self.id_from[number + 1] - self.id_from[number]
+
     def ids(self, number: int) -> bytes:
         return bytes(self.raw[self.ids_at + 4 * self.id_from[number] : self.ids_at + 4 * self.id_from[number + 1]])
 
@@ -256,6 +293,12 @@ class Codec:
             self.of_word[word] = ids
         return ids
 
+    def count(self, word: str) -> int:
+        """How many ids a word has, not remembered."""
+        raw = word.encode()
+        number = self.lexicon.find(raw)
+        return self.lexicon.size(number) if number >= 0 else len(self.vocabulary.merge(raw))
+
     def split(self, text: str) -> bytes:
         known = self.of_word.get
         return b"".join([known(w) or self.word(w) for w in split_words(text)])
@@ -353,7 +396,7 @@ def word_counts(docs: DataFrame, text: str = "text", keep: int = KEEP_WORDS) ->
                 if len(words) > 2 * keep:
                     words = keep_frequent(words, keep)
         for piece, n in seen.items():
-            for w in split_words(" " + piece):
+            for w in piece_words(piece):
                 words[w] += n
         yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parityflow.llm.bpe import CACHE_WORDS, LEXICON_WORD_BYTES, Codec, Lexicon, at_spaces, split_words, worker_codec
+from parityflow.llm.bpe import CACHE_WORDS, LEXICON_WORD_BYTES, Codec, Lexicon, at_spaces, piece_words, split_words, worker_codec
 
 LEAF_WORDS = 16
 LOOK_AHEAD = 64  #: characters split behind a boundary, so that the end of the cut does not sway it
@@ -98,7 +98,8 @@ class TokenTree:
             meets = upto == 0 or (met < len(ends) and ends[met] == upto)
             if leaf >= self.n or (meets and self.text[at + shift : at + shift + LOOK_AHEAD - 8].strip()):
                 break
-        made = self._leaves(self.units(self.text[low:]) if leaf >= self.n else units[: met + 1] if upto else units[:0])
+        # behind the last leaf the cut reached the end of the text, so its units are all there are
+        made = self._leaves(units if leaf >= self.n else units[: met + 1] if upto else units[:0])
         if len(made) == leaf - first:  # the same leaves: renew the sums above them only
             self.sums[self.size + first : self.size + leaf] = made
             low, high = self.size + first, self.size + leaf
@@ -111,15 +112,18 @@ class TokenTree:
 
 
 class TokenCounts(dict):
-    """Tokens of words, found by a codec when first asked for; starts afresh when full."""
+    """Tokens of words, found by a codec when first asked for; when full, what is not asked for again goes."""
 
     def __init__(self, codec: Codec, most: int = CACHE_WORDS):
-        self.codec, self.most, self.pieces = codec, most, PieceCounts(self, most)
+        self.codec, self.most, self.old, self.pieces = codec, most, {}, PieceCounts(self, most)
 
     def __missing__(self, word: str) -> int:
-        n = len(self.codec.word(word)) // 4
+        n = self.old.get(word)
+        if n is None:
+            n = self.codec.count(word)
         if len(word) <= LEXICON_WORD_BYTES:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[word] = n
         return n
@@ -162,8 +166,7 @@ class PieceCounts(dict):
         if n is None:
             if len(piece) >= LEXICON_WORD_BYTES:
                 return 0  # its words are counted one by one
-            one = piece.isascii() and piece.isalpha()
-            n = self.counts[" " + piece] if one else sum(map(self.counts.__getitem__, split_words(" " + piece)))
+            n = sum(map(self.counts.__getitem__, piece_words(piece)))
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()

@@ -125,3 +125,13 @@ def test_edited_counts_of_odd_rows(spark, vocabulary, library):
     want = [(0, n("x y"), n("x y")), (1, n("one two three"), n("ten two three four")), (2, 0, n("new")), (3, 0, 0), (3, n("again"), n("again"))]
     assert got == sorted(want)
     assert edits.count_edited(docs.limit(0), todo, vocabulary).count() == 0
+
+
+def test_counts_of_words_outlive_a_full_table(vocabulary):
+    codec = bpe.Codec(vocabulary, bpe.Lexicon.build({w: bpe.Vocabulary(vocabulary).merge(w) for w in (b" thing", b" th", b"a")}))
+    words = [" thing", " th", " thin", "a", "", "é", "thingsome", "\u4e2d\u6587x"]
+    assert [codec.count(w) for w in words] == [len(codec.word(w)) // 4 for w in words]
+    asked, counts = [], edits.TokenCounts(codec, 2)
+    count, codec.count = codec.count, lambda w: asked.append(w) or count(w)
+    assert [counts[w] for w in ("a", "bc", "def", "a", "bc")] == [1, count("bc"), count("def"), 1, count("bc")]
+    assert asked == ["a", "bc", "def"]
