@@ -15,7 +15,9 @@ the next smaller band gives off signatures for that band too.
 Sets with an equal signature are compared exactly: first everything with one of its group; what
 this links is one component, and only groups that still hold several components are compared
 further, in chunks. Before texts are compared, a parity sketch sorts out pairs that differ too
-much, and pairs within a component that other pairs have made are left out. Equal sets are
+much, and pairs within a component that other pairs have made are left out. From a chunk no
+pairs come: first the ids that have a possible pair, then, from the texts of these, links that
+join components, fewer than there are components. Equal sets are
 linked to the smallest of their ids beforehand and sign once in a task. No group is cut short.
 
 Rows with null or empty text have an empty set and link with nothing; a null id links with
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parityflow.llm.graph import components
+from parityflow.llm.graph import Forest, components
 from parityflow.llm.shingles import mix, shingle_sets
 from parityflow.session import materialised
 
@@ -44,6 +46,8 @@ FREQUENT_SHINGLES = 65_536  #: most of them that are told to the tasks
 SKETCH_BITS = 512  #: of the smallest sketches; larger sets have as many bits as elements, rounded up to a power of two
 CHUNK_ROWS = 1_024  #: sets of a group that are compared at a time
 BIN_ROWS = 20_000
+BLOCK_NUMBERS = 1 << 19  #: 64-bit numbers of sketches that are compared at a time
+CHUNK_SHINGLES = 4_000_000  #: of the texts of a bin that are held together
 FILTER_BITS = 1 << 24  #: of the filter that keeps texts without candidates from being moved
 STEP_TEXTS = 1_024
 
@@ -274,31 +278,89 @@ def _verify(batches):
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
+def _by_width(sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """Width of every sketch, its row among those of that width, and these as one array a width."""
+    width = np.array([len(v) // 8 for v in sketches], np.int64)
+    row, tables = np.zeros(len(width), np.int64), {}
+    for w in np.unique(width).tolist():
+        here = np.flatnonzero(width == w)
+        row[here] = np.arange(len(here))
+        tables[w] = np.frombuffer(b"".join([sketches[i] for i in here.tolist()]), np.uint64).reshape(-1, w)
+    return width, row, tables
+
+
+def _near(rows: np.ndarray, mine: np.ndarray, ids: np.ndarray, n: np.ndarray, component: np.ndarray, sketches, done=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs ``i, j`` among ``rows`` of a cell, of different components, that sizes and sketches leave possible, block by block.
+
+    Pairs of two rows marked in ``done`` when their block comes are left out.
+    """
+    width, row, tables = sketches
+    left, right = rows[mine[rows] < 2], rows[mine[rows] > 0]
+    for v in np.unique(width[left]).tolist():
+        a = left[width[left] == v]
+        for w in np.unique(width[right]).tolist():
+            if not w // 2 <= v <= 2 * w:  # sizes too far apart
+                continue
+            b = right[width[right] == w]
+            x, y = tables[v][row[a]], tables[w][row[b]]
+            x, y = _fold(x) if v > w else x, _fold(y) if w > v else y
+            step = max(1, BLOCK_NUMBERS // (len(b) * x.shape[1]))
+            for at in range(0, len(a), step):
+                i = a[at : at + step, None]
+                fit = (component[i] != component[b]) & (4 * np.minimum(n[i], n[b]) >= 3 * np.maximum(n[i], n[b])) & ((mine[i] == 0) | (ids[i] < ids[b]))
+                if done is not None:
+                    fit &= ~(done[i] & done[b])
+                p, q = np.nonzero(fit)
+                i, j = a[at + p], b[q]
+                few = np.bitwise_count(x[at + p] ^ y[q]).sum(axis=1, dtype=np.int64) <= (n[i] + n[j]) // 7
+                if few.any():
+                    yield i[few], j[few]
+
+
 def _compare(table: pa.Table) -> pa.Table:
-    """Pairs of different components within the cells of a bin that their sketches leave possible."""
+    """``bin, id, n`` once for every id of a bin with a pair, within a cell, that its sketches leave possible."""
     cells = table.column("cell").to_numpy()
     order = np.argsort(cells, kind="stable")
     starts = np.flatnonzero(np.diff(cells[order], prepend=cells[order][0] - 1))
     ids, n, component, mine = (table.column(c).to_numpy() for c in ("id", "n", "component", "mine"))
-    sketches = [np.frombuffer(v, np.uint64) for v in table.column("body").to_pylist()]
-    width = np.array([len(v) for v in sketches])
-    found = set()
+    sketches = _by_width(table.column("body").to_pylist())
+    own, code = np.unique(ids, return_inverse=True)
+    found, done = np.zeros(len(own), bool), np.zeros(len(ids), bool)
     for start, end in zip(starts, [*starts[1:], len(order)]):
         here = order[start:end]
-        right = here[mine[here] > 0]
-        stacks = {w: np.stack([sketches[j] for j in right[width[right] == w].tolist()]) for w in np.unique(width[right]).tolist()}
-        for w, stack in stacks.items():
-            others = right[width[right] == w]
-            for i in here[mine[here] < 2].tolist():
-                if not w // 2 <= width[i] <= 2 * w:  # sizes too far apart
-                    continue
-                fit = (component[others] != component[i]) & (4 * np.minimum(n[others], n[i]) >= 3 * np.maximum(n[others], n[i]))
-                if mine[i] == 1:
-                    fit &= ids[others] > ids[i]
-                at = np.flatnonzero(fit)
-                at = at[_differ(stack[at], sketches[i]) <= (n[others[at]] + n[i]) // 7]
-                found.update((min(int(ids[i]), int(j)), max(int(ids[i]), int(j))) for j in ids[others[at]].tolist())
-    a, b = zip(*found) if found else ((), ())
+        done[here] = found[code[here]]
+        for i, j in _near(here, mine, ids, n, component, sketches, done):
+            found[code[i]] = found[code[j]] = True
+            done[i] = done[j] = True
+    size = np.zeros(len(own), np.int64)
+    np.maximum.at(size, code, n)
+    bin_ = np.full(int(found.sum()), table.column("bin")[0].as_py(), np.int64)
+    return pa.table([pa.array(bin_), pa.array(own[found]), pa.array(size[found])], ["bin", "id", "n"])
+
+
+def _join(table: pa.Table) -> pa.Table:
+    """Links ``a, b`` enough to join the components that similar texts of a cell join: fewer than it has components."""
+    sets = list(shingle_sets([v.decode() for v in table.column("body").to_pylist()]))
+    ids, component, mine = (table.column(c).to_numpy() for c in ("id", "component", "mine"))
+    n = np.array([len(s) for s in sets], np.int64)
+    rows, forest, a, b = np.flatnonzero(n), Forest(), [], []
+    for left, right in _near(rows, mine, ids, n, component, _by_width([_sketch(s) for s in sets])):
+        order = np.argsort(left, kind="stable")
+        left, right = left[order], right[order]
+        cuts = np.flatnonzero(np.diff(left)) + 1
+        for i, others in zip(left[[0, *cuts]].tolist(), np.split(right, cuts)):
+            at = forest.root(int(component[i]))
+            others = [j for j in others.tolist() if forest.root(int(component[j])) != at]
+            if not others:
+                continue
+            x, y = sets[i], np.concatenate([sets[j] for j in others])
+            both = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
+            both = np.add.reduceat(both.astype(np.int64), np.cumsum([0, *n[others[:-1]]]))
+            for j, k in zip(others, both.tolist()):
+                if similar(k, len(x), len(sets[j])) and forest.root(int(component[i])) != forest.root(int(component[j])):
+                    forest.join(int(component[i]), int(component[j]))
+                    a.append(int(ids[i]))
+                    b.append(int(ids[j]))
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
@@ -341,6 +403,20 @@ def _compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return materialised(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"))
 
 
+def _joined(likely: DataFrame, docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Links ``a, b`` that join the components of the ids of a bin in ``likely`` whose texts have similar sets.
+
+    The ids of a bin are dealt into chunks by the size of their sets, and each two chunks are compared in a cell.
+    """
+    bins = likely.groupBy("bin").agg(F.ceil(F.sum("n") / CHUNK_SHINGLES).cast("int").alias("chunks"))
+    texts = _wanted_texts(docs, likely.select("id"), sketch=False).select("id", "body")
+    held = likely.join(bins, "bin").join(groups, F.col("id") == F.col("node"), "left").select("bin", "chunks", "id", F.coalesce("component", "id").alias("component"))
+    held = held.withColumn("c", F.pmod(F.xxhash64("id"), "chunks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    held = held.withColumn("cell", F.xxhash64("bin", F.least("c", "o"), F.greatest("c", "o")))
+    held = held.withColumn("mine", F.when(F.col("c") == F.col("o"), 1).when(F.col("c") < F.col("o"), 0).otherwise(2))
+    return held.join(texts, "id").select("id", "component", "body", "cell", "mine").groupBy("cell").applyInArrow(_join, "a long, b long")
+
+
 def jaccard_components(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
     spark = documents.sparkSession
@@ -379,7 +455,8 @@ def jaccard_components(documents: DataFrame, doc_id: str = "doc_id", text: str =
     bins = max(64, pending.count() // BIN_ROWS)
     slot = F.xxhash64("family", F.pmod("cell", "slices"))
     binned = celled.select("id", "n", "component", "body", "cell", "mine", F.pmod(slot, F.lit(bins)).alias("bin"))
-    later = materialised(binned.groupBy("bin").applyInArrow(_compare, "a long, b long").distinct())
-    groups = first if later.isEmpty() else components(_links(later, docs, first.filter("node <> component")))
+    # what sketches leave possible goes by its ids to a second step, which compares the sets themselves and gives off links between components only
+    likely = materialised(binned.groupBy("bin").applyInArrow(_compare, "bin long, id long, n long"))
+    groups = first if likely.isEmpty() else components(first.filter("node <> component").union(_joined(likely, docs, first)))
     joined = sets.join(groups, F.col("id") == F.col("node"), "left")
     return joined.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

@@ -5,6 +5,7 @@ import random
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from parityflow.llm import graph, jaccard, neardup, passages, shingles, topk
 from pyspark.sql import functions as F
@@ -65,6 +66,47 @@ def test_jaccard_components_against_all_pairs(spark, monkeypatch, seed):
     assert jaccard.jaccard_components(docs.limit(0)).count() == 0
 
 
+def test_open_groups_give_off_no_pairs():
+    """Rows of the comparing steps are bounded by ids and components, not by pairs of a group."""
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(64)]
+    texts = [" ".join(base[:-k] + [f"x{i}y{j}" for j in range(k)]) for i in range(60) for k in [r.choice([3, 5])]]
+    sets = list(shingles.shingle_sets(texts))
+    near_sets = [(a, b) for a in range(60) for b in range(a) if jaccard.similar(len(np.intersect1d(sets[a], sets[b])), len(sets[a]), len(sets[b]))]
+    assert len(near_sets) > 600
+    one = np.ones(60, np.int64)
+    table = {"id": np.arange(60), "n": [len(s) for s in sets], "component": np.arange(60), "body": [jaccard._sketch(s) for s in sets], "cell": one, "mine": one, "bin": one}
+    ids = jaccard._compare(pa.table(table))
+    assert ids.num_rows == len(set(ids["id"].to_pylist())) == 60
+    links = jaccard._join(pa.table(table | {"body": [t.encode() for t in texts]}))
+    got = list(zip(links["a"].to_pylist(), links["b"].to_pylist()))
+    want = roots(near_sets, range(60))
+    assert roots(got, range(60)) == want and len(got) == 60 - len(set(want.values()))
+    assert jaccard._join(pa.table(table | {"body": [b"", b" "] * 30})).num_rows == 0
+
+
+def test_jaccard_components_across_chunks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CHUNK_ROWS", 16)
+    monkeypatch.setattr(jaccard, "BIN_ROWS", 60)
+    monkeypatch.setattr(jaccard, "CHUNK_SHINGLES", 2_000)
+    joined, held = jaccard._joined, []
+    monkeypatch.setattr(jaccard, "_joined", lambda likely, docs, groups: held.append(likely.count()) or joined(likely, docs, groups))
+    r, rows = random.Random(9), []
+    for family in range(3):
+        base = [f"f{family}w{i}" for i in range(90)]
+        for _ in range(70):  # copies of one base, many just above or just below the threshold
+            copy = list(base)
+            for _ in range(r.choice([1, 2, 3])):
+                copy[r.randrange(90)] = f"x{r.random()}"
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(3, ""), (150, rows[80][1] + " a b"), (150, rows[149][1] + " c")]
+    sets = [(i, shingle_set(t)) for i, t in rows]
+    want = roots([(a, b) for x, (a, s) in enumerate(sets) for b, t in sets[:x] if near(s, t)], {i for i, _ in rows})
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == sorted((i, len(s), want[i]) for i, s in sets)
+    assert held and held[0] > 0
+
+
 def test_signatures_of_similar_sets_meet():
     r = np.random.default_rng(3)
     for n in [1, 2, 5, 31, 63, 64, 65, 90, 127, 128, 300, 1_000]:
