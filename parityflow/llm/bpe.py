@@ -40,7 +40,7 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 
 LEXICON_WORDS = 200_000  #: frequent words that are compiled; bounds what is broadcast
 LEXICON_WORD_BYTES = 64  #: longer words are merged when they come
-CACHE_WORDS = 300_000  #: pieces, and words, a task remembers before it starts afresh
+CACHE_WORDS = 300_000  #: pieces, and words, a task remembers at most
 START_BYTES = 3  #: of a word that are looked up at once; there are few such beginnings
 KEEP_WORDS = 100_000  #: a word with more than this part of a task's words is sure to be counted
 
@@ -275,23 +275,49 @@ def mapped(data: bytes) -> mmap.mmap:
         return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
 
 
+class Memory:
+    """Ids of words, as bytes: those that came twice are kept, those that came once only for a while."""
+
+    def __init__(self):
+        self.kept: dict[str, bytes] = {}
+        self.new: dict[str, bytes] = {}
+        self.get = self.kept.get
+
+    def again(self, word: str) -> bytes | None:
+        """The ids of a word that came once before; from now on it is kept."""
+        ids = self.new.pop(word, None)
+        if ids is not None:
+            if len(self.kept) >= 2 * CACHE_WORDS // 3:
+                self.kept.clear()
+            self.kept[word] = ids
+        return ids
+
+    def add(self, word: str, ids: bytes) -> bytes:
+        if len(word) <= LEXICON_WORD_BYTES:
+            if len(self.new) >= CACHE_WORDS // 3:
+                self.new.clear()
+            self.new[word] = ids
+        return ids
+
+
 class Codec:
-    """Encodes and decodes texts in a task, and remembers the ids of pieces and of words, as bytes."""
+    """Encodes and decodes texts in a task, and remembers the ids of pieces and of words."""
 
     def __init__(self, vocabulary: bytes, lexicon: bytes):
         self.vocabulary, self.lexicon = Vocabulary(vocabulary), Lexicon(mapped(lexicon))
-        self.of_word: dict[str, bytes] = {}
-        self.of_piece: dict[str, bytes] = {}
+        self.of_word, self.of_piece = Memory(), Memory()
+        self.bytes_of = np.full(max(self.vocabulary.pieces) + 1, None, object)
+        for i, token in self.vocabulary.pieces.items():
+            self.bytes_of[i] = token
 
-    def word(self, word: str) -> bytes:
+    def find(self, word: str) -> bytes:
+        """The ids of a word, not remembered."""
         raw = word.encode()
         number = self.lexicon.find(raw)
-        ids = self.lexicon.ids(number) if number >= 0 else np.array(self.vocabulary.merge(raw), "<u4").tobytes()
-        if len(raw) <= LEXICON_WORD_BYTES:
-            if len(self.of_word) >= CACHE_WORDS:
-                self.of_word.clear()
-            self.of_word[word] = ids
-        return ids
+        return self.lexicon.ids(number) if number >= 0 else array("I", self.vocabulary.merge(raw)).tobytes()
+
+    def word(self, word: str) -> bytes:
+        return self.of_word.again(word) or self.of_word.add(word, self.find(word))
 
     def count(self, word: str) -> int:
         """How many ids a word has, not remembered."""
@@ -305,12 +331,12 @@ class Codec:
 
     def piece(self, piece: str) -> bytes:
         """The ids of a space and ``piece``."""
-        ids = self.split(" " + piece)
-        if len(piece) <= LEXICON_WORD_BYTES:
-            if len(self.of_piece) >= CACHE_WORDS:
-                self.of_piece.clear()
-            self.of_piece[piece] = ids
-        return ids
+        ids = self.of_piece.again(piece)
+        if ids:
+            return ids
+        # letters alone are one word, which need not be remembered twice
+        one = piece.isalpha() and (piece.isascii() or max(piece) < "\u0558")
+        return self.of_piece.add(piece, self.find(" " + piece) if one else self.split(" " + piece))
 
     def words(self, text: str) -> list[str]:
         """Pre-tokens and added tokens of ``text``, in order."""
@@ -343,7 +369,7 @@ class Codec:
         return b"".join(parts)
 
     def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.vocabulary.pieces.__getitem__, memoryview(ids).cast("I"))).decode(errors="replace")
+        return b"".join(self.bytes_of[np.frombuffer(ids, "<u4")].tolist()).decode(errors="replace")
 
 
 _codecs: dict[str, Codec] = {}

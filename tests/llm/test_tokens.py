@@ -41,6 +41,21 @@ def test_codec_is_the_library(library, vocabulary):
         assert codec.decode(ids) == library.decode(want, skip_special_tokens=False)
 
 
+def test_frequent_pieces_outlive_rare_ones(library, vocabulary, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 30)
+    codec, asked = bpe.Codec(vocabulary, bpe.Lexicon.build({})), []
+    find, codec.find = codec.find, lambda w: asked.append(w) or find(w)
+    rare = ["".join(random.Random(i).choices("abcdeé", k=6)) + str(i % 3) * (i % 2) for i in range(200)]
+    text = "start often, often, " + " ".join(f"{w} often," for w in rare) + " often"
+    for t in (text, "often often, \u0559x\u0558 \u0559x\u0558 '' ''", "a\noften, a\noften, a\noften"):
+        ids = codec.encode(t)
+        want = library.encode(t, add_special_tokens=False).ids
+        assert list(memoryview(ids).cast("I")) == want
+        assert codec.decode(ids) == library.decode(want, skip_special_tokens=False)
+    assert asked.count(" often") <= 2 and asked.count(",") <= 2
+    assert max(len(m) for memory in (codec.of_word, codec.of_piece) for m in (memory.kept, memory.new)) <= 20
+
+
 def test_long_words_merge_like_short_ones(library, vocabulary):
     v = bpe.Vocabulary(vocabulary)
     for text in ("ab" * 400, "x" * 3_000, "antidisestablishment" * 20):
