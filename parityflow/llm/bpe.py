@@ -23,7 +23,7 @@ import re
 import tempfile
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -199,8 +199,12 @@ class Lexicon:
 
     @staticmethod
     def build(entries: dict[bytes, list[int]]) -> bytes:
-        """Compile ``{word: ids}``, adding sorted words one by one and sharing finished suffixes."""
-        words = sorted(entries)
+        """Compile ``{word: ids}``."""
+        return Lexicon.compiled(sorted(entries.items()))
+
+    @staticmethod
+    def compiled(entries: Iterable[tuple[bytes, Iterable[int]]]) -> bytes:
+        """Compile words in rising order with their ids, adding them one by one and sharing finished suffixes."""
         # a finished state is its final mark, arc labels and arc targets as one byte string; its number is its place
         states: dict[bytes, int] = {}
 
@@ -208,7 +212,10 @@ class Lexicon:
             return states.setdefault(bytes((final,)) + bytes(labels) + targets.tobytes(), len(states))
 
         path, last = [[0, bytearray(), array("I")]], b""
-        for word in words:
+        id_from, ids = array("I", [0]), array("I")
+        for word, own in entries:
+            ids.extend(own)
+            id_from.append(len(ids))
             same = len(os.path.commonprefix([word, last]))
             while len(path) > same + 1:
                 number = finished(*path.pop())
@@ -235,11 +242,8 @@ class Lexicon:
                 total += holds[t]
             holds.append(total)
             first.append(len(target))
-        header = [len(states), len(target), len(words), 0, 0]
+        header = [len(states), len(target), len(id_from) - 1, len(ids), 0]
         states.clear()
-        id_from = array("I", accumulate((len(entries[w]) for w in words), initial=0))
-        ids = array("I", (i for w in words for i in entries[w]))
-        header[3] = len(ids)
         return b"".join(np.array(x, "<u4").tobytes() for x in (header, first, target, before, id_from, ids)) + bytes(final) + bytes(label)
 
     def find(self, word: bytes) -> int:
@@ -300,11 +304,23 @@ class Memory:
         return ids
 
 
+_vocabularies: dict[str, Vocabulary] = {}
+
+
+def worker_vocabulary(content: bytes) -> Vocabulary:
+    """One vocabulary per Python worker."""
+    key = hashlib.sha256(content).hexdigest()
+    if key not in _vocabularies:
+        _vocabularies.clear()
+        _vocabularies[key] = Vocabulary(content)
+    return _vocabularies[key]
+
+
 class Codec:
     """Encodes and decodes texts in a task, and remembers the ids of pieces and of words."""
 
     def __init__(self, vocabulary: bytes, lexicon: bytes):
-        self.vocabulary, self.lexicon = Vocabulary(vocabulary), Lexicon(mapped(lexicon))
+        self.vocabulary, self.lexicon = worker_vocabulary(vocabulary), Lexicon(mapped(lexicon))
         self.of_word, self.of_piece = Memory(), Memory()
         self.bytes_of = np.full(max(self.vocabulary.pieces) + 1, None, object)
         for i, token in self.vocabulary.pieces.items():
@@ -430,7 +446,11 @@ def word_counts(docs: DataFrame, text: str = "text", keep: int = KEEP_WORDS) ->
 
 
 def build_lexicon(docs: DataFrame, vocabulary: bytes, text: str = "text", words: int = LEXICON_WORDS) -> bytes:
-    """The compiled lexicon of the most frequent words of the corpus, ``words`` at most; words as rare as the first left out stay out."""
+    """The compiled lexicon of the most frequent words of the corpus, ``words`` at most; words as rare as the first left out stay out.
+
+    Words are merged where they lie and compiled in one task, which holds a bounded number of
+    them; the driver gets the finished lexicon only.
+    """
     short = materialised(word_counts(docs, text).filter((F.octet_length("word") <= LEXICON_WORD_BYTES) & (F.col("n") > 1)))
     # the count from which on at most ``words`` words remain, so that no task offers more than its part of them
     left, cut = words, None
@@ -439,9 +459,26 @@ def build_lexicon(docs: DataFrame, vocabulary: bytes, text: str = "text", words:
         if left < 0:
             break
         cut = n
-    top = short.filter(F.col("n") >= cut).select("word").collect() if cut else []
-    v = Vocabulary(vocabulary)
-    return Lexicon.build({(w := r.word.encode()): v.merge(w) for r in top})
+    if not cut:
+        return Lexicon.build({})
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    merged = short.filter(F.col("n") >= cut).select("word").mapInArrow(lambda batches: _merge_words(shared.value, batches), "word binary, ids binary")
+    return merged.repartition(1).sortWithinPartitions("word").mapInArrow(_compile_words, "lexicon binary").toArrow().column(0)[0].as_py()
+
+
+def _merge_words(vocabulary: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``word, ids`` of ``word``, ids as little-endian unsigned 32-bit integers."""
+    merge = worker_vocabulary(vocabulary).merge
+    for batch in batches:
+        words = batch.column(0).cast(pa.binary())
+        ids = [np.array(merge(w.as_py()), "<u4").tobytes() for w in words]
+        yield pa.RecordBatch.from_arrays([words, pa.array(ids, pa.binary())], ["word", "ids"])
+
+
+def _compile_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lexicon of sorted ``word, ids``."""
+    entries = ((w.as_py(), np.frombuffer(i.as_py(), "<u4").tolist()) for batch in batches for w, i in zip(batch.column(0), batch.column(1)))
+    yield pa.RecordBatch.from_arrays([pa.array([Lexicon.compiled(entries)], pa.binary())], ["lexicon"])
 
 
 def _codec(spark: SparkSession, vocabulary: bytes, lexicon: bytes):

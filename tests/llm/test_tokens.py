@@ -86,6 +86,21 @@ def test_round_trip_of_odd_rows(spark, vocabulary, library):
     assert bpe.round_trip(docs.limit(0), vocabulary, bpe.build_lexicon(docs.limit(0), vocabulary)).count() == 0
 
 
+def test_lexicon_is_built_by_tasks(spark, vocabulary, monkeypatch):
+    """The driver neither loads the vocabulary nor merges words; what it gets is the lexicon of the same words."""
+    docs = spark.createDataFrame([(t,) for t in texts(300, 7)] + [(None,)], "text string").repartition(3)
+    counts = Counter(w for t in texts(300, 7) for w in bpe.split_words(t))
+    merge = bpe.Vocabulary(vocabulary).merge
+    want = bpe.Lexicon.build({w.encode(): merge(w.encode()) for w, n in counts.items() if n > 1 and len(w.encode()) <= bpe.LEXICON_WORD_BYTES})
+
+    def refuse(*_):
+        raise AssertionError("on the driver")
+
+    monkeypatch.setattr(bpe, "Vocabulary", refuse)
+    monkeypatch.setattr(bpe.Lexicon, "build", refuse)
+    assert bpe.build_lexicon(docs, vocabulary) == want
+
+
 def test_word_counts_cover_all_texts(spark):
     docs = spark.createDataFrame([(t,) for t in texts(300, 5)] + [(None,)], "text string")
     want = {}
