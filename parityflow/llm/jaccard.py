@@ -149,6 +149,40 @@ def _grouped(sig: np.ndarray, f: np.ndarray):
 SIGN_ROWS = 1_000_000  #: signatures that a task groups before it hands them on
 
 
+SIGN_SETS = 1 << 16  #: sets that a task groups at most; their places fill the bits that a signature leaves free
+
+
+def _packed(held: list[tuple[np.ndarray, int]]) -> Iterator[pa.RecordBatch]:
+    """``sig, id, more`` of signatures and their ids, which ``held`` gives away.
+
+    A signature and the place of its id are one number, so they are sorted where they lie.
+    """
+    ids, place = np.unique(np.array([x for _, x in held], np.int64), return_inverse=True)
+    packed = np.concatenate([s for s, _ in held])
+    place = np.repeat(place.astype(np.uint16), [len(s) for s, _ in held])
+    held.clear()
+    packed &= ~np.uint64(SIGN_SETS - 1)
+    packed |= place
+    del place
+    packed.sort()
+    new = np.ones(len(packed), bool)
+    np.not_equal(packed[1:], packed[:-1], out=new[1:])
+    packed = packed[new]
+    ids = ids[(packed & np.uint64(SIGN_SETS - 1)).astype(np.uint16)]
+    packed >>= np.uint64(16)
+    first = np.ones(len(packed), bool)
+    np.not_equal(packed[1:], packed[:-1], out=first[1:])
+    ends = np.append(np.flatnonzero(first), len(packed))
+    ends -= np.arange(len(ends))  # further ids before each signature
+    columns = [pa.array(packed[first].view(np.int64)), pa.array(ids[first])]
+    del packed
+    valid = np.packbits(ends[1:] > ends[:-1], bitorder="little")
+    parts = [pa.py_buffer(valid), pa.py_buffer((8 * ends).astype(np.int32)), pa.py_buffer(ids[~first])]
+    table = pa.table([*columns, pa.Array.from_buffers(pa.binary(), len(ends) - 1, parts)], ["sig", "id", "more"])
+    del ids, first, ends
+    yield from table.to_batches(max_chunksize=65_536)
+
+
 def _sign(frequent: np.ndarray):
     """``sig, id, more``: per task one row for each signature, further ids packed into ``more``."""
 
@@ -156,14 +190,6 @@ def _sign(frequent: np.ndarray):
         held: list[tuple[np.ndarray, int]] = []
         count, known = 0, set()
 
-        def rows():
-            sig = (np.concatenate([s for s, _ in held]) >> np.uint64(16)).view(np.int64)
-            ids = np.repeat(np.array([x for _, x in held], np.int64), [len(s) for s, _ in held])
-            keys, start, size, ids = _grouped(sig, ids)
-            more = pa.array([ids[a + 1 : a + k].tobytes() if k > 1 else None for a, k in zip(start.tolist(), size.tolist())], pa.binary())
-            table = pa.table([pa.array(keys), pa.array(ids[start]), more], ["sig", "id", "more"])
-            yield from table.to_batches(max_chunksize=65_536)
-
         for batch in batches:
             for step, sets in _sets(batch):
                 for own, tokens in zip(step.column(0).to_pylist(), sets):
@@ -173,11 +199,11 @@ def _sign(frequent: np.ndarray):
                         known.add(f)
                     held.append((signatures(tokens, frequent), own))
                     count += len(held[-1][0])
-                if count >= SIGN_ROWS:
-                    yield from rows()
-                    held, count = [], 0
+                if count >= SIGN_ROWS or len(held) > SIGN_SETS - STEP_TEXTS:
+                    yield from _packed(held)
+                    count = 0
         if held:
-            yield from rows()
+            yield from _packed(held)
 
     return run
 
@@ -196,7 +222,19 @@ def _meet(batches):
             sets.append(others)
     if not sigs:
         return
-    keys, start, size, f = _grouped(np.concatenate(sigs), np.concatenate(sets))
+    sig, f = np.concatenate(sigs), np.concatenate(sets)
+    del sigs, sets
+    # most signatures come once and meet nothing
+    order = np.argsort(sig)
+    sig = sig[order]
+    again = np.zeros(len(sig) + 1, bool)
+    again[1:-1] = sig[1:] == sig[:-1]
+    again = again[1:] | again[:-1]
+    sig, f = sig[again], f[order[again]]
+    del order, again
+    if not len(sig):
+        return
+    keys, start, size, f = _grouped(sig, f)
     group = np.repeat(np.arange(len(keys)), size)
     many = size[group] > 1
     rest = np.flatnonzero(many & (np.arange(len(f)) != start[group]))
@@ -269,10 +307,10 @@ def _verify(batches):
     last = (None, None)  # pairs with one text come together
     for batch in batches:
         keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            if last[0] != x:
+        for x, y in zip(batch.column(2), batch.column(3)):  # texts of a batch are taken one by one, as together they are large
+            if last[0] != (x := x.as_py()):
                 last = (x, next(shingle_sets([x.decode()])))
-            x, y = last[1], next(shingle_sets([y.decode()]))
+            x, y = last[1], next(shingle_sets([y.as_py().decode()]))
             r, s = sorted((len(x), len(y)))
             keep.append(4 * r >= 3 * s and similar(len(np.intersect1d(x, y, assume_unique=True)), r, s))
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -457,6 +495,7 @@ def jaccard_components(documents: DataFrame, doc_id: str = "doc_id", text: str =
     binned = celled.select("id", "n", "component", "body", "cell", "mine", F.pmod(slot, F.lit(bins)).alias("bin"))
     # what sketches leave possible goes by its ids to a second step, which compares the sets themselves and gives off links between components only
     likely = materialised(binned.groupBy("bin").applyInArrow(_compare, "bin long, id long, n long"))
-    groups = first if likely.isEmpty() else components(first.filter("node <> component").union(_joined(likely, docs, first)))
+    # written first, as components() starts in Python too and a task would have two workers, each with texts it has held
+    groups = first if likely.isEmpty() else components(first.filter("node <> component").union(materialised(_joined(likely, docs, first))))
     joined = sets.join(groups, F.col("id") == F.col("node"), "left")
     return joined.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 from fractions import Fraction
 
 import numpy as np
@@ -85,6 +86,47 @@ def test_open_groups_give_off_no_pairs():
     assert jaccard._join(pa.table(table | {"body": [b"", b" "] * 30})).num_rows == 0
 
 
+def peak_mb(rows):
+    """MB that Python and numpy hold at most while ``rows`` are gone through."""
+    tracemalloc.start()
+    for _ in rows:
+        pass
+    held = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return held
+
+
+def test_signing_holds_little_more_than_the_signatures(monkeypatch):
+    """A task's signatures (8 MB here) are grouped where they lie."""
+    rng = np.random.default_rng(8)
+    sets = list(rng.integers(1, 1 << 63, (1_000, 1_000), dtype=np.uint64))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(1_000)), pa.nulls(1_000, pa.string())], ["id", "text"])
+    monkeypatch.setattr(jaccard, "_sets", lambda batch: [(batch, sets)])
+    monkeypatch.setattr(jaccard, "signatures", lambda tokens, frequent: tokens.copy())
+    assert peak_mb(jaccard._sign(np.empty(0, np.uint64))([batch])) < 50
+
+
+def test_comparing_holds_few_texts_of_a_batch():
+    texts = [b"%d " % i + b"word " * 20_000 for i in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.nulls(200, pa.int64()), pa.nulls(200, pa.int64()), pa.array(texts), pa.array(texts)], list("abxy"))
+    del texts
+    assert peak_mb(jaccard._verify([batch])) < 20
+
+
+def test_signed_rows_hold_every_signature_and_id_once():
+    r = np.random.default_rng(9)
+    held = [(np.unique(r.integers(0, 40, 12)).astype(np.uint64) << np.uint64(40) | np.uint64(i), int(x)) for i, x in enumerate(r.integers(-5, 5, 60))]
+    want = {(int(s) >> 16, x) for sigs, x in held for s in sigs}
+    got, firsts = [], []
+    for b in jaccard._packed(held):
+        for sig, own, more in zip(*(c.to_pylist() for c in b.columns)):
+            ids = [own, *np.frombuffer(more or b"", np.int64).tolist()]
+            assert ids == sorted(ids) and more != b""
+            firsts.append(sig)
+            got += [(sig, x) for x in ids]
+    assert not held and sorted(got) == sorted(want) and len(firsts) == len(set(firsts))
+
+
 def test_jaccard_components_across_chunks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "CHUNK_ROWS", 16)
     monkeypatch.setattr(jaccard, "BIN_ROWS", 60)
@@ -107,6 +149,20 @@ def test_jaccard_components_across_chunks(spark, monkeypatch):
     assert held and held[0] > 0
 
 
+def test_components_start_from_written_links(spark, monkeypatch):
+    """No task runs the Python that makes links and the Python that joins them, which would take two workers."""
+    plans, join = [], jaccard.components
+    monkeypatch.setattr(jaccard, "components", lambda links: plans.append(links._jdf.queryExecution().optimizedPlan().toString()) or join(links))
+    r, base, rows = random.Random(9), [f"w{i}" for i in range(90)], []
+    for i in range(70):
+        copy = list(base)
+        for _ in range(r.choice([1, 2, 3])):
+            copy[r.randrange(90)] = f"x{r.random()}"
+        rows.append((i, " ".join(copy)))
+    jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len(plans) == 3 and not [p for p in plans if "InArrow" in p]
+
+
 def test_signatures_of_similar_sets_meet():
     r = np.random.default_rng(3)
     for n in [1, 2, 5, 31, 63, 64, 65, 90, 127, 128, 300, 1_000]:
