@@ -257,6 +257,22 @@ def test_embedding_links_against_all_pairs(spark, monkeypatch, chunk):
     assert neardup.link_embeddings(df.limit(0)).count() == 0
 
 
+def test_a_dense_bucket_is_compared_in_bounded_memory():
+    rng, n = np.random.default_rng(4), 1_500
+    vectors = (rng.normal(size=64) + rng.normal(size=(n, 64)) * 0.01).astype(np.float32)
+    ids = pa.array(range(n), pa.int64())
+    embedding = pa.ListArray.from_arrays(pa.array(range(0, 64 * n + 1, 64), pa.int32()), pa.array(vectors.reshape(-1)))
+    same = {"cell": pa.repeat(pa.scalar(7, pa.int64()), n), "n": pa.array([2] * n, pa.int64()), "t": pa.array([0] * n, pa.int32()), "mine": pa.array([1] * n, pa.int32())}
+    table = pa.table({"k1": ids, "k2": ids, "rep": ids, "embedding": embedding, "code": pa.array([bytes(8)] * n, pa.binary()), **same})
+    tracemalloc.start()
+    got = neardup._compare(table, 0.98).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200_000_000  # 1.1 million pairs of 64 numbers are 1.2 GB when held at once
+    assert {(x["a"], x["n"]) for x in got if x["counts"]} == {(i, 2 * (n - 1)) for i in range(n)}
+    assert {(x["a"], x["b"]) for x in got if not x["counts"]} == {(i, 0) for i in range(1, n)}
+
+
 def test_repeated_passages_are_found_and_clean_texts_left(spark):
     r = random.Random(6)
     sentence = lambda: " ".join(f"v{r.randrange(9_000)}" for _ in range(r.randint(6, 16))) + "."
